@@ -354,7 +354,7 @@ def string_digests(batches):
             data = r["bytes"]
             d = [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(r["n"])]
             k = len(d)
-            cols = (pa.array(d, pa.binary()), pa.array([r["doc"]] * k, pa.int64()), pa.array([r["mark"]] * k, pa.int32()), pa.array(np.arange(r["lo"], r["lo"] + k, dtype=np.int32)), pa.array(np.ones(k, np.int32)), pa.array([r["mult"]] * k, pa.int32()))
+            cols = [pa.array(d, pa.binary()), pa.array([r["doc"]] * k, pa.int64()), pa.array([r["mark"]] * k, pa.int32()), pa.array(np.arange(r["lo"], r["lo"] + k, dtype=np.int32)), pa.array(np.ones(k, np.int32)), pa.array([r["mult"]] * k, pa.int32())]
             yield pa.record_batch(cols, names)
 
 
