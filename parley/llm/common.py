@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes and rows in one Arrow batch: bounds a Python worker's memory whatever the text lengths are.
-BATCH_BYTES = 8 << 20
-BATCH_ROWS = 4096
+BATCH_BYTES = 2 << 20
+BATCH_ROWS = 2048
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

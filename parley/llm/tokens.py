@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
 #: Words that a worker keeps encoded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
+#: Words that are encoded in one call.
+ENCODE_WORDS = 2048
 
 
 class WordCache:
@@ -45,9 +48,11 @@ class WordCache:
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def learn(self) -> None:
-        new = list(self.number)[len(self.lengths) :] if len(self.number) > len(self.lengths) else []
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        """Encodes the words that have a number but no ids yet."""
+        waiting = list(islice(self.number, len(self.lengths), None))
+        for a in range(0, len(waiting), ENCODE_WORDS):
+            new = [w.decode() for w in waiting[a : a + ENCODE_WORDS]]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             lengths = np.fromiter(map(len, got), np.int64, len(got))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
