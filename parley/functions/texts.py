@@ -1,0 +1,87 @@
+"""Text, identity and time expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Mixed analyzer: character classes and camel case, lower-cased.
+TOKEN_PATTERN = r"\p{Lu}?\p{Ll}+|\p{Lu}+|\p{Lo}+|\p{N}+"
+CHARS_PER_TOKEN = 3.5
+# Texts that a tool puts before a person's words.
+AUTO_CONTEXT = ("<environment_context>", "<user_instructions>", "# AGENTS.md", "<turn_aborted>")
+
+
+def analyze(text: Column) -> Column:
+    """Tokens of a text in order, lower-cased."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN_PATTERN})"), F.lit(1)), F.lower)
+
+
+def token_estimate(text: Column) -> Column:
+    return F.ceil(F.length(text) / F.lit(CHARS_PER_TOKEN)).cast("bigint")
+
+
+def normalize_snippet(text: Column) -> Column:
+    """Without emphasis marks and ellipses, white space collapsed, lower-cased."""
+    bare = F.regexp_replace(F.regexp_replace(text, "</?em>", ""), "…|\\.\\.\\.", " ")
+    return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+
+
+def is_auto_context(text: Column, prefixes: tuple[str, ...] = AUTO_CONTEXT) -> Column:
+    trimmed = F.ltrim(text)
+    test = F.lit(False)
+    for p in prefixes:
+        test = test | trimmed.startswith(p)
+    return test
+
+
+def workspace_path(path: Column) -> Column:
+    """Without trailing slashes; the root stays."""
+    bare = F.regexp_replace(path, r"/+$", "")
+    return F.when((bare == "") & (path != ""), F.lit("/")).otherwise(bare)
+
+
+def identity_key(*parts: Column) -> Column:
+    return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+
+
+def content_id(prefix: str, *parts: Column) -> Column:
+    """prefix_sha256 of the parts."""
+    return F.concat(F.lit(f"{prefix}_"), F.sha2(identity_key(*parts), 256))
+
+
+def head_hash(size: Column, text: Column, n: int = 4096) -> Column:
+    """SHA-256 of the size and the first n bytes."""
+    return F.sha2(F.concat(F.encode(size.cast("string"), "UTF-8"), F.substring(F.encode(text, "UTF-8"), 1, n)), 256)
+
+
+def day_key(ts: Column, zone: str = "Europe/Berlin") -> Column:
+    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd")
+
+
+def month_key(day: Column) -> Column:
+    return F.substring(day, 1, 7)
+
+
+def inclusive_days(first: Column, last: Column) -> Column:
+    return (F.datediff(last, first) + 1).cast("bigint")
+
+
+def parse_timestamp(text: Column) -> Column:
+    """ISO text, or epoch seconds or milliseconds by size; only the years 2000 to 2100, else NULL."""
+    number = text.try_cast("double")
+    epoch = F.when(number < 1e12, number * 1000).otherwise(number)
+    ts = F.coalesce(F.when(number.isNotNull(), F.timestamp_millis(epoch.cast("bigint"))), F.try_to_timestamp(text))
+    return F.when((F.year(ts) >= 2000) & (F.year(ts) <= 2100), ts)
+
+
+def worked_for_ms(text: Column) -> Column:
+    """Milliseconds of ``Worked for 1h 2m 3s``; NULL where the text doesn't say so."""
+    body = F.regexp_extract(text, r"(?i)worked for ((?:\d+\s*[hms]\s*)+)", 1)
+    part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(body, rf"(\d+)\s*{unit}", 1), F.lit("")).cast("bigint"), F.lit(0))
+    return F.when(body != "", (part("h") * 3600 + part("m") * 60 + part("s")) * 1000)
+
+
+def report_project(repository: Column, name: Column) -> Column:
+    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(clean(repository), clean(name), F.lit("unassigned"))

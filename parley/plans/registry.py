@@ -1,5 +1,9 @@
 """All queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from parley.plans import relational_queries, search_queries, sequence_queries, usage_reports
+from parley.plans.tables import ORACLES, QUERIES
+
+FLAGSHIP = usage_reports.flagship
+MODULES = (usage_reports, sequence_queries, search_queries, relational_queries)
+
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]

@@ -1,0 +1,265 @@
+"""Retrieval, relevance, vectors and clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.functions import texts as T
+from parley.operators import clusters as C
+from parley.operators import retrieval as R
+from parley.operators import sequences as S
+from parley.plans.tables import query, table
+
+_TOK = "list_transform(regexp_extract_all({t}, '\\p{{Lu}}?\\p{{Ll}}+|\\p{{Lu}}+|\\p{{Lo}}+|\\p{{N}}+'), lambda x: lower(x))"
+_BM = f"""d as (select doc_id, {_TOK.format(t='text')} as w from documents), q as (select item_id as query_id, {_TOK.format(t='text')} as w from benchmark),
+ s as (select count(*) as n, avg(len(w)) as avgdl from d), p as (select doc_id, len(w) as dl, term, count(*) as tf from (select doc_id, w, unnest(w) as term from d) group by all),
+ t as (select distinct query_id, unnest(w) as term from q), k as (select query_id, count(*) as nt from t group by query_id), df as (select term, count(*) as df from p group by term),
+ h as (select t.query_id, p.doc_id, sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as score, count(*) as m from t join p using (term) join df using (term), s group by all)"""
+_BM25 = f"with {_BM} select query_id, doc_id, round(score, 6) as score from h join k using (query_id)"
+
+
+def _queries(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _bm25(spark, d, match_all):
+    docs = table(spark, d, "documents")
+    index = R.postings(docs, "doc_id", "text")
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.analyze(F.col("text")))).alias("avgdl")).first()
+    return R.bm25(index, stats["n"], stats["avgdl"] or 1.0, _queries(spark, d), match_all)
+
+
+@query("ret_01_analyzer", f"select doc_id, len(w) as n_tokens, md5(array_to_string(w, ' ')) as digest from (select doc_id, {_TOK.format(t='text')} as w from documents)")
+def ret_01(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.analyze(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query("ret_02_bm25_all_terms", _BM25 + " where m = nt")
+def ret_02(spark, d):
+    return _bm25(spark, d, True)
+
+
+_RANKED = f"with {_BM}, r as (select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from h)"
+
+
+@query("top_01_topk_any_terms", _RANKED + " select query_id, doc_id, score, rank from r where rank <= 10")
+def top_01(spark, d):
+    return R.top_k(_bm25(spark, d, False), 10, ["query_id"])
+
+
+_COS = """v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), c as (select q.vec_id as query_id, v.vec_id as doc_id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 6) as score from v, v q where q.vec_id % 100 = 0),
+ cr as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from c)"""
+
+
+def _cosine(spark, d, k):
+    v = table(spark, d, "embeddings")
+    # The stated query set: every row whose id is divisible by 100.
+    return R.cosine_search(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k)
+
+
+@query("ret_04_cosine_topk", f"with {_COS} select query_id, doc_id, score, rank from cr where rank <= 50")
+def ret_04(spark, d):
+    return _cosine(spark, d, 50)
+
+
+_EUC = "er as (select q.vec_id as query_id, v.vec_id as doc_id, row_number() over (partition by q.vec_id order by round(list_dot_product(v.e, q.e), 6) desc, v.vec_id) as rank from v, v q where q.vec_id % 100 = 0)"
+
+
+def _inner(spark, d, k):
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = v.join(F.broadcast(q)).select("query_id", F.col("vec_id").alias("doc_id"), F.round(R.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
+    return R.top_k(hits, k, ["query_id"])
+
+
+_FUSE = f"with {_COS}, {_EUC}, u as (select query_id, doc_id, rank from cr where rank <= 20 union all select query_id, doc_id, rank from er where rank <= 20), f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score from u group by all)"
+
+
+@query("ret_05_rank_fusion", _FUSE + " select * from f")
+def ret_05(spark, d):
+    return R.reciprocal_rank_fusion(_cosine(spark, d, 20), _inner(spark, d, 20))
+
+
+@query("ret_06_hybrid", _FUSE + ", r as (select f.*, label, row_number() over (partition by query_id order by score desc, doc_id) as rank from f join embeddings on doc_id = vec_id), w as (select *, row_number() over (partition by query_id, label order by rank) as n from r) select query_id, doc_id, cast(label as bigint) as label, score from w where n <= 3")
+def ret_06(spark, d):
+    fused = R.reciprocal_rank_fusion(_cosine(spark, d, 20), _inner(spark, d, 20))
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("label"))
+    ranked = R.top_k(fused, 1000, ["query_id"]).join(labels, "doc_id")
+    return R.diversify(ranked, "label", ["query_id"]).select("query_id", "doc_id", "label", "score")
+
+
+@query("ret_08_literal_phrase", "select item_id, doc_id from benchmark b join documents d on contains(lower(d.text), lower(b.text))")
+def ret_08(spark, d):
+    """Items are a stated query set of bounded size, held against every document."""
+    b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("q"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
+    return docs.join(F.broadcast(b), F.contains(F.col("t"), F.col("q"))).select("item_id", "doc_id")
+
+
+@query("flt_01_search_filters", "select doc_id from documents where source in ('src0', 'src3') and lang = 'en' and n_chars between 200 and 5000")
+def flt_01(spark, d):
+    return table(spark, d, "documents").filter(F.col("source").isin("src0", "src3") & (F.col("lang") == "en") & F.col("n_chars").between(200, 5000)).select("doc_id")
+
+
+@query("flt_06_execution_filter", "select distinct l_suppkey, l_returnflag, l_linestatus from lineitem where l_returnflag in ('A', 'R') and (l_linestatus is null or l_linestatus not in ('O'))")
+def flt_06(spark, d):
+    """Included values must be known; excluded ones let NULL pass."""
+    rows = table(spark, d, "lineitem").filter(F.col("l_returnflag").isin("A", "R") & (F.col("l_linestatus").isNull() | ~F.col("l_linestatus").isin("O")))
+    return rows.select("l_suppkey", "l_returnflag", "l_linestatus").distinct()
+
+
+@query("flt_10_privacy_reason", "select doc_id, case when source in ('src1', 'src2') then 'harness' when lang = 'de' then 'workspace' when strlen(text) > 8000 then 'too_large' end as reason from documents")
+def flt_10(spark, d):
+    reason = F.when(F.col("source").isin("src1", "src2"), "harness").when(F.col("lang") == "de", "workspace").when(F.octet_length("text") > 8000, "too_large")
+    return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
+
+
+@query("eval_01_ranking_metrics", f"""with {_COS}, j as (select q.vec_id as query_id, v.vec_id as doc_id, case when v.vec_id % 3 = 0 then 2 else 1 end as grade from embeddings q join embeddings v on q.label = v.label where q.vec_id % 100 = 0),
+ i as (select query_id, count(*) as n, sum(case when r <= 10 then (pow(2, grade) - 1) / log2(r + 1) end) as ideal from (select *, row_number() over (partition by query_id order by grade desc, doc_id) as r from j) group by query_id),
+ g as (select cr.query_id, count(grade) filter (where rank <= 5) as f5, count(grade) filter (where rank <= 10) as f10, min(rank) filter (where grade is not null and rank <= 10) as fr, sum((pow(2, grade) - 1) / log2(rank + 1)) filter (where rank <= 10) as dcg,
+  count(*) filter (where grade is null and rank <= 5) as w5, count(*) filter (where rank <= 5) as n5 from cr left join j using (query_id, doc_id) where rank <= 50 group by cr.query_id)
+ select query_id, round(f5 / n, 6) as recall5, round(f10 / n, 6) as recall10, round(coalesce(1.0::double / fr, 0), 6) as mrr, round(case when ideal > 0 then coalesce(dcg, 0) / ideal else 0 end, 6) as ndcg10, round(case when n5 > 0 then w5 / n5 else 1 end, 6) as irrelevant5 from i join g using (query_id)""")
+def eval_01(spark, d):
+    """Queries are ids divisible by 100; all rows of a query's label are relevant, in two grades."""
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    judged = v.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 == 0, 2).otherwise(1).alias("grade"))
+    return R.ranking_metrics(_cosine(spark, d, 50), judged)
+
+
+@query("eval_02_distinct_ranking", f"with {_COS} select query_id, label, rank from (select query_id, cast(label as bigint) as label, rank, row_number() over (partition by query_id, label order by rank) as n from cr join embeddings on vec_id = doc_id where rank <= 50) where n = 1")
+def eval_02(spark, d):
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("label"))
+    return S.first_by(_cosine(spark, d, 50).join(labels, "doc_id"), ["query_id", "label"], ["rank"]).select("query_id", "label", "rank")
+
+
+@query("eval_03_known_item", _RANKED + """, x as (select query_id, min(rank) as rank from r join documents d using (doc_id) join benchmark b on b.item_id = query_id where rank <= 10 and contains(d.text, b.text) group by query_id),
+ g as (select item_id, rank from benchmark left join x on query_id = item_id) select count(*) as n, count(*) filter (where rank = 1) as hit1, count(*) filter (where rank <= 5) as hit5, count(rank) as hit10, round(sum(coalesce(1.0::double / rank, 0)) / count(*), 6) as mrr10 from g""")
+def eval_03(spark, d):
+    top = R.top_k(_bm25(spark, d, False), 10, ["query_id"])
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = top.join(docs, "doc_id").join(items, "query_id").filter(F.contains("text", "item")).groupBy("query_id").agg(F.min("rank").alias("rank"))
+    g = items.join(found, "query_id", "left")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") == 1).alias("hit1"), F.count_if(F.col("rank") <= 5).alias("hit5"), F.count("rank").alias("hit10"), F.round(F.sum(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))) / F.count(F.lit(1)), 6).alias("mrr10"))
+
+
+@query("set_01_topten_jaccard", f"with {_COS}, {_EUC}, a as (select query_id, list(doc_id) as x from cr where rank <= 10 group by query_id), b as (select query_id, list(doc_id) as y from er where rank <= 10 group by query_id) select query_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as jaccard from a join b using (query_id)")
+def set_01(spark, d):
+    ids = lambda df, n: df.groupBy("query_id").agg(F.collect_set("doc_id").alias(n))
+    both = ids(_cosine(spark, d, 10), "x").join(ids(_inner(spark, d, 10), "y"), "query_id")
+    return both.select("query_id", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("jaccard"))
+
+
+@query("clu_01_unit_vectors", "select vec_id, round(list_sum(list_transform(embedding, lambda x: (x::double / n) * (x::double / n))), 6) as squared, round(embedding[1]::double / n, 6) as first from (select *, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings)")
+def clu_01(spark, d):
+    u = table(spark, d, "embeddings").select("vec_id", C.unit(F.col("embedding")).alias("u"))
+    return u.select("vec_id", F.round(R.dot(F.col("u"), F.col("u")), 6).alias("squared"), F.round(F.col("u")[0], 6).alias("first"))
+
+
+_CL = "c as (select vec_id, label as a, case when embedding[1] > 0 then 1 else 0 end + case when embedding[2] > 0 then 2 else 0 end as b from embeddings), t as (select a, b, count(*)::double as n from c group by all), ta as (select a, sum(n) as n from t group by a), tb as (select b, sum(n) as n from t group by b)"
+
+
+def _clusters(spark, d):
+    e = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.col("label").alias("a"), (F.when(e[0] > 0, 1).otherwise(0) + F.when(e[1] > 0, 2).otherwise(0)).alias("b"))
+
+
+@query("clu_04_adjusted_rand", f"""with {_CL}, s as (select (select sum(n * (n - 1) / 2) from t) as st, (select sum(n * (n - 1) / 2) from ta) as sa, (select sum(n * (n - 1) / 2) from tb) as sb, (select sum(n) from t) as n)
+ select round((st - sa * sb / (n * (n - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2)), 6) as ari from s""")
+def clu_04(spark, d):
+    return C.adjusted_rand(_clusters(spark, d), "a", "b")
+
+
+@query("clu_05_nmi", f"""with {_CL}, n as (select sum(n) as n from t), mi as (select sum(t.n / n.n * ln(t.n * n.n / (ta.n * tb.n))) as v from t join ta using (a) join tb using (b), n),
+ ha as (select -sum(ta.n / n.n * ln(ta.n / n.n)) as v from ta, n), hb as (select -sum(tb.n / n.n * ln(tb.n / n.n)) as v from tb, n) select round(mi.v / sqrt(ha.v * hb.v), 6) as nmi from mi, ha, hb""")
+def clu_05(spark, d):
+    return C.normalized_mutual_information(_clusters(spark, d), "a", "b")
+
+
+@query("clu_06_cosine_silhouette", """with v as (select vec_id, label, list_transform(embedding, lambda x: x::double / n) as e from (select *, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as n from embeddings)),
+ s as (select a.vec_id, a.label as la, b.label as lb, sum(1 - list_dot_product(a.e, b.e)) as s, count(*) as n from v a, v b where a.vec_id <> b.vec_id group by all),
+ m as (select vec_id, max(s / n) filter (where la = lb) as own, min(s / n) filter (where la <> lb) as other from s group by vec_id) select vec_id, round((other - own) / greatest(own, other), 5) as silhouette from m where own is not null""")
+def clu_06(spark, d):
+    """Mean distances come from one vector sum a cluster, so no pairs are made."""
+    v = table(spark, d, "embeddings")
+    return C.silhouettes(v.select("vec_id", "embedding", "label")).select("vec_id", F.round("silhouette", 5).alias("silhouette"))
+
+
+@query("clu_07_neighbour_purity", f"with {_COS} select query_id, round(avg(case when a.label = b.label then 1.0 else 0.0 end), 6) as purity from (select *, row_number() over (partition by query_id order by rank) as r from cr where query_id <> doc_id) x join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = doc_id where r <= 10 group by query_id")
+def clu_07(spark, d):
+    near = S.first_by(_cosine(spark, d, 11).filter("query_id <> doc_id"), ["query_id"], ["rank"], 10)
+    lab = table(spark, d, "embeddings").select("vec_id", "label")
+    both = near.join(lab.toDF("query_id", "la"), "query_id").join(lab.toDF("doc_id", "lb"), "doc_id")
+    return both.groupBy("query_id").agg(F.round(F.avg(F.when(F.col("la") == F.col("lb"), 1.0).otherwise(0.0)), 6).alias("purity"))
+
+
+@query("clu_09_duplicate_vectors", "select n as copies, count(*) as groups from (select count(*) as n from embeddings group by embedding) group by n")
+def clu_09(spark, d):
+    g = table(spark, d, "embeddings").groupBy(F.sha2(F.to_json("embedding"), 256).alias("h")).agg(F.count(F.lit(1)).alias("copies"))
+    return g.groupBy("copies").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query("clu_10_cluster_profiles", "select cast(label as bigint) as label, count(*) as n, round(avg(embedding[1]::double), 6) as mean1, round(min(embedding[1]::double), 6) as min1, round(max(embedding[1]::double), 6) as max1 from embeddings group by label")
+def clu_10(spark, d):
+    x = F.col("embedding")[0].cast("double")
+    return table(spark, d, "embeddings").groupBy(F.col("label").cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean1"), F.round(F.min(x), 6).alias("min1"), F.round(F.max(x), 6).alias("max1"))
+
+
+@query("clu_11_linear_percentiles", "select cast(label as bigint) as label, round(quantile_cont(embedding[1]::double, 0.1), 6) as p10, round(quantile_cont(embedding[1]::double, 0.5), 6) as p50, round(quantile_cont(embedding[1]::double, 0.9), 6) as p90 from embeddings group by label")
+def clu_11(spark, d):
+    x = F.col("embedding")[0].cast("double")
+    return table(spark, d, "embeddings").groupBy(F.col("label").cast("bigint").alias("label")).agg(*(F.round(F.percentile(x, p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)))
+
+
+@query("scl_14_keyword_query")
+def scl_14(spark, d):
+    """Known-item queries of every document: a window of twelve words, and up to six key words."""
+    return C.known_item_queries(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("scl_15_token_estimate", "select doc_id, cast(ceil(length(text) / 3.5) as bigint) as tokens from documents")
+def scl_15(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("scl_17_ids_and_bytes", "select doc_id, 'doc_' || sha256(concat_ws('|', cast(doc_id as varchar), lang)) as id, strlen(text) as n_bytes from documents")
+def scl_17(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.content_id("doc", F.col("doc_id"), F.col("lang")).alias("id"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+@query("scl_20_auto_context", "select doc_id, starts_with(ltrim(text), 'The') or starts_with(ltrim(text), 'La') as is_context from documents")
+def scl_20(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.is_auto_context(F.col("text"), ("The", "La")).alias("is_context"))
+
+
+@query("scl_23_snippets", r"select doc_id, md5(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '</?em>', '', 'g'), '…|\.\.\.', ' ', 'g'), '\s+', ' ', 'g')))) as snippet from documents")
+def scl_23(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(T.normalize_snippet(F.col("text"))).alias("snippet"))
+
+
+@query("scl_24_workspace_path", "select page_id, regexp_replace(split_part(url, '?', 1), '/+$', '') as path from pages")
+def scl_24(spark, d):
+    return table(spark, d, "pages").select("page_id", T.workspace_path(F.substring_index("url", "?", 1)).alias("path"))
+
+
+@query("scl_25_identity_key", "select page_id, concat_ws('|', url, cast(page_id as varchar)) as key from pages")
+def scl_25(spark, d):
+    return table(spark, d, "pages").select("page_id", T.identity_key(F.col("url"), F.col("page_id")).alias("key"))
+
+
+@query("fpr_01_head_hash")
+def fpr_01(spark, d):
+    return table(spark, d, "pages").select("page_id", T.head_hash(F.octet_length("html"), F.col("html")).alias("head_hash"))
+
+
+@query("top_06_hash_sample", "select doc_id from documents order by sha256('seed' || '|' || doc_id) limit 50")
+def top_06(spark, d):
+    """The sample is the operator: 50 documents in hash order."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.identity_key(F.lit("seed"), F.col("doc_id")), 256).alias("h")).orderBy("h").limit(50).select("doc_id")
+
+
+@query("top_07_stratified_sample", "select source, lang, doc_id from (select *, row_number() over (partition by source, lang order by doc_id) as r from documents) where r <= 5")
+def top_07(spark, d):
+    return S.first_by(table(spark, d, "documents"), ["source", "lang"], ["doc_id"], 5).select("source", "lang", "doc_id")
+
