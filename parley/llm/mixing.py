@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, total_out: float |
     own, parts, cdf, n = (free_name(docs, f"parley_{x}") for x in ("source", "parts", "cdf", "n"))
     counts = docs.groupBy(F.col(source).alias(own)).agg(F.count(F.lit(1)).alias("n"))
     rates = target_rates(counts, own, weights, total_out).filter("rate > 0")
-    rates = rates.select(own, F.ceil(F.col("rate") / PART).cast("int").alias(parts), "rate")
+    rates = rates.select(own, F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1)).alias(parts), "rate")
     rates = rates.select(own, parts, cumulative(F.col("rate") / F.col(parts)).alias(cdf))
     # One short row for each source; Spark broadcasts it where its size allows, and splits a hot source otherwise.
     rows = docs.join(rates, docs[source].eqNullSafe(rates[own]))
