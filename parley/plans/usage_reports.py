@@ -230,11 +230,15 @@ _COST = f"""price(mk, above, upto, pi, pc, pw, po) as (values {_PRICES}),
   from msg left join price on model_key = mk and input_tokens > above and input_tokens <= upto where has_usage and model_key is not null)"""
 
 
-@query("scl_03_token_cost", f"with {MSG}, {_COST} select model_key, count(*) as n, count(*) filter (where priced) as priced_n, round(sum(input_cost), 4) as input_cost, round(sum(cached_cost), 4) as cached_cost, round(sum(write_cost), 4) as write_cost, round(sum(output_cost), 4) as output_cost, cast(sum(case when priced then 0 else input_tokens + output_tokens end) as bigint) as unpriced_tokens from c group by model_key")
+_COSTS = ("input_cost", "cached_cost", "write_cost", "output_cost")
+
+
+@query("scl_03_token_cost", f"with {MSG}, {_COST} select model_key, count(*) as n, count(*) filter (where priced) as priced_n, {', '.join(f'cast(sum(cast(round({c} * 1e9) as bigint)) as bigint) as {c}_nano' for c in _COSTS)}, cast(sum(case when priced then 0 else input_tokens + output_tokens end) as bigint) as unpriced_tokens from c group by model_key")
 def scl_03(spark, d):
+    """Costs by model in billionths of a dollar, so that sums are exact in any order."""
     m = with_cost(messages(spark, d).filter("has_usage and model_key is not null"), price_table(spark), "model_key", "input_tokens", "cached_tokens", "write_tokens", "output_tokens")
-    return m.groupBy("model_key").agg(F.count(F.lit(1)).alias("n"), F.count_if("priced").alias("priced_n"), *(F.round(F.sum(c), 4).alias(c) for c in ("input_cost", "cached_cost", "write_cost", "output_cost")), F.sum("unpriced_tokens").alias("unpriced_tokens"))
-
+    nano = lambda c: F.sum(F.round(F.col(c) * 1e9).cast("bigint")).alias(f"{c}_nano")
+    return m.groupBy("model_key").agg(F.count(F.lit(1)).alias("n"), F.count_if("priced").alias("priced_n"), *(nano(c) for c in _COSTS), F.sum("unpriced_tokens").alias("unpriced_tokens"))
 
 
 @query("win_10_first_day_turns", f"""with {MSG}, t as (select coalesce(dialogue_id || ':' || wait_turn, 'm' || message_id) as turn, cast(ts as date) as day, max(wait_ms) as w from msg where human_authored and wait_ms > 0 group by all),
