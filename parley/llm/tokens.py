@@ -11,6 +11,9 @@ Null doc_ids come first; rows that repeat are written each.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections import defaultdict
 from itertools import islice
@@ -28,18 +31,52 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
 #: Words that a worker keeps encoded.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Parts of words in each of two generations; what the younger one asks for moves on, the rest is forgotten.
+CACHE_PARTS = 100_000
 #: Words that are encoded in one call.
 ENCODE_WORDS = 2048
 
 
+# How word_bpe_49k.json normalises and parts a text.
+WORD_NORMALIZERS = ("NFC", "Replace", "Lowercase")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that may be parted between letters and other characters: such places always part tokens, as no apostrophe,
+#: special token or character that composes with its neighbour is among them.
+PLAIN = re.compile(r"(?!.*<\|)[!-&(-~À-ÖØ-öø-įı-ſ]+")
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+PARTS = re.compile(rf"[{LETTERS}]+|[^{LETTERS}]+")
+#: Letter parts that are encoded as one line.
+LINE_PARTS = 64
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
 class WordCache:
-    """Words to ids by the tokenizers library; emptied when it is full."""
+    """Words to ids by the tokenizers library; emptied when it is full.
+
+    New words are parted where the tokenizer parts them anyway, so that most are made of parts that are known.  A
+    tokenizer whose words depend on their white space encodes whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors have their own parallelism
         self.tokenizer = Tokenizer.from_file(path)
+        shape = json.loads(self.tokenizer.to_str())
+        kinds = tuple(n.get("type") for n in (shape.get("normalizer") or {}).get("normalizers", ()))
+        first = ((shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        end = shape["model"].get("end_of_word_suffix")
+        self.by_word = kinds == WORD_NORMALIZERS and first.get("pattern", {}).get("Regex") == WORD_PATTERN and bool(end)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(size, bool)
+        if self.by_word:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(end)]] = True
+        self.parts: dict[str, bytes] = {}  # little-endian 32-bit ids
+        self.older: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -47,21 +84,50 @@ class WordCache:
         self.number.default_factory = self.number.__len__
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for a in range(0, len(texts), ENCODE_WORDS) for e in self.tokenizer.encode_batch_fast(texts[a : a + ENCODE_WORDS], add_special_tokens=False)]
+
+    def learn_parts(self, new: set[str]) -> None:
+        """Letter parts go as lines, whose ids are cut after every word end; each of them is one word."""
+        letters = [x for x in new if x[0].isalpha()]
+        others = [x for x in new if not x[0].isalpha()]
+        self.parts.update(zip(others, map(packed, self.ids(others)), strict=True))
+        lines = [letters[a : a + LINE_PARTS] for a in range(0, len(letters), LINE_PARTS)]
+        for own, ids in zip(lines, self.ids([" ".join(x) for x in lines]), strict=True):
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(own) or cut[-1] != len(ids):  # not as expected: one by one
+                self.parts.update(zip(own, map(packed, self.ids(own)), strict=True))
+                continue
+            data, at = packed(ids), 0
+            for x, b in zip(own, (4 * cut).tolist(), strict=True):
+                self.parts[x] = data[at:b]
+                at = b
+
     def learn(self) -> None:
         """Encodes the words that have a number but no ids yet."""
-        waiting = list(islice(self.number, len(self.lengths), None))
-        for a in range(0, len(waiting), ENCODE_WORDS):
-            new = [w.decode() for w in waiting[a : a + ENCODE_WORDS]]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum()))])
+        waiting = [w.decode() for w in islice(self.number, len(self.lengths), None)]
+        if not waiting:
+            return
+        if len(self.parts) > CACHE_PARTS:
+            self.older, self.parts = self.parts, {}
+        known, older = self.parts, self.older
+        parted = [PARTS.findall(w.lower()) if PLAIN.fullmatch(w) else None for w in waiting]
+        unknown = {x for own in parted if own for x in own if x not in known}
+        known.update((x, older[x]) for x in unknown if x in older)
+        self.learn_parts({x for x in unknown if x not in known})
+        odd = iter(self.ids([w for w, own in zip(waiting, parted, strict=True) if own is None]))
+        got = [packed(next(odd)) if own is None else known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own]) for own in parted]
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), "<i4")])
 
     def encode(self, column: pa.Array, end_id: int) -> pa.ListArray:
         """The ids of each text, with the end id."""
         if len(self.number) > CACHE_WORDS:
             self.clear()
+        if not self.by_word:
+            return pa.array([[*ids, end_id] for ids in self.ids([t or "" for t in column.to_pylist()])], pa.list_(pa.int32()))
         raw, at, _ = utf8(column)
         data, codes, n = raw.tobytes(), [], np.zeros(len(at) - 1, np.int64)
         for i in range(len(at) - 1):
