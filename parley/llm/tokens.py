@@ -4,8 +4,8 @@ A dataset holds, in ascending doc_id order over its files: doc_id (delta encoded
 list column with dictionary encoding.  Row groups and pages have fixed byte sizes and Spark writes page indexes, so
 a reader that wants some documents or only the counts skips the other pages and columns.
 
-White space always ends a word of this tokenizer, so a text's ids are the ids of its space-separated words in order;
-each worker encodes a word once and keeps it in a bounded table.  Null texts are empty: they have the end id alone.
+White space and the places between letters and other characters always part tokens of this tokenizer, so a text's ids are
+the ids of its parts in order; each worker encodes a part once and keeps it in a bounded table.  Null texts are empty: they have the end id alone.
 Null doc_ids come first; rows that repeat are written each.
 """
 
@@ -24,28 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import arrow_function, bounded_batches, utf8, work_path
+from parley.llm.common import arrow_function, bounded_batches, work_path
 from parley.llm.sharding import bucket_edges, bucket_of, running_totals
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
-#: Words that a worker keeps encoded.
-CACHE_WORDS = 100_000
-#: Parts of words in each of two generations; what the younger one asks for moves on, the rest is forgotten.
-CACHE_PARTS = 100_000
-#: Words that are encoded in one call.
-ENCODE_WORDS = 2048
+#: Parts that a worker keeps encoded, in each of two generations, and parts that are encoded in one call.
+CACHE_PARTS, ENCODE_WORDS = 150_000, 2048
 
 
 # How word_bpe_49k.json normalises and parts a text.
 WORD_NORMALIZERS = ("NFC", "Replace", "Lowercase")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words that may be parted between letters and other characters: such places always part tokens, as no apostrophe,
-#: special token or character that composes with its neighbour is among them.
-PLAIN = re.compile(r"(?!.*<\|)[!-&(-~À-ÖØ-öø-įı-ſ]+")
-LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
-PARTS = re.compile(rf"[{LETTERS}]+|[^{LETTERS}]+")
+_SPACE, _LETTERS = r" \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-įı-ſ"
+#: Parts of a text between which tokens always part: runs of letters, and runs of other characters than white space.
+PARTS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}{_SPACE}]+")
+WORDS = re.compile(rf"[^{_SPACE}]+")
+#: An apostrophe, the start of a special token, or a character that may compose with its neighbour: a word that holds one
+#: is encoded whole.
+WHOLE = re.compile(rf"'|<\||[^!-~{_LETTERS}{_SPACE}]")
 #: Letter parts that are encoded as one line.
 LINE_PARTS = 64
 
@@ -54,11 +52,27 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
+def parts_of(text: str) -> list[str]:
+    """A text's parts in order; its ids are theirs, one after another."""
+    if not WHOLE.search(text):
+        return PARTS.findall(text.lower())
+    return [x for w in WORDS.findall(text) for x in ([w] if WHOLE.search(w) else PARTS.findall(w.lower()))]
+
+
+class Generation:
+    """Numbered parts and the ids of those that are learned."""
+
+    def __init__(self):
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+
 class WordCache:
-    """Words to ids by the tokenizers library; emptied when it is full.
+    """Parts of words to ids by the tokenizers library, in two generations of bounded size.
 
-    New words are parted where the tokenizer parts them anyway, so that most are made of parts that are known.  A
-    tokenizer whose words depend on their white space encodes whole texts.
+    What the younger generation asks of the older moves on; the rest of it is forgotten in time.  A tokenizer whose
+    tokens depend on white space encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -71,80 +85,72 @@ class WordCache:
         first = ((shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         end = shape["model"].get("end_of_word_suffix")
         self.by_word = kinds == WORD_NORMALIZERS and first.get("pattern", {}).get("Regex") == WORD_PATTERN and bool(end)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.by_word:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(end)]] = True
-        self.parts: dict[str, bytes] = {}  # little-endian 32-bit ids
-        self.older: dict[str, bytes] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: defaultdict[bytes, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.now, self.older = Generation(), Generation()
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for a in range(0, len(texts), ENCODE_WORDS) for e in self.tokenizer.encode_batch_fast(texts[a : a + ENCODE_WORDS], add_special_tokens=False)]
 
-    def learn_parts(self, new: set[str]) -> None:
+    def encode_parts(self, new: list[str]) -> dict[str, bytes]:
         """Letter parts go as lines, whose ids are cut after every word end; each of them is one word."""
-        letters = [x for x in new if x[0].isalpha()]
-        others = [x for x in new if not x[0].isalpha()]
-        self.parts.update(zip(others, map(packed, self.ids(others)), strict=True))
+        letters = [x for x in new if PARTS.fullmatch(x) and x[0].isalpha()]
+        taken = set(letters)
+        others = [x for x in new if x not in taken]
+        out = dict(zip(others, map(packed, self.ids(others)), strict=True))
         lines = [letters[a : a + LINE_PARTS] for a in range(0, len(letters), LINE_PARTS)]
         for own, ids in zip(lines, self.ids([" ".join(x) for x in lines]), strict=True):
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(own) or cut[-1] != len(ids):  # not as expected: one by one
-                self.parts.update(zip(own, map(packed, self.ids(own)), strict=True))
+                out.update(zip(own, map(packed, self.ids(own)), strict=True))
                 continue
             data, at = packed(ids), 0
             for x, b in zip(own, (4 * cut).tolist(), strict=True):
-                self.parts[x] = data[at:b]
+                out[x] = data[at:b]
                 at = b
+        return out
 
     def learn(self) -> None:
-        """Encodes the words that have a number but no ids yet."""
-        waiting = [w.decode() for w in islice(self.number, len(self.lengths), None)]
+        """Finds the ids of the parts that have a number but no ids yet."""
+        now, old = self.now, self.older
+        waiting = list(islice(now.number, len(now.lengths), None))
         if not waiting:
             return
-        if len(self.parts) > CACHE_PARTS:
-            self.older, self.parts = self.parts, {}
-        known, older = self.parts, self.older
-        parted = [PARTS.findall(w.lower()) if PLAIN.fullmatch(w) else None for w in waiting]
-        unknown = {x for own in parted if own for x in own if x not in known}
-        known.update((x, older[x]) for x in unknown if x in older)
-        self.learn_parts({x for x in unknown if x not in known})
-        odd = iter(self.ids([w for w, own in zip(waiting, parted, strict=True) if own is None]))
-        got = [packed(next(odd)) if own is None else known[own[0]] if len(own) == 1 else b"".join([known[x] for x in own]) for own in parted]
-        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), "<i4")])
+        at = old.number.get
+        known = {x: k for x in waiting if (k := at(x)) is not None}
+        new = self.encode_parts([x for x in waiting if x not in known])
+        data, starts, lengths = old.flat.tobytes(), (4 * old.starts).tolist() if known else [], (4 * old.lengths).tolist() if known else []
+        got = [new[x] if (k := known.get(x)) is None else data[starts[k] : starts[k] + lengths[k]] for x in waiting]
+        own = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        now.starts = np.concatenate([now.starts, len(now.flat) + np.cumsum(own) - own])
+        now.lengths = np.concatenate([now.lengths, own])
+        now.flat = np.concatenate([now.flat, np.frombuffer(b"".join(got), "<i4")])
 
     def encode(self, column: pa.Array, end_id: int) -> pa.ListArray:
         """The ids of each text, with the end id."""
-        if len(self.number) > CACHE_WORDS:
-            self.clear()
+        texts = column.to_pylist()
         if not self.by_word:
-            return pa.array([[*ids, end_id] for ids in self.ids([t or "" for t in column.to_pylist()])], pa.list_(pa.int32()))
-        raw, at, _ = utf8(column)
-        data, codes, n = raw.tobytes(), [], np.zeros(len(at) - 1, np.int64)
-        for i in range(len(at) - 1):
-            words = data[at[i] : at[i + 1]].split()
-            n[i] = len(words)
-            codes.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+            return pa.array([[*ids, end_id] for ids in self.ids([t or "" for t in texts])], pa.list_(pa.int32()))
+        if len(self.now.number) > CACHE_PARTS:
+            self.older, self.now = self.now, Generation()
+        now, codes, n = self.now, [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                own = parts_of(text)
+                n[i] = len(own)
+                codes.append(np.fromiter(map(now.number.__getitem__, own), np.int64, len(own)))
         self.learn()
-        codes = np.concatenate([*codes, np.zeros(0, np.int64)])
-        lengths = self.lengths[codes]
-        word_at = np.concatenate(([0], np.cumsum(n)))
+        codes = np.concatenate(codes)
+        lengths = now.lengths[codes]
+        part_at = np.concatenate(([0], np.cumsum(n)))
         token_at = np.concatenate(([0], np.cumsum(lengths)))
-        ends = token_at[word_at]
+        ends = token_at[part_at]
         offsets = ends + np.arange(len(ends))
         out = np.full(int(offsets[-1]), end_id, np.int32)
         place = np.ones(len(out), bool)
         place[offsets[1:] - 1] = False
-        out[place] = self.flat[np.repeat(self.starts[codes] - token_at[:-1], lengths) + np.arange(int(token_at[-1]))]
+        out[place] = now.flat[np.repeat(now.starts[codes] - token_at[:-1], lengths) + np.arange(int(token_at[-1]))]
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
 

@@ -123,10 +123,19 @@ def test_token_files_have_chosen_layout(spark, tmp_path):
     assert "ids" not in counts._jdf.queryExecution().executedPlan().toString()
 
 
-def test_word_cache_is_bounded(monkeypatch):
+def test_part_cache_is_bounded_and_exact(monkeypatch):
+    import random
+
     import pyarrow as pa
 
-    monkeypatch.setattr(T, "CACHE_WORDS", 3)
+    monkeypatch.setattr(T, "CACHE_PARTS", 50)
     cache = T.WordCache(public_tokenizers.path(T.VOCABULARY))
-    first = cache.encode(pa.array(["a bb ccc dddd"]), 1).to_pylist()
-    assert cache.encode(pa.array(["a bb ccc dddd"]), 1).to_pylist() == first and len(cache.number) == 4
+    rng = random.Random(2)
+    letters = "aZéİßÿ'’.-_#<|>12²½ \n\t\u0301≠ſıçÇ”“…\xa0\x1c 日本😀Ⅷ´`^~×÷"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000)] + ["<|endoftext|> x<|startoftext|>y", "don't we'll it's I'VE", "a." * 500]
+    for a in range(0, len(texts), 100):
+        part = texts[a : a + 100]
+        assert cache.encode(pa.array(part), 1).to_pylist() == [[*cache.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in part]
+        assert len(cache.now.number) + len(cache.older.number) < 5000
+    whole = T.WordCache(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not whole.by_word and whole.encode(pa.array(["a b", None]), 1).to_pylist() == [[*whole.tokenizer.encode("a b").ids, 1], [1]]
