@@ -11,12 +11,14 @@ Of records with equal payloads the one with the smallest key is the response; th
 and carry no payload.  Null payloads are empty; a null or malformed date becomes the epoch; a null URL becomes the
 empty one, which ``-`` stands for in a header line; repeated keys are allowed and keep a record each.
 
-Files are written and read by Spark only, in the folder that executors share, at a bounded number of bytes a file.
+Files are gzip-compressed, written and read by Spark only, in the folder that executors share, at about FILE_BYTES of
+payload a file.  Payloads are shuffled once, by record, so a group of copies never meets in one task.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -30,7 +32,7 @@ from parley.llm.common import bounded_batches, materialize, work_path
 
 CRLF = "\r\n"
 #: Payload bytes that one archive file holds about.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 32 << 20
 KEY_HEADER = "X-Page-Id"
 #: Header fields of the two versions, as the format defines them.
 FIELDS = {
@@ -161,9 +163,18 @@ def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     return out
 
 
-def _partitions(df: DataFrame, size) -> int:
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return max(1, -(-int(total) // FILE_BYTES))
+def _files(df: DataFrame, size) -> int:
+    return max(1, -(-int(df.agg(F.sum(size)).first()[0] or 0) // FILE_BYTES))
+
+
+def _sized(df: DataFrame, size) -> DataFrame:
+    """Partitions of about FILE_BYTES; as they are where they already hold no more than twice that on average."""
+    n = _files(df, size)
+    return df if 2 * df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def unpacked(data: bytes) -> bytes:
+    return gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20240101000000") -> None:
@@ -176,9 +187,8 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202401
             rows = zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True)
             yield pa.record_batch([pa.array([arc_record(version, url, date, http_block(key, html or "")) for key, url, html in rows], pa.string())], ["value"])
 
-    rows = pages.select("page_id", "url", "html")
-    rows = rows.repartition(_partitions(rows, F.octet_length("html")))
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").text(path)
+    rows = _sized(pages.select("page_id", "url", "html"), F.octet_length("html"))
+    rows.mapInArrow(run, "value string").write.options(lineSep="\n", compression="gzip").text(path)
 
 
 CONVERTED = "page_id bigint, url string, date string, record_id string, payload_digest string, payload_bytes bigint, head binary, payload binary"
@@ -192,7 +202,7 @@ def convert_arc(spark, path: str) -> DataFrame:
         for b in batches:
             for data in b.column("content"):
                 rows = []
-                for r in parse_arc(data.as_py()):
+                for r in parse_arc(unpacked(data.as_py())):
                     headers, head, payload = split_http(r.block)
                     key, d, when = headers.get(KEY_HEADER.lower(), ""), digest(payload), warc_date(r.date)
                     rows.append((int(key) if key else None, r.url, when, record_id(r.url, when, key, d), d, len(payload), head, payload))
@@ -207,12 +217,13 @@ _CONVERTED = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa
 
 def write_warc(records: DataFrame, path: str, min_payload: int = 0) -> None:
     """Converted records as WARC files; equal payloads of at least ``min_payload`` bytes become revisits of one response."""
-    records = materialize(records, "arc-records")
+    index = materialize(records.select("page_id", "record_id", "payload_digest", "payload_bytes"), "arc-index")
     # Per digest the smallest key, of all records: one row a digest, summed before it is shuffled.
     named = F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("k"), "record_id")
-    first = records.filter(F.col("payload_bytes") >= min_payload).groupBy("payload_digest").agg(F.min(named).alias("f"))
-    rows = records.join(first, "payload_digest", "left")
-    rows = rows.withColumn("refers", F.when(F.col("f.record_id") != F.col("record_id"), F.col("f.record_id")))
+    first = index.filter(F.col("payload_bytes") >= min_payload).groupBy("payload_digest").agg(F.min(named)["record_id"].alias("refers"))
+    later = index.join(first, "payload_digest").filter("refers <> record_id").groupBy("record_id").agg(F.min("refers").alias("refers"))
+    n = _files(index, "payload_bytes")
+    rows = records.repartition(n, "record_id").join(later.repartition(n, "record_id"), "record_id", "left")
 
     def run(batches):
         for b in batches:
@@ -223,8 +234,7 @@ def write_warc(records: DataFrame, path: str, min_payload: int = 0) -> None:
             yield pa.record_batch([pa.array(out, pa.string())], ["value"])
 
     rows = rows.select("url", "date", "record_id", "payload_digest", "head", "payload", "refers")
-    rows = rows.repartition(_partitions(records, "payload_bytes"))
-    rows.mapInArrow(run, "value string").write.option("lineSep", CRLF * 2).text(path)
+    rows.mapInArrow(run, "value string").write.options(lineSep=CRLF * 2, compression="gzip").text(path)
 
 
 READ = "page_id bigint, record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, refers_id string, payload binary"
@@ -237,7 +247,7 @@ def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
         for b in batches:
             for data in b.column("content"):
                 rows = []
-                for h, block in parse_warc(data.as_py()):
+                for h, block in parse_warc(unpacked(data.as_py())):
                     headers, _, payload = split_http(block)
                     key, declared = headers.get(KEY_HEADER.lower(), ""), h["warc-payload-digest"].removeprefix("sha1:")
                     whole = h["warc-type"] == "response"
