@@ -31,7 +31,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
 #: Parts that a worker keeps encoded, in each of two generations, and parts that are encoded in one call.
-CACHE_PARTS, ENCODE_WORDS = 150_000, 2048
+CACHE_PARTS, ENCODE_WORDS = 250_000, 2048
 
 
 # How word_bpe_49k.json normalises and parts a text.
@@ -41,9 +41,8 @@ _SPACE, _LETTERS = r" \t\n\r\x0b\x0c", "A-Za-zÀ-ÖØ-öø-įı-ſ"
 #: Parts of a text between which tokens always part: runs of letters, and runs of other characters than white space.
 PARTS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}{_SPACE}]+")
 WORDS = re.compile(rf"[^{_SPACE}]+")
-#: An apostrophe, the start of a special token, or a character that may compose with its neighbour: a word that holds one
-#: is encoded whole.
-WHOLE = re.compile(rf"'|<\||[^!-~{_LETTERS}{_SPACE}]")
+#: Characters that may compose with a neighbour.
+ODD = re.compile(rf"[^!-~{_LETTERS}{_SPACE}]")
 #: Letter parts that are encoded as one line.
 LINE_PARTS = 64
 
@@ -52,11 +51,16 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
+def is_whole(word: str) -> bool:
+    """It has an apostrophe, the start of a special token or an odd character, and so is encoded in one piece."""
+    return "'" in word or "<|" in word or ODD.search(word) is not None
+
+
 def parts_of(text: str) -> list[str]:
     """A text's parts in order; its ids are theirs, one after another."""
-    if not WHOLE.search(text):
+    if not is_whole(text):
         return PARTS.findall(text.lower())
-    return [x for w in WORDS.findall(text) for x in ([w] if WHOLE.search(w) else PARTS.findall(w.lower()))]
+    return [x for w in WORDS.findall(text) for x in ([w] if is_whole(w) else PARTS.findall(w.lower()))]
 
 
 class Generation:
@@ -66,6 +70,14 @@ class Generation:
         self.number: defaultdict[str, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.spans: tuple[bytes, list[int], list[int]] = b"", [], []
+
+    def close(self) -> Generation:
+        """Numbers are only looked up from now on, and ids are cut from bytes."""
+        self.number.default_factory = None
+        self.spans = self.flat.tobytes(), (4 * self.starts).tolist(), (4 * (self.starts + self.lengths)).tolist()
+        self.starts = self.lengths = self.flat = np.zeros(0, np.int64)
+        return self
 
 
 class WordCache:
@@ -95,17 +107,17 @@ class WordCache:
 
     def encode_parts(self, new: list[str]) -> dict[str, bytes]:
         """Letter parts go as lines, whose ids are cut after every word end; each of them is one word."""
-        letters = [x for x in new if PARTS.fullmatch(x) and x[0].isalpha()]
-        taken = set(letters)
-        others = [x for x in new if x not in taken]
+        letters = [x for x in new if x.isalpha()]
+        others = [x for x in new if not x.isalpha()]
         out = dict(zip(others, map(packed, self.ids(others)), strict=True))
         lines = [letters[a : a + LINE_PARTS] for a in range(0, len(letters), LINE_PARTS)]
         for own, ids in zip(lines, self.ids([" ".join(x) for x in lines]), strict=True):
+            ids = np.array(ids, "<i4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(own) or cut[-1] != len(ids):  # not as expected: one by one
                 out.update(zip(own, map(packed, self.ids(own)), strict=True))
                 continue
-            data, at = packed(ids), 0
+            data, at = ids.tobytes(), 0
             for x, b in zip(own, (4 * cut).tolist(), strict=True):
                 out[x] = data[at:b]
                 at = b
@@ -120,8 +132,8 @@ class WordCache:
         at = old.number.get
         known = {x: k for x in waiting if (k := at(x)) is not None}
         new = self.encode_parts([x for x in waiting if x not in known])
-        data, starts, lengths = old.flat.tobytes(), (4 * old.starts).tolist() if known else [], (4 * old.lengths).tolist() if known else []
-        got = [new[x] if (k := known.get(x)) is None else data[starts[k] : starts[k] + lengths[k]] for x in waiting]
+        data, starts, ends = old.spans
+        got = [new[x] if (k := known.get(x)) is None else data[starts[k] : ends[k]] for x in waiting]
         own = np.fromiter(map(len, got), np.int64, len(got)) // 4
         now.starts = np.concatenate([now.starts, len(now.flat) + np.cumsum(own) - own])
         now.lengths = np.concatenate([now.lengths, own])
@@ -133,7 +145,7 @@ class WordCache:
         if not self.by_word:
             return pa.array([[*ids, end_id] for ids in self.ids([t or "" for t in texts])], pa.list_(pa.int32()))
         if len(self.now.number) > CACHE_PARTS:
-            self.older, self.now = self.now, Generation()
+            self.older, self.now = self.now.close(), Generation()
         now, codes, n = self.now, [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
