@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import arrow_function, bounded_batches, free_name, materialize, mix64, utf8
+from parley.llm.common import arrow_function, bounded_batches, fixed_multipliers, free_name, materialize, mix64, utf8
 from parley.llm.components import connected_components, star_edges
 
 SEED = 42
@@ -87,26 +87,6 @@ def shingle_simhash(text: pa.Array) -> pa.Array:
     return pa.array(fingerprints([shingle_hashes(w, 4) for w in batch_words(text)]).view(np.int64), pa.int64())
 
 
-@arrow_function("struct<fp:bigint,wide:binary>")
-def copy_simhash(text: pa.Array) -> pa.Array:
-    """For near copies by word shingles: 64 bits over distinct words to search, 256 over distinct 5-word shingles to verify."""
-    known: dict[bytes, int] = {}
-    short, long = [], []
-    for words in batch_words(text):
-        distinct = set(words)
-        for w in distinct.difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, SEED)
-        short.append(np.fromiter((known[w] for w in distinct), np.uint64, len(distinct)))
-        long.append(np.unique(shingle_hashes(words, 5)))
-    fp = fingerprints(short)
-    parts = [fingerprints(long)]
-    for i in range(1, 4):
-        with np.errstate(over="ignore"):
-            parts.append(fingerprints([mix64(h + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) for h in long]))
-    wide = np.stack(parts, axis=1).astype("<u8").tobytes()
-    return pa.StructArray.from_arrays([pa.array(fp.view(np.int64), pa.int64()), pa.array([wide[i : i + 32] for i in range(0, len(wide), 32)], pa.binary())], ["fp", "wide"])
-
-
 # ------------------------------------------------------------------ plan
 
 
@@ -368,21 +348,169 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ near-duplicate removal
 
-#: Near copies: 5-word shingles alike to 0.8 differ in 39 of 256 bits on average, with a deviation of 6.
-COPY_RADIUS, COPY_WIDE_RADIUS = 8, 48
+#: Near copies share this part of the distinct 5-word shingles of both texts (Jaccard), as a fraction.
+ALIKE = (4, 5)
+#: MinHash bands, and hashes in each: a pair alike to 0.8 shares no band with a probability of 5e-9, at 0.85 of 4e-13.
+BANDS, ROWS = 48, 5
+_MIN_KEYS = fixed_multipliers(BANDS * ROWS, 71).astype(np.uint32) | np.uint32(1)
+_BAND_KEYS = fixed_multipliers(ROWS, 72)
+
+
+def copy_shingles(words: list[bytes]) -> np.ndarray:
+    """The distinct 5-word shingles, sorted."""
+    return np.unique(shingle_hashes(words, 5))
 
 
-def drop_near_copies(docs: DataFrame, radius: int = COPY_RADIUS, wide_radius: int = COPY_WIDE_RADIUS) -> DataFrame:
+def band_keys(shingles: np.ndarray, block: int = 1024) -> np.ndarray:
+    """One key a band: texts whose sets of shingles are alike to J share a key with a probability of J ** ROWS."""
+    h = mix64(shingles).astype(np.uint32)
+    low = np.full(len(_MIN_KEYS), np.iinfo(np.uint32).max, np.uint32)
+    for a in range(0, len(h), block):
+        np.minimum(low, (_MIN_KEYS[:, None] * h[None, a : a + block]).min(axis=1), out=low)
+    with np.errstate(over="ignore"):
+        keys = (low.reshape(BANDS, ROWS).astype(np.uint64) * _BAND_KEYS).sum(axis=1, dtype=np.uint64)
+        return mix64(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+@arrow_function("struct<node:bigint,n:int,bands:array<bigint>>")
+def copy_bands(text: pa.Array) -> pa.Array:
+    """Name and size of a text's set of shingles, and its band keys; a set without shingles has none."""
+    node, n, bands = [], [], []
+    for words in batch_words(text):
+        s = copy_shingles(words)
+        node.append(xxhash.xxh3_64_intdigest(s.tobytes(), SEED))
+        n.append(len(s))
+        bands.append(band_keys(s) if len(s) else np.zeros(0, np.uint64))
+    at = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
+    keys = np.concatenate([*bands, np.zeros(0, np.uint64)]).view(np.int64)
+    cols = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))]
+    return pa.StructArray.from_arrays(cols, ["node", "n", "bands"])
+
+
+@arrow_function("binary")
+def shingle_set(text: pa.Array) -> pa.Array:
+    return pa.array([copy_shingles(w).tobytes() for w in batch_words(text)], pa.binary())
+
+
+@arrow_function("boolean")
+def are_alike(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The exact test: shared shingles over all shingles of both texts."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+        both = np.sort(np.concatenate([x, y]), kind="stable")
+        shared = int((both[1:] == both[:-1]).sum())
+        out.append(ALIKE[1] * shared >= ALIKE[0] * (len(both) - shared))
+    return pa.array(out, pa.bool_())
+
+
+def whole_runs(batches):
+    """Batches of rows sorted by key -> the same rows, with all rows of a key in one batch, and the bounds of the keys."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([*([rest] if rest is not None else []), batch]).combine_chunks()
+        if not len(table):
+            continue
+        rest = table.to_batches()[0]
+        key = rest.column("key").to_numpy()
+        n = int(np.searchsorted(key, key[-1]))
+        if n:
+            yield rest.slice(0, n), np.flatnonzero(np.concatenate(([True], key[1:n] != key[: n - 1], [True])))
+            rest = rest.slice(n)
+    if rest is not None and len(rest):
+        key = rest.column("key").to_numpy()
+        yield rest, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+
+
+def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sets of these sizes can be alike enough."""
+    return ALIKE[1] * np.minimum(a, b).astype(np.int64) >= ALIKE[0] * np.maximum(a, b).astype(np.int64)
+
+
+def shared_bands(batches):
+    """(key, n, node) sorted -> the rows that share their key, with the first nodes to compare with: that of middle size, and the next smaller."""
+    for rows, cut in whole_runs(batches):
+        sizes = np.diff(cut)
+        at = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        if not len(at):
+            continue
+        n, node = rows.column("n").to_numpy(), rows.column("node").to_numpy()
+        first, size = np.repeat(cut[:-1], sizes)[at], np.repeat(sizes, sizes)[at]
+        middle, before = first + size // 2, np.maximum(at - 1, first)
+        cols = [rows.column("key").take(pa.array(at)), pa.array(n[at]), pa.array(node[at])]
+        for other in (middle, before):
+            cols.append(pa.array(node[other], mask=(other == at) | ~fits(n[at], n[other])))
+        yield pa.record_batch(cols, ["key", "n", "node", "middle", "before"])
+
+
+def crossing_pairs(batches, block: int = 1 << 18):
+    """(key, n, node, root) sorted -> pairs of one key whose roots differ and whose sizes fit."""
+    for rows, cut in whole_runs(batches):
+        n, node, root = (rows.column(c).to_numpy() for c in ("n", "node", "root"))
+        mixed = np.maximum.reduceat(root, cut[:-1]) != np.minimum.reduceat(root, cut[:-1])
+        for k in np.flatnonzero(mixed):
+            own, mine, group = (x[cut[k] : cut[k + 1]] for x in (n, node, root))
+            end = np.searchsorted(ALIKE[0] * own.astype(np.int64), ALIKE[1] * own.astype(np.int64), side="right")
+            todo = end - np.arange(len(own)) - 1
+            a = 0
+            while a < len(own):
+                b = max(a + 1, a + int(np.searchsorted(np.cumsum(todo[a:]), block)))
+                x = np.repeat(np.arange(a, min(b, len(own))), todo[a:b])
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(todo[a:b]) - todo[a:b], todo[a:b])
+                ok = group[x] != group[y]
+                low, high = np.minimum(mine[x[ok]], mine[y[ok]]), np.maximum(mine[x[ok]], mine[y[ok]])
+                yield pa.record_batch([pa.array(low), pa.array(high)], ["src", "dst"])
+                a = b
+
+
+def alike_links(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs (src, dst) whose texts are alike; texts(node, text) may hold a node more than once."""
+    wanted = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), f"{name}-nodes")
+    found = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(found.select("node", shingle_set("text").alias("s")), f"{name}-sets")
+    left = pairs.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src")
+    both = left.join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
+    return materialize(both.filter(are_alike("a", "b")).select("src", "dst"), f"{name}-links")
+
+
+def copy_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """nodes(node, n, bands), one row a node -> (node, root) of the nodes that a link reaches.
+
+    Within a band each node is compared with two others first.  What that leaves apart is then compared pair by pair,
+    so the components are those of all pairs that share a band.
+    """
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = nodes.select(F.explode("bands").alias("key"), "n", "node").repartition(parts, "key").sortWithinPartitions("key", "n", "node")
+    shared = materialize(keys.mapInArrow(shared_bands, "key bigint, n int, node bigint, middle bigint, before bigint"), "bands")
+    first = shared.select("node", F.explode(F.array("middle", "before")).alias("other")).filter("other is not null")
+    first = materialize(first.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct(), "first-pairs")
+    links = alike_links(first, texts, "first")
+    roots = connected_components(links, "src", "dst")
+    apart = shared.select("key", "n", "node").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+    apart = apart.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(crossing_pairs, "src bigint, dst bigint")
+    apart = materialize(apart.distinct().join(first, ["src", "dst"], "left_anti"), "other-pairs")
+    if apart.isEmpty():
+        return roots
+    return connected_components(links.unionByName(alike_links(apart, texts, "other")), "src", "dst")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id.  Columns stay as they are.
 
-    Of rows that repeat whole (same doc_id and text) one stays.  A null doc_id is the largest.
+    Near copies are linked where the Jaccard index of their distinct 5-word shingles, counted whole, is 0.8 or more.
+    Texts without words are copies of each other.  Of rows that repeat whole (same doc_id and text) one stays.  A null
+    doc_id is the largest.
     """
     bounded_batches(docs.sparkSession)
-    prints = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), copy_simhash("text").alias("s"))
-    prints = prints.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "content", F.xxhash64("s.fp", "s.wide").alias("node"), "s.fp", "s.wide")
+    prints = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), copy_bands("text").alias("s"))
+    prints = prints.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "content", "s.node", "s.n", "s.bands")
     prints = materialize(prints, "prints")
-    found = components_of(prints, radius, wide_radius)
-    groups = prints.select("doc_id", "content", "node").join(found, "node").groupBy("component_id")
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    names = materialize(prints.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("k")).select("node", "k.*"), "names")
+    texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), "text")
+    texts = texts.join(names, ["doc_id", "content"]).select("node", "text")
+    roots = copy_components(nodes, texts)
+    groups = prints.select("doc_id", "content", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     kept = groups.agg(F.min(F.struct("doc_id", "content")).alias("k"), F.count(F.lit(1)).alias("n")).select("k.*")
     kept = materialize(kept, "kept")
     repeats = prints.join(kept, ["doc_id", "content"], "left_semi").groupBy("doc_id", "content").count().filter("count > 1").limit(1).count()

@@ -110,6 +110,61 @@ def test_near_copies_leave_one_of_each_group(spark):
     assert H.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def plain_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return not a and not b or len(a & b) >= 0.8 * len(a | b) - 1e-12
+
+
+def edited(rng, text, kind, share):
+    """The text with about ``share`` of it changed in one of five ways."""
+    w = text.split()
+    n = max(1, int(len(w) * share))
+    new = words(rng, n).split()
+    at = rng.randrange(len(w) - n)
+    if kind == "scattered":
+        for i in rng.sample(range(len(w)), max(1, n // 5)):
+            w[i] = new[0]
+        return " ".join(w)
+    return " ".join({"appended": w + new, "cut": w[:-n], "replaced": w[:at] + new + w[at + n :], "inserted": w[:at] + new + w[at:]}[kind])
+
+
+KINDS = ("scattered", "appended", "cut", "replaced", "inserted")
+
+
+def edited_corpus(seed, lengths=(80, 600)):
+    rng = random.Random(seed)
+    base = [words(rng, rng.randint(*lengths)) for _ in range(60)]
+    return base + [edited(rng, t, KINDS[i % 5], s) for i, t in enumerate(base) for s in (0.06, 0.1, 0.14, 0.18, 0.22, 0.3)]
+
+
+def test_near_copies_found_equal_brute_force(spark):
+    texts = edited_corpus(21) + [None, "", "few words only", "Few words  only"]
+    sets = [plain_shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])]
+    root = roots(range(len(texts)), pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len(pairs) > 60 and {r.doc_id for r in H.drop_near_copies(docs).collect()} == set(root.values())
+
+
+def test_texts_under_the_limit_are_no_copies(spark):
+    rng = random.Random(22)
+    rows = []
+    for i in range(300):
+        text = words(rng, rng.randint(80, 400))
+        other = edited(rng, text, KINDS[i % 5], rng.choice((0.12, 0.16, 0.2, 0.24)))
+        a, b = plain_shingles(text), plain_shingles(other)
+        if 0.7 <= len(a & b) / len(a | b) <= 0.9:
+            rows += [(2 * i, text), (2 * i + 1, other)]
+    apart = {i for (i, t), (_, u) in zip(rows[1::2], rows[::2], strict=True) if not alike(plain_shingles(t), plain_shingles(u))}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in H.drop_near_copies(docs).collect()}
+    assert len(apart) > 30 and {i for i in kept if i % 2} == apart and {i for i in kept if not i % 2} == {i for i, _ in rows[::2]}
+
+
 def plain_repeats(texts, length=200):
     data = [(t or "").encode() for t in texts]
     n = Counter(b[p : p + length] for b in data for p in range(len(b) - length + 1))
