@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Mixed analyzer: character classes and camel case, lower-cased.
 TOKEN_PATTERN = r"\p{Lu}?\p{Ll}+|\p{Lu}+|\p{Lo}+|\p{N}+"
 CHARS_PER_TOKEN = 3.5
+HEAD_HASH_BYTES = 64 * 1024
 # Texts that a tool puts before a person's words.
 AUTO_CONTEXT = ("<environment_context>", "<user_instructions>", "# AGENTS.md", "<turn_aborted>")
 
@@ -50,9 +51,9 @@ def content_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.sha2(identity_key(*parts), 256))
 
 
-def head_hash(size: Column, text: Column, n: int = 4096) -> Column:
-    """SHA-256 of the size and the first n bytes."""
-    return F.sha2(F.concat(F.encode(size.cast("string"), "UTF-8"), F.substring(F.encode(text, "UTF-8"), 1, n)), 256)
+def head_hash(size: Column, text: Column, n: int = HEAD_HASH_BYTES) -> Column:
+    """SHA-256 of the size, a colon and the first n bytes."""
+    return F.sha2(F.concat(F.encode(F.concat(size.cast("string"), F.lit(":")), "UTF-8"), F.substring(F.encode(text, "UTF-8"), 1, n)), 256)
 
 
 def day_key(ts: Column, zone: str = "Europe/Berlin") -> Column:

@@ -1,5 +1,6 @@
 """Scalar functions and operators on hand-made rows."""
 
+import hashlib
 import math
 
 import pytest
@@ -154,3 +155,11 @@ def test_segments(spark):
     assert [k for k, _ in G.blocks("# h\ntext\n\n```\na\n\nb\n```\nend\n```open")] == ["heading", "text", "fence", "text", "fence"]
     got = G.segment_documents(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
     assert [r.content for r in got if r.doc_id == 1] == parts and [r.segment_no for r in got if r.doc_id == 2] == [0]
+
+
+def test_head_hash_is_that_of_the_reference(spark):
+    texts = ["", "é" * 10, "a" * 5000, "a" * 4999 + "b", "a" * 65_536 + "b", "a" * 65_536 + "c", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, html string").select("i", T.head_hash(F.octet_length("html"), F.col("html")).alias("h"))
+    plain = lambda b: hashlib.sha256(f"{len(b)}:".encode() + b[: 64 * 1024]).hexdigest()
+    got = {r.i: r.h for r in rows.collect()}
+    assert got == {i: None if t is None else plain(t.encode()) for i, t in enumerate(texts)} and got[2] != got[3] and got[4] == got[5]
