@@ -8,7 +8,7 @@ A probe hit names a candidate, which is verified by counting the item's distinct
 
 Words are runs of letters, digits and underscores of the lower-cased text; shingles have five words, and an item of
 fewer words is one shingle of its length.  Items without a word match nothing, null texts are empty, repeated rows are
-judged each for themselves.  Items go to the executors in blocks of bounded size.
+judged each for themselves, and items with a null id like any other.  Items go to the executors in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def size_class(n: int) -> int:
 class ItemIndex:
     """Sketches and shingles of a block of items, as arrays."""
 
-    def __init__(self, items: list[tuple[int, str]], containment: float = CONTAINMENT):
+    def __init__(self, items: list[tuple[int | None, str]], containment: float = CONTAINMENT):
         self.vocabulary: dict[str, int] = {}
         number: dict[tuple[str, ...], int] = {}
         self.item_id, self.size, member, sketch = [], [], [], []
@@ -71,7 +71,7 @@ class ItemIndex:
                     member.append((at, row))
                     if x in smallest:
                         sketch.append((at, row))
-        self.item_id, self.size = np.array(self.item_id, np.int64), np.array(self.size, np.int64)
+        self.size = np.array(self.size, np.int64)
         self.containment = containment
         # Shingles by width: sorted 64-bit keys of word numbers, with the words for an exact comparison.
         self.tables = {}
@@ -100,7 +100,7 @@ class ItemIndex:
         starts, values = lists
         return np.concatenate([values[starts[i] : starts[i + 1]] for i in at]) if len(at) else np.zeros(0, np.int64)
 
-    def search(self, text: str | None) -> list[tuple[int, int, int]]:
+    def search(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item, its shingles, those found) of each item that the text contains."""
         words = words_of(text)
         if not words or not self.tables:
@@ -127,7 +127,7 @@ class ItemIndex:
             return []
         count = np.bincount(self.of(self.members, found), minlength=len(self.item_id))
         good = candidates[count[candidates] >= self.containment * self.size[candidates] - 1e-9]
-        return [(int(self.item_id[i]), int(self.size[i]), int(count[i])) for i in good]
+        return [(self.item_id[i], int(self.size[i]), int(count[i])) for i in good]
 
 
 HITS = "array<struct<item_id:bigint,n_shingles:bigint,n_found:bigint>>"
@@ -144,11 +144,11 @@ def searcher(index: ItemIndex):
 
 def item_blocks(items: DataFrame, block: int = BLOCK_ITEMS):
     """The benchmark, in blocks that fit an executor; only one block is in the driver at a time."""
-    items = items.select("item_id", "text").filter("item_id is not null and text is not null")
+    items = items.select("item_id", "text").filter("text is not null")
     n = max(1, -(-items.count() // block))
     for i in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        yield [(r[0], r[1]) for r in part.orderBy("item_id").collect()]
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+        yield [(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()]
 
 
 def contaminations(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, block: int = BLOCK_ITEMS) -> list:

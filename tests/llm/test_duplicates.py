@@ -245,3 +245,14 @@ def test_leaks_equal_brute_force(spark, tmp_path):
     kept = D.drop_leaks(table, bench, block=2)
     assert kept.columns == table.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in docs if r[0] not in leaks)
     assert D.find_leaks(table.limit(0), bench).count() == 0 and D.find_leaks(table, bench.limit(0)).count() == 0
+
+
+def test_items_without_an_id_are_items(spark):
+    rng = random.Random(5)
+    items = [(None, words(rng, 30)), (1, words(rng, 30)), (None, words(rng, 7)), (None, None)]
+    rows = [(i, words(rng, 40) + " " + (t or "") + " " + words(rng, 40)) for i, (_, t) in enumerate(items)]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for block in (20_000, 1):
+        found = D.find_leaks(docs, bench, block=block).collect()
+        assert Counter((r.doc_id, r.item_id, r.n_found) for r in found) == Counter([(0, None, 26), (1, 1, 26), (2, None, 3)])
+        assert [r.doc_id for r in D.drop_leaks(docs, bench, block=block).collect()] == [3]
