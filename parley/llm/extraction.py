@@ -31,14 +31,20 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-DROPPED = RAW | frozenset("head nav footer aside form select button dialog menu object audio video canvas map".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
+DROPPED = RAW | frozenset("head nav footer aside form select button dialog menu object audio video canvas map annotation annotation-xml".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id names that mark what is no article text.
+#: Whole class and id names that mark what is no article text: such names alone, and with a place or a kind of box.
+_NAMES = (
+    r"ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|sidebar|aside|"
+    r"widgets?|related|recommended|comments?|replies|disqus|cookies?|consent|gdpr|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|toolbar|pagination|pager|copyright"
+)
 DROPPED_NAMES = re.compile(
-    r"^(ads?|adverts?|advertisement|advertising|adsense|sponsor(ed)?|promo(tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|sidebar|aside|"
-    r"widgets?|related|recommended|comments?|replies|reply|disqus|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|toolbar|pagination|pager|copyright)$"
+    rf"^(?:{_NAMES}|reply|notice|alert|(?:site|page|global|main|top|bottom|left|right|primary|secondary|mobile)[-_](?:ads?|header|banner|nav|navbar|navigation|menu|footer|sidebar|toolbar)|"
+    r"(?:ads?|banner|nav|navbar|navigation|menu|footer|sidebar|widget|cookies?|consent|gdpr|comments?|newsletter|popup|social|share|sharing|related|recommended)[-_]"
+    r"(?:left|right|top|bottom|main|primary|secondary|list|area|section|box|bar|banner|notice|consent|popup|form|signup|links|buttons|icons|posts|articles|stories|slot|unit|container|wrapper))$"
 )
+MARK = re.compile(r"<(?:article|main)[\s>]|<[A-Za-z][^>]*\srole\s*=\s*[\"']?main\b", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
 #: Elements that end an open paragraph, and those that end their own kind.
@@ -51,16 +57,39 @@ def attributes(source: str) -> dict[str, str]:
 
 
 def is_dropped(tag: str, source: str) -> bool:
-    """The element holds no article text, by its tag, role, class or id."""
+    """The element holds no article text, by its tag or role."""
     if tag in DROPPED:
         return True
     if not source or tag in ("html", "body", "article", "main"):
         return False
     a = attributes(source)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return any(DROPPED_NAMES.match(part) for name in names.split() for part in [name, *re.split(r"[-_]", name)])
+    return "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in DROPPED_ROLES
+
+
+def is_named(tag: str, source: str, inside: bool) -> bool:
+    """A class or id names the element as no article text; inside an article, headers hold its headline."""
+    if not source or tag in ("html", "body", "article", "main"):
+        return False
+    a = attributes(source)
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    return any(DROPPED_NAMES.match(name) and not (inside and name.endswith("header")) for name in names)
+
+
+def text_size(source: str) -> int:
+    return len("".join(TOKEN.sub("", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", source)).split()))
+
+
+def holds_article(page: str, tag: str, start: int, at: int, mark: int | None) -> bool:
+    """The element whose start tag is page[start:at] holds the page's first marked article or, without one, most of its text."""
+    if mark is not None and mark < start:
+        return False
+    depth, end = 1, len(page)
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            end = m.start()
+            break
+    return mark < end if mark is not None else 2 * text_size(page[at:end]) > text_size(page)
 
 
 def lines_of(page: str) -> list[tuple[str, bool, int]]:
@@ -78,6 +107,8 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         linked = 0
 
     dropping = inside = links = 0
+    first = MARK.search(page)
+    mark = first.start() if first else None
 
     def pop(n: int) -> None:
         nonlocal dropping, inside, links
@@ -138,6 +169,8 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             continue
         # A page's own header is dropped, an article's header holds its headline.
         drops = is_dropped(tag, source) or tag == "header" and not inside
+        if not drops and not dropping and is_named(tag, source, inside > 0):
+            drops = not holds_article(page, tag, m.start(), at, mark)
         marks = not drops and not dropping and (tag in ("article", "main") or attributes(source).get("role", "").lower() == "main")
         stack.append((tag, drops, marks))
         dropping += drops

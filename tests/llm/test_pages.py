@@ -87,3 +87,15 @@ def test_op10_over_rows(spark, tmp_path):
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = E.op10_html_extraction(spark, str(tmp_path)).collect()
     assert Counter((r.page_id, r.url, r.n_chars) for r in got) == Counter([(1, "u", len(E.main_text(ARTICLE)))] * 2 + [(2, None, 0), (None, "v", 99_999)])
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "content with-sidebar", "has-header", "page-with-menu", "elementor-widget", "sidebar"])
+def test_wrappers_of_the_article_are_kept(name):
+    body = "<p>The article's only text.</p>"
+    assert E.main_text(f"<div class='{name}'><article>{body}</article></div>") == "The article's only text."
+    assert E.main_text(f"<div class='{name}'><p>{'Text of the page. ' * 20}</p></div><div>x</div>").startswith("Text of")
+
+
+def test_headlines_and_formulas_inside_the_article_are_kept():
+    page = "<article><div class='entry-header'><h1>Head</h1></div><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>.</p><div class='sidebar-left'>No</div></article><div id='comments'><article>First!</article></div>"
+    assert E.main_text(page) == "Head\nLet x=1."
