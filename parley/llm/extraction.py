@@ -3,10 +3,10 @@
 Markup is stripped to lines: a block element starts and ends a line, inline markup leaves the line whole, and what can
 hold no article text (head, scripts, styles, forms, comments of the source, and elements named as navigation, header,
 footer, sidebar, notice, advert or reader comments by tag, role, class or id) counts as lines without text.  Text
-lengths are summed over sliding windows of lines.  The sum surges where a window first carries text that lasts, and
-dives where windows have run dry again; the lines between the surge and the dive points are kept.  Where the page marks
-its article (``article``, ``main``, role main), the distribution is read inside it, and every line with text there is
-part of a surge; unmarked pages need a window of ``SURGE`` characters and drop link-only lines.
+lengths are summed over sliding windows of the lines with text.  The sum surges where a window first carries text that
+lasts, and dives where windows hold nothing but links; all lines from the first surge to the last dive are kept, short
+and linked ones too.  A page that never surges is kept from its first line of text.  Where the page marks its article
+(``article``, ``main``, role main), that is taken by its markup, and the distribution has no part in it.
 
 White space inside a line becomes one space, character references are decoded, lines are joined by one line feed.
 Null and empty pages give an empty text.  Nothing is capped.
@@ -203,12 +203,13 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The article's blocks, one a line."""
     if not page:
         return ""
-    lines = lines_of(page)
-    marked = any(inside and text for text, inside, _ in lines)
-    # Inside a marked article a single character is a surge; elsewhere link-only lines weigh nothing.
-    lengths = [len(t) if (inside if marked else 2 * link <= len(t)) else 0 for t, inside, link in lines]
-    found = surge_and_dive(lengths, window, 1 if marked else surge, DRY)
-    return "\n".join(lines[i][0] for a, b in found for i in range(a, b) if lengths[i])
+    lines = [x for x in lines_of(page) if x[0]]
+    if any(inside for _, inside, _ in lines):
+        return "\n".join(text for text, inside, _ in lines if inside)
+    # Link-only lines weigh nothing; a page that never surges is short as a whole.
+    lengths = [len(t) if 2 * link <= len(t) else 0 for t, _, link in lines]
+    found = surge_and_dive(lengths, window, surge, DRY) or surge_and_dive(lengths, window, 1, DRY)
+    return "\n".join(t for t, _, _ in lines[found[0][0] : found[-1][1]]) if found else ""
 
 
 @arrow_function("string")

@@ -99,3 +99,13 @@ def test_wrappers_of_the_article_are_kept(name):
 def test_headlines_and_formulas_inside_the_article_are_kept():
     page = "<article><div class='entry-header'><h1>Head</h1></div><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>.</p><div class='sidebar-left'>No</div></article><div id='comments'><article>First!</article></div>"
     assert E.main_text(page) == "Head\nLet x=1."
+
+
+def test_short_and_linked_lines_of_unmarked_pages_are_kept():
+    deep = "</p></div></div></div><div><div><div>"
+    long = "Long enough sentence of real text. " * 4
+    links = "".join(f"<li><a href={i}>Source {i}</a></li>" for i in range(5))
+    page = f"<div><a href=1>Menu</a></div><h1>Head</h1><div><div><div><p>{long}{deep}<h2>Part</h2>{deep}<p>Short.{deep}<ul>{links}</ul><p>{long}{deep}<p>End.</p>"
+    want = ["Head", long.strip(), "Part", "Short.", *(f"Source {i}" for i in range(5)), long.strip(), "End."]
+    assert E.main_text(page).split("\n") == want
+    assert E.main_text("<body><h1>Head</h1><p>A whole article.</p></body>") == "Head\nA whole article."
