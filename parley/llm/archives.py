@@ -4,15 +4,18 @@ An ARC file starts with a version block, whose second line names the version and
 the header lines that follow.  Version 1 lines are ``URL IP-address Archive-date Content-type Archive-length``; version
 2 lines add ``Result-code Checksum Location Offset Filename`` before the length.  Each header line declares how many
 bytes follow; nothing inside them is looked at for record ends.  A URL may hold spaces, so fields are taken from the
-right.  From each record the converter makes an identifier (a name-based UUID of URL, date and digest), an ISO
-timestamp (14 digits, or 12 in old files), the record type, and block and payload digests.
-
-Of records with equal payloads the one with the smallest key is the response; the others are revisits that refer to it
-and carry no payload.  Null payloads are empty; a null or malformed date becomes the epoch; a null URL becomes the
-empty one, which ``-`` stands for in a header line; repeated keys are allowed and keep a record each.
-
-Files are gzip-compressed, written and read by Spark only, in the folder that executors share, at about FILE_BYTES of
-payload a file.  Payloads are shuffled once, by record, so a group of copies never meets in one task.
+right.  From each record the converter makes an identifier (a name-based UUID of URL, date, digest and the record's place
+in its archive), an ISO timestamp (14 digits, or 12 in old files), the record type, and block and payload digests.
+Payloads are bytes all the way, in whatever character set.
+
+Of records with equal payloads the one with the smallest key is the response; the others are revisits that refer to it and
+carry no payload.  Where rows repeat, each of the smallest key is a response, and revisits refer to one of them.  Null payloads are empty; a null or malformed date becomes
+the epoch; a null URL becomes the empty one, which ``-`` stands for in a header line; rows that repeat keep a record each,
+since their places in the archive differ.  Null keys are the largest.
+
+Each record is a gzip member of its own, so a reader can start at any of them.  Files are written and read by Spark only,
+in the folder that executors share, at about FILE_BYTES of payload a file.  Payloads are shuffled once, by record, so a
+group of copies never meets in one task.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ import gzip
 import hashlib
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +53,7 @@ class ArcRecord:
     date: str
     mime: str
     block: bytes
+    place: int = 0  # the byte where the record starts
 
 
 def digest(data: bytes) -> str:
@@ -60,26 +66,26 @@ def clean_url(url: str | None) -> str:
     return re.sub(r"[\r\n]", "", url or "").strip() or "-"
 
 
-def arc_version_block(version: int, name: str = "pages.arc", date: str = "20240101000000") -> str:
+def arc_version_block(version: int, name: str = "pages.arc", date: str = "20240101000000") -> bytes:
     body = f"{version} 0 parley\n{' '.join(FIELDS[version])}\n"
     n = len(body)
     tail = {1: f"text/plain {n}", 2: f"text/plain 200 - - 0 {name} {n}"}[version]
-    return f"filedesc://{name} 0.0.0.0 {date} {tail}\n{body}"
+    return f"filedesc://{name} 0.0.0.0 {date} {tail}\n{body}".encode()
 
 
-def http_block(key: int | None, html: str) -> str:
-    return f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{KEY_HEADER}: {'' if key is None else key}{CRLF}{CRLF}{html}"
+def http_block(key: int | None, payload: bytes) -> bytes:
+    return f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html{CRLF}{KEY_HEADER}: {'' if key is None else key}{CRLF}{CRLF}".encode() + payload
 
 
-def arc_record(version: int, url: str | None, date: str, block: str, offset: int = 0, name: str = "pages.arc") -> str:
-    n = len(block.encode())
-    tail = {1: f"text/html {n}", 2: f"text/html 200 {digest(block.encode())} - {offset} {name} {n}"}[version]
-    return f"{clean_url(url)} 0.0.0.0 {date} {tail}\n{block}"
+def arc_record(version: int, url: str | None, date: str, block: bytes, offset: int = 0, name: str = "pages.arc") -> bytes:
+    n = len(block)
+    tail = {1: f"text/html {n}", 2: f"text/html 200 {digest(block)} - {offset} {name} {n}"}[version]
+    return f"{clean_url(url)} 0.0.0.0 {date} {tail}\n".encode() + block + b"\n"
 
 
-def parse_arc(data: bytes) -> list[ArcRecord]:
+def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """The records of one ARC file of either version, without its version block."""
-    out, at, names = [], 0, FIELDS[1]
+    at, names = 0, FIELDS[1]
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):  # records are parted by a line end
             at += 1
@@ -95,7 +101,7 @@ def parse_arc(data: bytes) -> list[ArcRecord]:
         if not parts[-1].isdigit() or (not start and len(parts) != len(names)):
             raise ValueError(f"ARC header line at byte {at} doesn't have the fields {names}")
         n = int(parts[-1])
-        block = data[end + 1 : end + 1 + n]
+        block, place = data[end + 1 : end + 1 + n], at
         if len(block) < n:
             raise ValueError(f"ARC record at byte {at} declares {n} bytes; the file has {len(block)}")
         at = end + 1 + n
@@ -105,8 +111,7 @@ def parse_arc(data: bytes) -> list[ArcRecord]:
             names = tuple(lines[1].split(" ")) if len(lines) > 1 and lines[1] else FIELDS[version]
         else:
             got = dict(zip(names, parts, strict=True))
-            out.append(ArcRecord(got["URL"], got.get("IP-address", "-"), got.get("Archive-date", ""), got.get("Content-type", ""), block))
-    return out
+            yield ArcRecord(got["URL"], got.get("IP-address", "-"), got.get("Archive-date", ""), got.get("Content-type", ""), block, place)
 
 
 def warc_date(date: str | None) -> str:
@@ -115,8 +120,8 @@ def warc_date(date: str | None) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(url: str, date: str, key: str, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {key} {payload_digest}')}>"
+def record_id(url: str, date: str, payload_digest: str, place: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {payload_digest} {place}')}>"
 
 
 def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -130,7 +135,7 @@ def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def warc_record(kind: str, url: str, date: str, ident: str, payload_digest: str, head: bytes, payload: bytes, refers: str | None = None) -> bytes:
-    """One record without its trailing line ends.  A revisit keeps the HTTP head only."""
+    """One record with its trailing line ends.  A revisit keeps the HTTP head only."""
     block = head if kind == "revisit" else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}"]
     if kind == "revisit":
@@ -139,12 +144,12 @@ def warc_record(kind: str, url: str, date: str, ident: str, payload_digest: str,
         f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
-    return (CRLF.join(lines) + CRLF + CRLF).encode() + block
+    return (CRLF.join(lines) + CRLF + CRLF).encode() + block + b"\r\n\r\n"
 
 
-def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of one WARC file, by declared lengths."""
-    out, at = [], 0
+    at = 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
             at += 2
@@ -152,15 +157,14 @@ def parse_warc(data: bytes) -> list[tuple[dict[str, str], bytes]]:
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8").split(CRLF)
+        lines = data[at:end].decode("utf-8", "replace").split(CRLF)
         headers = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
         n = int(headers["content-length"])
         block = data[end + 4 : end + 4 + n]
         if len(block) < n:
             raise ValueError(f"WARC record at byte {at} declares {n} bytes; the file has {len(block)}")
-        out.append((headers, block))
+        yield headers, block
         at = end + 4 + n
-    return out
 
 
 def _files(df: DataFrame, size) -> int:
@@ -168,27 +172,59 @@ def _files(df: DataFrame, size) -> int:
 
 
 def _sized(df: DataFrame, size) -> DataFrame:
-    """Partitions of about FILE_BYTES; as they are where they already hold no more than twice that on average."""
-    n = _files(df, size)
-    return df if 2 * df.rdd.getNumPartitions() >= n else df.repartition(n)
+    """Partitions of about FILE_BYTES; as they are where the largest of them holds no more than four times that."""
+    most = df.groupBy(F.spark_partition_id()).agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0]
+    return df if (most or 0) <= 4 * FILE_BYTES else df.repartition(_files(df, size))
+
+
+#: An empty gzip member.  Spark's text files need a separator between values; this one is valid in a file of members.
+_EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
+#: DEFLATE level of the members: the text is read once, soon.
+LEVEL = 1
+
+
+def member(data: bytes) -> bytes:
+    return gzip.compress(data, LEVEL, mtime=0)
+
+
+def write_members(members: DataFrame, path: str) -> None:
+    """A binary column of gzip members -> files of members.  Spark writes a string's bytes as they are."""
+    text = members.select(F.col("value").cast("string"))
+    text.write.options(lineSep=_EMPTY_MEMBER.decode("latin-1"), encoding="ISO-8859-1", compression="none").text(path)
 
 
 def unpacked(data: bytes) -> bytes:
     return gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
 
 
+def _packed(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Members of the records, at most about 4 MB in a batch."""
+    held, n = [], 0
+    for r in records:
+        held.append(member(r))
+        n += len(held[-1])
+        if n > 4 << 20:
+            yield pa.record_batch([pa.array(held, pa.binary())], ["value"])
+            held, n = [], 0
+    if held:
+        yield pa.record_batch([pa.array(held, pa.binary())], ["value"])
+
+
 def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20240101000000") -> None:
-    """Pages (page_id, url, html) as ARC files, each with its version block."""
+    """Pages (page_id, url, html as text or bytes) as ARC files, each with its version block."""
     bounded_batches(pages.sparkSession)
 
     def run(batches):
-        yield pa.record_batch([pa.array([arc_version_block(version).rstrip("\n")])], ["value"])
-        for b in batches:
-            rows = zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True)
-            yield pa.record_batch([pa.array([arc_record(version, url, date, http_block(key, html or "")) for key, url, html in rows], pa.string())], ["value"])
+        def records():
+            yield arc_version_block(version)
+            for b in batches:
+                for key, url, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
+                    yield arc_record(version, url, date, http_block(key, html or b""))
+
+        yield from _packed(records())
 
-    rows = _sized(pages.select("page_id", "url", "html"), F.octet_length("html"))
-    rows.mapInArrow(run, "value string").write.options(lineSep="\n", compression="gzip").text(path)
+    rows = _sized(pages.select("page_id", "url", F.col("html").cast("binary").alias("html")), F.octet_length("html"))
+    write_members(rows.mapInArrow(run, "value binary"), path)
 
 
 CONVERTED = "page_id bigint, url string, date string, record_id string, payload_digest string, payload_bytes bigint, head binary, payload binary"
@@ -200,41 +236,46 @@ def convert_arc(spark, path: str) -> DataFrame:
     def run(batches):
         names = [c.split(" ")[0] for c in CONVERTED.split(", ")]
         for b in batches:
-            for data in b.column("content"):
-                rows = []
-                for r in parse_arc(unpacked(data.as_py())):
-                    headers, head, payload = split_http(r.block)
-                    key, d, when = headers.get(KEY_HEADER.lower(), ""), digest(payload), warc_date(r.date)
-                    rows.append((int(key) if key else None, r.url, when, record_id(r.url, when, key, d), d, len(payload), head, payload))
-                for a in range(0, len(rows), 256):
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[a : a + 256], strict=True), _CONVERTED, strict=True)], names)
+            for source, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                file = source.rsplit("/", 1)[-1]
+
+                def rows(data=data, file=file):
+                    for r in parse_arc(unpacked(data.as_py())):
+                        headers, head, payload = split_http(r.block)
+                        key, d, when = headers.get(KEY_HEADER.lower(), ""), digest(payload), warc_date(r.date)
+                        yield int(key) if key else None, r.url, when, record_id(r.url, when, d, f"{file}:{r.place}"), d, len(payload), head, payload
+
+                for some in batched(rows(), 256):
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*some, strict=True), _CONVERTED, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, CONVERTED)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CONVERTED)
 
 
 _CONVERTED = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def write_warc(records: DataFrame, path: str, min_payload: int = 0) -> None:
-    """Converted records as WARC files; equal payloads of at least ``min_payload`` bytes become revisits of one response."""
+    """Converted records as WARC files; equal payloads of at least ``min_payload`` bytes become revisits of one response.
+
+    ``record_id`` names a record, so every join here is one to one or many to one, whatever rows repeat.
+    """
     index = materialize(records.select("page_id", "record_id", "payload_digest", "payload_bytes"), "arc-index")
     # Per digest the smallest key, of all records: one row a digest, summed before it is shuffled.
-    named = F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("k"), "record_id")
-    first = index.filter(F.col("payload_bytes") >= min_payload).groupBy("payload_digest").agg(F.min(named)["record_id"].alias("refers"))
-    later = index.join(first, "payload_digest").filter("refers <> record_id").groupBy("record_id").agg(F.min("refers").alias("refers"))
+    key = F.coalesce("page_id", F.lit((1 << 63) - 1))
+    first = index.filter(F.col("payload_bytes") >= min_payload).groupBy("payload_digest").agg(F.min(F.struct(key.alias("k"), "record_id")).alias("first"))
+    later = index.join(first, "payload_digest").filter(key > F.col("first.k")).select("record_id", F.col("first.record_id").alias("refers"))
     n = _files(index, "payload_bytes")
     rows = records.repartition(n, "record_id").join(later.repartition(n, "record_id"), "record_id", "left")
 
     def run(batches):
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                kind = "response" if r["refers"] is None else "revisit"
-                out.append(warc_record(kind, r["url"], r["date"], r["record_id"], r["payload_digest"], r["head"], r["payload"], r["refers"]).decode())
-            yield pa.record_batch([pa.array(out, pa.string())], ["value"])
+        def record(r):
+            kind = "response" if r["refers"] is None else "revisit"
+            return warc_record(kind, r["url"], r["date"], r["record_id"], r["payload_digest"], r["head"], r["payload"], r["refers"])
+
+        yield from _packed(record(r) for b in batches for r in b.to_pylist())
 
     rows = rows.select("url", "date", "record_id", "payload_digest", "head", "payload", "refers")
-    rows.mapInArrow(run, "value string").write.options(lineSep=CRLF * 2, compression="gzip").text(path)
+    write_members(rows.mapInArrow(run, "value binary"), path)
 
 
 READ = "page_id bigint, record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, refers_id string, payload binary"
@@ -246,17 +287,19 @@ def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
     def run(batches):
         for b in batches:
             for data in b.column("content"):
-                rows = []
-                for h, block in parse_warc(unpacked(data.as_py())):
-                    headers, _, payload = split_http(block)
-                    key, declared = headers.get(KEY_HEADER.lower(), ""), h["warc-payload-digest"].removeprefix("sha1:")
-                    whole = h["warc-type"] == "response"
-                    d, n = (digest(payload), len(payload)) if whole else (declared, int(h["x-payload-length"]))
-                    if d != declared or digest(block) != h["warc-block-digest"].removeprefix("sha1:"):
-                        raise ValueError(f"{h['warc-record-id']}: a digest doesn't fit its bytes")
-                    rows.append((int(key) if key else None, h["warc-record-id"], h["warc-type"], h["warc-target-uri"], n, d, h.get("warc-refers-to"), payload if payloads and whole else None))
-                for a in range(0, len(rows), 256):
-                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[a : a + 256], strict=True), _READ, strict=True)], [c.split(" ")[0] for c in READ.split(", ")])
+
+                def rows(data=data):
+                    for h, block in parse_warc(unpacked(data.as_py())):
+                        headers, _, payload = split_http(block)
+                        key, declared = headers.get(KEY_HEADER.lower(), ""), h["warc-payload-digest"].removeprefix("sha1:")
+                        whole = h["warc-type"] == "response"
+                        d, n = (digest(payload), len(payload)) if whole else (declared, int(h["x-payload-length"]))
+                        if d != declared or digest(block) != h["warc-block-digest"].removeprefix("sha1:"):
+                            raise ValueError(f"{h['warc-record-id']}: a digest doesn't fit its bytes")
+                        yield int(key) if key else None, h["warc-record-id"], h["warc-type"], h["warc-target-uri"], n, d, h.get("warc-refers-to"), payload if payloads and whole else None
+
+                for some in batched(rows(), 256):
+                    yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*some, strict=True), _READ, strict=True)], [c.split(" ")[0] for c in READ.split(", ")])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
@@ -271,9 +314,11 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), arc)
     write_warc(convert_arc(spark, arc), warc)
     found = materialize(read_warc(spark, warc).drop("payload", "target_uri"), "warc-index")
-    named = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    out = found.join(named, "refers_id", "left")
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    responses = found.filter("record_type = 'response'")
+    named = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
+    revisits = found.filter("record_type = 'revisit'").join(named, "refers_id", "left")
+    return responses.select(*columns, F.lit(None).cast("bigint").alias("refers_to")).unionByName(revisits.select(*columns, "refers_to"))
 
 
 #: DuckDB SQL for op9_warc: base32 from the hexadecimal digest, five digits (20 bits) to four letters.

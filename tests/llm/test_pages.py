@@ -35,6 +35,25 @@ def test_op9_equals_brute_force(spark, tmp_path):
     assert A.op9_warc(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_rows_that_repeat_never_multiply(spark, tmp_path):
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "b", "x"), (3, "c", "y"), (None, "d", "x"), (None, None, None), (None, None, None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in A.op9_warc(spark, str(tmp_path)).collect())
+    assert got == Counter([(1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None), (None, "revisit", 1), (None, "response", None), (None, "response", None)])
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_payloads_stay_bytes(spark, tmp_path, version):
+    rows = [(1, "http://a/1", bytes.fromhex("fffee9")), (2, "http://a/2", "café".encode("latin-1")), (3, "http://a/3", bytes(range(256)) * 20), (4, "http://a/4", b"\x1f\x8b\r\n\r\n"), (5, "http://a/5", bytes.fromhex("fffee9"))]
+    A.write_arc(spark.createDataFrame(rows, "page_id bigint, url string, html binary"), f"{tmp_path}/arc", version)
+    A.write_warc(A.convert_arc(spark, f"{tmp_path}/arc"), f"{tmp_path}/warc")
+    back = {r.page_id: (r.record_type, r.payload) for r in A.read_warc(spark, f"{tmp_path}/warc", payloads=True).collect()}
+    assert {k: v[1] for k, v in back.items() if k < 5} == {k: v for k, _, v in rows if k < 5} and back[5] == ("revisit", None)
+    # Every record is a gzip member of its own.
+    for f in tmp_path.glob("warc/part-*"):
+        assert f.read_bytes().startswith(b"\x1f\x8b\x08")
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_files_of_both_versions_convert(spark, tmp_path, version):
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
@@ -50,12 +69,12 @@ def test_arc_files_of_both_versions_convert(spark, tmp_path, version):
 
 def test_malformed_archives_are_named():
     with pytest.raises(ValueError, match="declares"):
-        A.parse_arc(b"http://a 0.0.0.0 20240101000000 text/html 99\nshort")
+        list(A.parse_arc(b"http://a 0.0.0.0 20240101000000 text/html 99\nshort"))
     with pytest.raises(ValueError, match="fields"):
-        A.parse_arc(b"nothing here\n")
+        list(A.parse_arc(b"nothing here\n"))
     with pytest.raises(ValueError, match="no WARC record"):
-        A.parse_warc(b"junk")
-    assert A.parse_arc(b"") == [] and A.parse_warc(b"\r\n\r\n") == []
+        list(A.parse_warc(b"junk"))
+    assert list(A.parse_arc(b"")) == [] and list(A.parse_warc(b"\r\n\r\n")) == []
     assert A.warc_date("2024") == A.warc_date(None) == "1970-01-01T00:00:00Z"
 
 
