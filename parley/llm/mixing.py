@@ -21,6 +21,8 @@ SEED = 17
 TEMPERATURE = 0.7
 #: The largest mean that is inverted in one piece.
 PART = 64.0
+#: Sources up to which rates are broadcast (each some hundreds of bytes); with more, documents and rates are joined by source.
+MOST_BROADCAST = 10_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -67,8 +69,9 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, total_out: float |
     rates = target_rates(counts, own, weights, total_out).filter("rate > 0")
     rates = rates.select(own, F.greatest(F.ceil(F.col("rate") / PART).cast("int"), F.lit(1)).alias(parts), "rate")
     rates = rates.select(own, parts, cumulative(F.col("rate") / F.col(parts)).alias(cdf))
-    # One short row for each source; Spark broadcasts it where its size allows, and splits a hot source otherwise.
-    rows = docs.join(rates, docs[source].eqNullSafe(rates[own]))
+    # One short row for each source: broadcast where their number is counted to be small, so documents stay where they are.
+    few = rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = docs.join(F.broadcast(rates) if few else rates, docs[source].eqNullSafe(rates[own]))
 
     def inverse(part: Column) -> Column:
         u = uniform(F.lit(seed), F.col(doc_id), part)
@@ -79,7 +82,8 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, total_out: float |
     rows = rows.withColumn(n, inverse(F.lit(1)) + rest).filter(F.col(n) > 0)
     rows = rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy))
     rows = rows.withColumn(key, F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order {seed}"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col(copy).cast("string"))), 1, 15), 16, 10).cast("bigint"))
-    return rows.repartitionByRange(F.col(key)).sortWithinPartitions(key), copy, key
+    # The key is uniform, so hashing deals it evenly without the sampling pass of a range partitioning.
+    return rows.repartition(F.col(key)).sortWithinPartitions(key), copy, key
 
 
 def op3_mixing_sources(spark, sf_dir: str) -> DataFrame:

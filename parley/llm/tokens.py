@@ -1,12 +1,14 @@
 """Token-ID output: Parquet list columns with chosen encodings, row groups and page indexes.
 
 A dataset holds, in ascending doc_id order over its files: doc_id (delta encoded), n_tokens (delta encoded) and ids, a
-list column with dictionary encoding.  Row groups and pages have fixed byte sizes and Spark writes page indexes, so
+list column with dictionary encoding.  Row groups and pages have fixed byte sizes, pages at most ``PAGE_ROWS`` documents, and Spark writes page indexes, so
 a reader that wants some documents or only the counts skips the other pages and columns.
 
 White space and the places between letters and other characters always part tokens of this tokenizer, so a text's ids are
 the ids of its parts in order; each worker encodes a part once and keeps it in a bounded table.  Null texts are empty: they have the end id alone.
-Null doc_ids come first; rows that repeat are written each.
+Null doc_ids come first; rows that repeat are written each, and an id that many rows share is split over files.  ``start``
+is the place in the files: it is summed over file and row numbers, whatever the ids are.  Other columns of the input are
+left out unless ``keep`` names them; a kept column can't have the name of one that is written.
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ from itertools import islice
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import arrow_function, bounded_batches, work_path
-from parley.llm.sharding import bucket_edges, bucket_of, running_totals
+from parley.llm.common import arrow_function, bounded_batches, free_name, materialize, work_path
+from parley.llm.sharding import refuse_clash, totals_before
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 64 << 10
+ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 512
 #: Parts that a worker keeps encoded, in each of two generations, and parts that are encoded in one call.
 CACHE_PARTS, ENCODE_WORDS = 250_000, 2048
 
@@ -183,15 +185,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     """Writes the dataset; ``keep`` names columns of ``docs`` to write as metadata beside the ids."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    refuse_clash(docs.select(*keep), ["doc_id", "n_tokens", "ids"])
     rows = docs.select("doc_id", "text", *keep)
-    n = max(1, rows.rdd.getNumPartitions())
-    edges = bucket_edges(rows, "doc_id", n)
-    rows = rows.repartitionById(len(edges) + 1, bucket_of("doc_id", edges)).sortWithinPartitions("doc_id")
+    tie = free_name(rows, "parley_tie")
+    # The row number parts an id that many rows share; files are in ascending order of doc_id.
+    rows = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(max(1, rows.rdd.getNumPartitions()), "doc_id", tie)
+    rows = rows.sortWithinPartitions("doc_id", tie)
     encode = encoder(vocabulary or public_tokenizers.path(VOCABULARY), end_id)
     ids = rows.select("doc_id", *keep, encode("text").alias("ids"))
     ids = ids.select("doc_id", *keep, F.size("ids").cast("bigint").alias("n_tokens"), "ids")
     options = {
-        "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.enable.dictionary": "true",
+        "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": "true",
         "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd",
     }
     ids.write.options(**options).parquet(path)
@@ -205,18 +209,27 @@ def ids_crc32(ids: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
 
 
+def place() -> tuple[Column, ...]:
+    """Where a row stands: the number in its file's name, the name, and its number in the file."""
+    name = F.col("_metadata.file_name")
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("int").alias("part_no"), name.alias("file_name"), F.col("_metadata.row_index").alias("row_index")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``start``, from the rows' places in the files; a file's rows meet in one task."""
+    return totals_before(rows, ["part_no", "file_name"], ["row_index"], {"start": "n_tokens"}).drop("part_no", "file_name", "row_index")
+
+
 def read_counts(spark, path: str) -> DataFrame:
     """doc_id, n_tokens and start, the ids of all documents before it; the ids themselves aren't read."""
-    counts = spark.read.parquet(path).select("doc_id", "n_tokens")
-    return running_totals(counts, "doc_id", ["n_tokens"], {"start": F.col("n_tokens")}, 256).drop("_bucket")
+    return placed(spark.read.parquet(path).select("doc_id", "n_tokens", *place()))
 
 
 def token_digest(spark, path: str) -> DataFrame:
     """Per document, read back from the files: start, n_tokens and the checksum of the ids."""
     bounded_batches(spark)
-    rows = spark.read.parquet(path).select("doc_id", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
-    out = running_totals(rows, "doc_id", ["n_tokens", "ids_crc32"], {"start": F.col("n_tokens")}, 256)
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = materialize(spark.read.parquet(path).select("doc_id", "n_tokens", ids_crc32("ids").alias("ids_crc32"), *place()), "token-digests")
+    return placed(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op6_token_ids(spark, sf_dir: str) -> DataFrame:

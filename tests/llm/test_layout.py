@@ -20,8 +20,8 @@ from tests.llm.cases import documents, frame
 def test_running_totals_equal_a_loop(spark):
     rows = [(i % 17 - 3, (i * 7919) % 100) for i in range(500)] + [(None, 4), (None, 5)]
     df = spark.createDataFrame(rows, "k bigint, v bigint")
-    for n in (1, 3, 64):
-        got = sorted((r.before, r.v) for r in S.running_totals(df, "k", ["v"], {"before": F.col("v")}, n).collect())
+    for n in (8, 100, 100_000):
+        got = sorted((r.before, r.v) for r in S.running_totals(df, ["k", "v"], {"before": F.col("v")}, n).collect())
         at = 0
         for before, v in got:
             assert before == at or v == 0
@@ -29,10 +29,25 @@ def test_running_totals_equal_a_loop(spark):
         assert at == sum(v for _, v in rows)
 
 
+def test_sharding_keeps_clashing_columns_and_names_those_it_adds(spark):
+    names = ["parley_tie", "parley_part", "parley_before", "parley_rank", "parley_first", "parley_sum_0", "parley_amount_0", "_bucket"]
+    sized = spark.createDataFrame([(i % 3, 20, *["mine"] * len(names)) for i in range(50)], "doc_id bigint, size bigint, " + ", ".join(f"{x} string" for x in names))
+    out = S.assign_shards(sized, 4, ["doc_id", "size"], 10)
+    assert out.columns == [*sized.columns, "shard", "slot"] and {tuple(r)[2:-2] for r in out.collect()} == {("mine",) * len(names)}
+    with pytest.raises(ValueError, match="shard"):
+        S.assign_shards(sized.withColumn("shard", F.lit(1)), 4, ["doc_id"])
+
+
+def test_one_id_of_many_rows_is_split(spark):
+    sized = spark.createDataFrame([(7, 20)] * 400 + [(None, 30)] * 200, "doc_id bigint, size bigint")
+    rows = S.running_totals(sized, ["doc_id", "size"], {"before": F.col("size")}, 50)
+    assert sorted(r.before for r in rows.collect()) == [30 * i for i in range(200)] + [6000 + 20 * i for i in range(400)]
+
+
 @pytest.mark.parametrize("n", [1, 3, 40])
 def test_shards_are_contiguous_balanced_and_gapless(spark, tmp_path, n):
     sized = spark.createDataFrame([(i, 16 + (i * 37) % 211) for i in range(2000)], "doc_id bigint, size bigint")
-    out = sorted(S.assign_shards(sized, n, "doc_id", ["size"]).select("doc_id", "size", "shard", "slot").collect())
+    out = sorted(S.assign_shards(sized, n, ["doc_id", "size"], 300).select("doc_id", "size", "shard", "slot").collect())
     assert [r.shard for r in out] == sorted(r.shard for r in out)
     by = defaultdict(list)
     for r in out:
@@ -108,6 +123,55 @@ def test_token_files_equal_whole_text_encoding(spark, tmp_path):
         at += r.n_tokens
 
 
+def test_start_is_the_place_in_the_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (1, "a"), (1, "a b c"), (2, "a"), (None, "x y"), (None, None)] + [(3, f"w{i}") for i in range(50)], "doc_id bigint, text string")
+    path = str(tmp_path / "tokens")
+    T.write_tokens(docs.repartition(3), path)
+    flat, at, want = [], 0, []
+    for f in sorted((tmp_path / "tokens").glob("part-*.parquet")):
+        t = pq.read_table(f)
+        for doc, ids in zip(t["doc_id"].to_pylist(), t["ids"].to_pylist(), strict=True):
+            want.append((doc, at, len(ids)))
+            at += len(ids)
+            flat += ids
+    order = [x[0] for x in want]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    assert Counter((r.doc_id, r.start, r.n_tokens) for r in T.token_digest(spark, path).collect()) == Counter(want)
+    assert Counter((r.doc_id, r.start, r.n_tokens) for r in T.read_counts(spark, path).collect()) == Counter(want)
+
+
+def test_a_range_of_documents_reads_some_pages_only(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat(F.col("id").cast("string"), F.lit(str(k)))) for k in range(8))).alias("text"))
+    path = str(tmp_path / "tokens")
+    T.write_tokens(docs.coalesce(1), path)
+    (file,) = (tmp_path / "tokens").glob("part-*.parquet")
+    column = pq.ParquetFile(file).metadata.row_group(0).column(2)
+    assert column.path_in_schema == "ids.list.element" and column.has_offset_index and column.total_compressed_size > 4 * T.PAGE_BYTES
+    some = spark.read.parquet(path).filter("doc_id between 2000 and 2009")
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,2000), LessThanOrEqual(doc_id,2009)]" in some._jdf.queryExecution().executedPlan().toString()
+    # Row numbers survive page skipping, and only the pages of the range are decoded.
+    rows = some.select("doc_id", F.size("ids").alias("n"), F.col("_metadata.row_index").alias("i"))
+    assert [(r.doc_id, r.i) for r in rows.orderBy("doc_id").collect()] == [(k, k) for k in range(2000, 2010)]
+    scan = spark.read.parquet(path)
+    read = scan.filter("doc_id >= 2000 and doc_id <= 2009").select(F.col("doc_id"), F.size("ids"))
+    plan = read._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaf = plan.collectLeaves().apply(0)
+    assert leaf.metrics().apply("numOutputRows").value() < 4000
+
+
+def test_kept_columns_may_not_clash(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "z")], "doc_id bigint, text string, ids string")
+    with pytest.raises(ValueError, match="ids"):
+        T.write_tokens(docs, str(tmp_path / "t"), keep=("ids",))
+    T.write_tokens(docs.withColumn("parley_tie", F.lit(1)), str(tmp_path / "t"), keep=("parley_tie",))
+    assert spark.read.parquet(str(tmp_path / "t")).columns == ["doc_id", "parley_tie", "n_tokens", "ids"]
+
+
 def test_token_files_have_chosen_layout(spark, tmp_path):
     import glob
 
