@@ -4,8 +4,9 @@ A text's fingerprint has bit j set if more than half of its feature hashes have
 ``radius`` or fewer differing bits.  The 64 bits are grouped into m partitions, correlated bits together; partition i
 gets a threshold t_i >= -1 with sum(t_i + 1) = radius + 1, so a linked pair is within t_i on at least one partition.
 Dynamic programming allots the thresholds at the least estimated cost, from bit statistics of a bounded sample (which
-changes speed only, never results); m is the cheapest of several.  Fingerprints are indexed by their partition values,
-and probe every value within t_i; a bucket's pairs are verified by their full distance.
+changes speed only, never results); m is the cheapest of several.  Fingerprints are indexed by the partition values
+within t_i // 2 of theirs and probe those within the rest of t_i, so that values at t_i meet half way; a bucket's pairs
+are verified by their full distance.
 
 Equal fingerprints are folded first, so a group of copies is one node whatever its size, and a bucket sends on a
 spanning star of its links, never all pairs.  Nothing is capped or sampled away.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import arrow_function, bounded_batches, fixed_multipliers, free_name, materialize, mix64, utf8
+from parley.llm.common import arrow_function, bounded_batches, materialize, utf8
 from parley.llm.components import connected_components, star_edges
 
 SEED = 42
@@ -96,16 +97,25 @@ class Plan:
     def __init__(self, groups: list[list[int]], thresholds: list[int], cost: float):
         self.groups, self.thresholds, self.cost = groups, thresholds, cost
 
-    def masks(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(partition, its mask, flips to probe) of each partition in use; the first flip is none."""
+    def masks(self) -> list[tuple[int, np.ndarray, list[tuple[int, np.ndarray]]]]:
+        """(partition, its mask, [(side, flips)]) of each partition in use: side 0 is indexed, side 1 probes side 0.
+
+        An even threshold needs one side only, whose rows meet each other.
+        """
         out = []
         for i, (bits, t) in enumerate(zip(self.groups, self.thresholds, strict=True)):
             if t >= 0:
-                flips = [sum(1 << b for b in c) for k in range(t + 1) for c in combinations(bits, k)]
-                out.append((i, np.uint64(sum(1 << b for b in bits)), np.array(flips, np.uint64)))
+                near, far = t // 2, t - t // 2
+                sides = [(0, flips(bits, 0, near)), (1, flips(bits, near + 1, far))]
+                out.append((i, np.uint64(sum(1 << b for b in bits)), sides if far > near else sides[:1]))
         return out
 
 
+def flips(bits: list[int], least: int, most: int) -> np.ndarray:
+    """Masks that flip ``least`` to ``most`` of the bits."""
+    return np.array([sum(1 << b for b in c) for k in range(least, most + 1) for c in combinations(bits, k)], np.uint64)
+
+
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
     """m groups of near equal size; a group grows by the bit most correlated with it."""
     bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
@@ -141,7 +151,12 @@ def allot(costs: list[list[float]], radius: int) -> tuple[float, list[int]]:
     return best[-1] if best[-1] else (float("inf"), [])
 
 
-def make_plan(sample: np.ndarray, n: int, radius: int, most_flips: int = 5000) -> Plan:
+def rows_each(bits: int, t: int) -> int:
+    """Index and probe rows of a fingerprint in a partition of so many bits."""
+    return sum(comb(bits, k) for k in range(t - t // 2 + 1))
+
+
+def make_plan(sample: np.ndarray, n: int, radius: int, most_rows: int = 5000) -> Plan:
     """The cheapest of the partitionings into 2, 3, ... radius + 1 groups for n fingerprints."""
     sample = sample if len(sample) > 1 else np.zeros(2, np.uint64)
     shuffled = np.random.default_rng(1).permutation(sample)
@@ -153,14 +168,15 @@ def make_plan(sample: np.ndarray, n: int, radius: int, most_flips: int = 5000) -
         costs = []
         for bits in groups:
             near = np.bincount(np.bitwise_count(x & np.uint64(sum(1 << b for b in bits))), minlength=BITS + 1).cumsum() / len(x)
-            flips, own = 0, [0.0]
+            own = [0.0]
             for t in range(min(len(bits), radius) + 1):
-                flips += comb(len(bits), t)
-                if flips > most_flips:
+                rows = rows_each(len(bits), t)
+                if rows > most_rows:
                     break
-                # A sample can't see shares below its own resolution; then the even spread is the estimate.
-                share = max(near[t], flips / 2 ** len(bits))
-                own.append(n * (PROBE_COST * (flips + 1) + PAIR_COST * share * n / (2 if t == 0 else 1)))
+                # A sample can't see shares below its own resolution; then the even spread is the estimate.  A pair
+                # within t meets in up to comb(t, t // 2) values.
+                share = max(near[t], sum(comb(len(bits), k) for k in range(t + 1)) / 2 ** len(bits))
+                own.append(n * (PROBE_COST * rows + PAIR_COST * share * comb(t, t // 2) * n / 2))
             costs.append(own)
         cost, thresholds = allot(costs, radius)
         if best is None or cost < best.cost:
@@ -171,27 +187,57 @@ def make_plan(sample: np.ndarray, n: int, radius: int, most_flips: int = 5000) -
 # ------------------------------------------------------------------ search
 
 
-def probe_rows(plan: Plan):
-    """(node, fp, wide) -> (slot, key, probe, node, fp, wide): one index row a partition, and a row for each flipped value."""
+def probe_rows(plan: Plan, fp: str = "fp", carried: tuple[str, ...] = (), first_slot: int = 0):
+    """Rows of nodes -> (slot, key, side, node, fp, *carried): a row for each partition value that a node is indexed by or probes."""
     masks = plan.masks()
 
     def run(batches):
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for i, mask, flips in masks:
-                for probe in (0, 1) if len(flips) > 1 else (0,):
-                    keys = (fp & mask)[:, None] ^ (flips[None, :] if probe else flips[None, :1])
-                    for a in range(0, len(fp), max(1, (1 << 16) // keys.shape[1])):
-                        part = keys[a : a + max(1, (1 << 16) // keys.shape[1])]
-                        rows = batch.take(pa.array(np.repeat(np.arange(a, a + len(part)), part.shape[1])))
-                        yield pa.record_batch([
-                            pa.array(np.full(part.size, i, np.int32)), pa.array(part.ravel().view(np.int64)), pa.array(np.full(part.size, probe, np.int32)),
-                            rows.column("node"), rows.column("fp"), rows.column("wide"),
-                        ], ["slot", "key", "probe", "node", "fp", "wide"])
+            own = batch.column(fp).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i, mask, sides in masks:
+                for side, turned in sides:
+                    step = max(1, (1 << 16) // len(turned))
+                    for a in range(0, len(own), step):
+                        keys = (own[a : a + step] & mask)[:, None] ^ turned[None, :]
+                        rows = pa.array(np.repeat(np.arange(a, a + len(keys)), len(turned)))
+                        cols = [pa.array(np.full(keys.size, first_slot + i, np.int32)), pa.array(keys.ravel().view(np.int64)), pa.array(np.full(keys.size, side, np.int32))]
+                        cols += [batch.column(c).take(rows) for c in ("node", fp, *carried)]
+                        yield pa.record_batch(cols, ["slot", "key", "side", "node", "fp", *carried])
 
     return run
 
 
+PROBE = "slot int, key bigint, side int, node bigint, fp bigint"
+
+
+def whole_buckets(batches):
+    """Rows sorted by (slot, key) -> (rows of whole buckets, the bounds of the buckets).  Only an open bucket is held."""
+
+    def bounded(rows: pa.RecordBatch):
+        slot, key = rows.column("slot").to_numpy(), rows.column("key").to_numpy()
+        return rows, np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (slot[1:] != slot[:-1]), [True])))
+
+    def joined(parts: list) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        slot, key = batch.column("slot").to_numpy(), batch.column("key").to_numpy()
+        other = np.flatnonzero((key != key[-1]) | (slot != slot[-1]))
+        n = int(other[-1]) + 1 if len(other) else 0
+        if n:
+            yield bounded(joined([*held, batch.slice(0, n)]))
+            held = []
+        elif held and (held[-1].column("key")[-1].as_py(), held[-1].column("slot")[-1].as_py()) != (int(key[0]), int(slot[0])):
+            yield bounded(joined(held))
+            held = []
+        held.append(batch.slice(n))
+    if held:
+        yield bounded(joined(held))
+
+
 class Links:
     """Verified links, kept as stars once there are many."""
 
@@ -215,96 +261,99 @@ class Links:
         return a, b
 
 
-def close(fp, wide, x, y, radius: int, wide_radius: int | None) -> np.ndarray:
-    """For each pair (x[i], y[i]): they link."""
-    ok = np.bitwise_count(fp[x] ^ fp[y]) <= radius
-    if wide_radius is not None:
-        at = np.flatnonzero(ok)
-        ok[at] = np.bitwise_count(wide[x[at]] ^ wide[y[at]]).sum(axis=-1, dtype=np.int64) <= wide_radius
-    return ok
+class Near:
+    """The test of a pair of rows: every one of their fingerprints is within the radius."""
+
+    def __init__(self, prints: list[np.ndarray], radius: int):
+        self.prints, self.radius = [p.view(np.uint64) for p in prints], radius
+
+    def take(self, rows: np.ndarray) -> Near:
+        return Near([p[rows] for p in self.prints], self.radius)
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(self.prints[0][x] ^ self.prints[0][y]) <= self.radius
+        for p in self.prints[1:]:
+            at = np.flatnonzero(ok)
+            ok[at] = np.bitwise_count(p[x[at]] ^ p[y[at]]) <= self.radius
+        return ok
 
+    def grid(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes (into x, into y) of the near pairs between two lists."""
+        p = self.prints[0]
+        r, c = np.nonzero(np.bitwise_count(p[x][:, None] ^ p[y][None, :]) <= self.radius)
+        for p in self.prints[1:]:
+            ok = np.bitwise_count(p[x[r]] ^ p[y[c]]) <= self.radius
+            r, c = r[ok], c[ok]
+        return r, c
 
-def close_grid(fp, wide, x, y, radius: int, wide_radius: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (into x, into y) of the links between two lists."""
-    r, c = np.nonzero(np.bitwise_count(fp[x][:, None] ^ fp[y][None, :]) <= radius)
-    if wide_radius is not None:
-        ok = np.bitwise_count(wide[x[r]] ^ wide[y[c]]).sum(axis=-1, dtype=np.int64) <= wide_radius
-        r, c = r[ok], c[ok]
-    return r, c
 
+#: Rows up to which all buckets of a batch are handled together, and pairs that are tested at once.
+SMALL, BLOCK = 64, 1 << 20
 
-def bucket_links(node, fp, wide, links: Links, radius: int, wide_radius: int | None, block: int = 1 << 20) -> None:
-    """Links of one large bucket.  Dense groups are peeled off whole: what a member reaches is not compared again."""
+
+def small_pairs(cut: np.ndarray, side: np.ndarray, near: Near):
+    """(x, y) of the near pairs in buckets of 2 to SMALL rows, of which one at least is indexed."""
+    sizes = np.diff(cut)
+    some = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
+    row_at = np.concatenate([np.arange(cut[k], cut[k + 1]) for k in some]) if len(some) else np.zeros(0, np.int64)
+    todo = np.repeat(cut[some + 1], sizes[some]) - row_at - 1
+    for a in range(0, len(row_at), BLOCK // SMALL):
+        n = todo[a : a + BLOCK // SMALL]
+        x = np.repeat(row_at[a : a + BLOCK // SMALL], n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        ok = (side[x] == 0) | (side[y] == 0)
+        x, y = x[ok], y[ok]
+        ok = near.pairs(x, y)
+        yield x[ok], y[ok]
+
+
+def large_buckets(cut: np.ndarray) -> list[np.ndarray]:
+    return [np.arange(cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut) > SMALL)]
+
+
+def bucket_links(node: np.ndarray, near: Near):
+    """Links (a, b) of one large bucket with the components of all.  Dense groups are peeled off whole: what a member
+    reaches is not compared again."""
     _, first = np.unique(node, return_index=True)
-    node, fp, wide = node[first], fp[first], wide[first]
+    node, near = node[first], near.take(first)
     waiting = np.arange(len(node))
-    while len(waiting) > 64:
+    while len(waiting) > SMALL:
         seeds = waiting[np.linspace(0, len(waiting) - 1, 8).astype(int)]
-        r, _ = close_grid(fp, wide, seeds, waiting, radius, wide_radius)
+        r, _ = near.grid(seeds, waiting)
         best = np.bincount(r, minlength=8)
         if 8 * best.max() < len(waiting):
             break
         stack = seeds[[best.argmax()]]
         waiting = waiting[waiting != stack[0]]
         while len(stack) and len(waiting):
-            take = stack[: max(1, block // len(waiting))]
+            take = stack[: max(1, BLOCK // len(waiting))]
             stack = stack[len(take) :]
-            r, c = close_grid(fp, wide, take, waiting, radius, wide_radius)
+            r, c = near.grid(take, waiting)
             if len(c):
                 reached, via = np.unique(c, return_index=True)
-                links.add(node[take[r[via]]], node[waiting[reached]])
+                yield node[take[r[via]]], node[waiting[reached]]
                 stack = np.concatenate([stack, waiting[reached]])
                 waiting = np.delete(waiting, reached)
-    step = max(1, block // max(1, len(waiting)))
+    step = max(1, BLOCK // max(1, len(waiting)))
     for a in range(0, len(waiting), step):
         take, rest = waiting[a : a + step], waiting[a:]
-        r, c = close_grid(fp, wide, take, rest, radius, wide_radius)
-        links.add(node[take[r[c > r]]], node[rest[c[c > r]]])
+        r, c = near.grid(take, rest)
+        yield node[take[r[c > r]]], node[rest[c[c > r]]]
 
 
-def verified(radius: int, wide_radius: int | None, small: int = 64, block: int = 1 << 20):
+def verified(radius: int):
     """Reads rows sorted by (slot, key); yields stars of verified links."""
 
     def run(batches):
-        links, rest = Links(), None
-
-        def settle(t: pa.RecordBatch) -> None:
-            slot, key, probe, node, fp = (t.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "key", "probe", "node", "fp"))
-            fp = fp.view(np.uint64)
-            raw, _, _ = utf8(t.column("wide"))
-            wide = np.frombuffer(raw.tobytes(), "<u8").reshape(len(fp), -1) if wide_radius is not None else fp
-            cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (slot[1:] != slot[:-1]), [True])))
-            sizes = np.diff(cut)
-            for k in np.flatnonzero(sizes > small):
-                s = slice(cut[k], cut[k + 1])
-                bucket_links(node[s], fp[s], wide[s], links, radius, wide_radius)
-            # Small buckets together: every row with each later row of its bucket.
-            some = np.flatnonzero((sizes > 1) & (sizes <= small))
-            row_at = np.concatenate([np.arange(cut[k], cut[k + 1]) for k in some]) if len(some) else np.zeros(0, np.int64)
-            end = np.repeat(cut[some + 1], sizes[some])
-            todo = end - row_at - 1
-            for a in range(0, len(row_at), block // small):
-                n = todo[a : a + block // small]
-                x = np.repeat(row_at[a : a + block // small], n)
-                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-                ok = (probe[x] == 0) | (probe[y] == 0)
-                x, y = x[ok], y[ok]
-                ok = close(fp, wide, x, y, radius, wide_radius)
-                links.add(node[x[ok]], node[y[ok]])
-
-        for batch in batches:
-            table = pa.Table.from_batches([*([rest] if rest is not None else []), batch]).combine_chunks()
-            t = table.to_batches()[0] if len(table) else batch
-            if not len(t):
-                continue
-            slot, key = t.column("slot").to_numpy(zero_copy_only=False), t.column("key").to_numpy(zero_copy_only=False)
-            whole = np.flatnonzero((key != key[-1]) | (slot != slot[-1]))
-            n = int(whole[-1]) + 1 if len(whole) else 0
-            if n:
-                settle(t.slice(0, n))
-            rest = t.slice(n)
-        if rest is not None and len(rest):
-            settle(rest)
+        links = Links()
+        for rows, cut in whole_buckets(batches):
+            side, node, fp = (rows.column(c).to_numpy() for c in ("side", "node", "fp"))
+            near = Near([fp], radius)
+            for at in large_buckets(cut):
+                for a, b in bucket_links(node[at], near.take(at)):
+                    links.add(a, b)
+            for x, y in small_pairs(cut, side, near):
+                links.add(node[x], node[y])
         a, b = links.stars()
         for k in range(0, len(a), 1 << 16):
             yield pa.record_batch([pa.array(a[k : k + (1 << 16)]), pa.array(b[k : k + (1 << 16)])], ["src", "dst"])
@@ -312,26 +361,33 @@ def verified(radius: int, wide_radius: int | None, small: int = 64, block: int =
     return run
 
 
-def link_fingerprints(nodes: DataFrame, radius: int, wide_radius: int | None = None) -> DataFrame:
-    """nodes(node, fp, wide), one row a node -> links (src, dst) with the same components as all links."""
+def plan_for(nodes: DataFrame, fp: str, n: int, radius: int) -> Plan:
+    """The plan for n nodes, from the bit statistics of a bounded sample."""
+    sample = nodes.select(F.col(fp).alias("fp")).orderBy(F.xxhash64("node")).limit(PLAN_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    return make_plan(sample, n, radius)
+
+
+def in_buckets(rows: DataFrame) -> DataFrame:
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(parts, "slot", "key").sortWithinPartitions("slot", "key")
+
+
+def link_fingerprints(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes(node, fp), one row a node -> links (src, dst) with the same components as all links."""
     if not 0 <= radius < BITS:
         raise ValueError("radius must be 0 to 63")
-    spark = nodes.sparkSession
-    n = nodes.count()
-    sample = nodes.select("fp").orderBy(F.xxhash64("node")).limit(PLAN_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    plan = make_plan(sample, n, radius)
-    rows = nodes.select("node", "fp", "wide").mapInArrow(probe_rows(plan), "slot int, key bigint, probe int, node bigint, fp bigint, wide binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartition(parts, "slot", "key").sortWithinPartitions("slot", "key")
-    return rows.mapInArrow(verified(radius, wide_radius), "src bigint, dst bigint")
-
-
-def components_of(prints: DataFrame, radius: int, wide_radius: int | None = None) -> DataFrame:
-    """prints(doc_id, node, fp, wide) -> (node, component_id): the smallest doc_id that a node reaches."""
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("wide").alias("wide"))
+    plan = plan_for(nodes, "fp", nodes.count(), radius)
+    rows = nodes.select("node", "fp").mapInArrow(probe_rows(plan), PROBE)
+    return in_buckets(rows).mapInArrow(verified(radius), "src bigint, dst bigint")
+
+
+def components_of(prints: DataFrame, radius: int) -> DataFrame:
+    """prints(doc_id, node, fp) -> (node, component_id): the smallest doc_id that a node reaches."""
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     nodes = materialize(nodes, "nodes")
-    roots = connected_components(materialize(link_fingerprints(nodes, radius, wide_radius), "links"), "src", "dst")
+    roots = connected_components(materialize(link_fingerprints(nodes, radius), "links"), "src", "dst")
     own = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Partial minima first: a component of any size sends one row a partition.
     smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(smallest, "root").select("node", "component_id")
 
@@ -340,184 +396,7 @@ def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint over 4-word shingles and its component at 4 or fewer differing bits."""
     bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    prints = docs.select("doc_id", shingle_simhash("text").alias("fp")).select("doc_id", F.col("fp").alias("node"), "fp", F.lit(b"").alias("wide"))
+    prints = docs.select("doc_id", shingle_simhash("text").alias("fp")).select("doc_id", F.col("fp").alias("node"), "fp")
     prints = materialize(prints, "prints")
     found = prints.join(components_of(prints, 4), "node")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# ------------------------------------------------------------------ near-duplicate removal
-
-#: Near copies share this part of the distinct 5-word shingles of both texts (Jaccard), as a fraction.
-ALIKE = (4, 5)
-#: MinHash bands, and hashes in each: a pair alike to 0.8 shares no band with a probability of 5e-9, at 0.85 of 4e-13.
-BANDS, ROWS = 48, 5
-_MIN_KEYS = fixed_multipliers(BANDS * ROWS, 71).astype(np.uint32) | np.uint32(1)
-_BAND_KEYS = fixed_multipliers(ROWS, 72)
-
-
-def copy_shingles(words: list[bytes]) -> np.ndarray:
-    """The distinct 5-word shingles, sorted."""
-    return np.unique(shingle_hashes(words, 5))
-
-
-def band_keys(shingles: np.ndarray, block: int = 1024) -> np.ndarray:
-    """One key a band: texts whose sets of shingles are alike to J share a key with a probability of J ** ROWS."""
-    h = mix64(shingles).astype(np.uint32)
-    low = np.full(len(_MIN_KEYS), np.iinfo(np.uint32).max, np.uint32)
-    for a in range(0, len(h), block):
-        np.minimum(low, (_MIN_KEYS[:, None] * h[None, a : a + block]).min(axis=1), out=low)
-    with np.errstate(over="ignore"):
-        keys = (low.reshape(BANDS, ROWS).astype(np.uint64) * _BAND_KEYS).sum(axis=1, dtype=np.uint64)
-        return mix64(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-@arrow_function("struct<node:bigint,n:int,bands:array<bigint>>")
-def copy_bands(text: pa.Array) -> pa.Array:
-    """Name and size of a text's set of shingles, and its band keys; a set without shingles has none."""
-    node, n, bands = [], [], []
-    for words in batch_words(text):
-        s = copy_shingles(words)
-        node.append(xxhash.xxh3_64_intdigest(s.tobytes(), SEED))
-        n.append(len(s))
-        bands.append(band_keys(s) if len(s) else np.zeros(0, np.uint64))
-    at = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
-    keys = np.concatenate([*bands, np.zeros(0, np.uint64)]).view(np.int64)
-    cols = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys))]
-    return pa.StructArray.from_arrays(cols, ["node", "n", "bands"])
-
-
-@arrow_function("binary")
-def shingle_set(text: pa.Array) -> pa.Array:
-    return pa.array([copy_shingles(w).tobytes() for w in batch_words(text)], pa.binary())
-
-
-@arrow_function("boolean")
-def are_alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The exact test: shared shingles over all shingles of both texts."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-        both = np.sort(np.concatenate([x, y]), kind="stable")
-        shared = int((both[1:] == both[:-1]).sum())
-        out.append(ALIKE[1] * shared >= ALIKE[0] * (len(both) - shared))
-    return pa.array(out, pa.bool_())
-
-
-def whole_runs(batches):
-    """Batches of rows sorted by key -> the same rows, with all rows of a key in one batch, and the bounds of the keys."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([*([rest] if rest is not None else []), batch]).combine_chunks()
-        if not len(table):
-            continue
-        rest = table.to_batches()[0]
-        key = rest.column("key").to_numpy()
-        n = int(np.searchsorted(key, key[-1]))
-        if n:
-            yield rest.slice(0, n), np.flatnonzero(np.concatenate(([True], key[1:n] != key[: n - 1], [True])))
-            rest = rest.slice(n)
-    if rest is not None and len(rest):
-        key = rest.column("key").to_numpy()
-        yield rest, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-
-
-def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sets of these sizes can be alike enough."""
-    return ALIKE[1] * np.minimum(a, b).astype(np.int64) >= ALIKE[0] * np.maximum(a, b).astype(np.int64)
-
-
-def shared_bands(batches):
-    """(key, n, node) sorted -> the rows that share their key, with the first nodes to compare with: that of middle size, and the next smaller."""
-    for rows, cut in whole_runs(batches):
-        sizes = np.diff(cut)
-        at = np.flatnonzero(np.repeat(sizes > 1, sizes))
-        if not len(at):
-            continue
-        n, node = rows.column("n").to_numpy(), rows.column("node").to_numpy()
-        first, size = np.repeat(cut[:-1], sizes)[at], np.repeat(sizes, sizes)[at]
-        middle, before = first + size // 2, np.maximum(at - 1, first)
-        cols = [rows.column("key").take(pa.array(at)), pa.array(n[at]), pa.array(node[at])]
-        for other in (middle, before):
-            cols.append(pa.array(node[other], mask=(other == at) | ~fits(n[at], n[other])))
-        yield pa.record_batch(cols, ["key", "n", "node", "middle", "before"])
-
-
-def crossing_pairs(batches, block: int = 1 << 18):
-    """(key, n, node, root) sorted -> pairs of one key whose roots differ and whose sizes fit."""
-    for rows, cut in whole_runs(batches):
-        n, node, root = (rows.column(c).to_numpy() for c in ("n", "node", "root"))
-        mixed = np.maximum.reduceat(root, cut[:-1]) != np.minimum.reduceat(root, cut[:-1])
-        for k in np.flatnonzero(mixed):
-            own, mine, group = (x[cut[k] : cut[k + 1]] for x in (n, node, root))
-            end = np.searchsorted(ALIKE[0] * own.astype(np.int64), ALIKE[1] * own.astype(np.int64), side="right")
-            todo = end - np.arange(len(own)) - 1
-            a = 0
-            while a < len(own):
-                b = max(a + 1, a + int(np.searchsorted(np.cumsum(todo[a:]), block)))
-                x = np.repeat(np.arange(a, min(b, len(own))), todo[a:b])
-                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(todo[a:b]) - todo[a:b], todo[a:b])
-                ok = group[x] != group[y]
-                low, high = np.minimum(mine[x[ok]], mine[y[ok]]), np.maximum(mine[x[ok]], mine[y[ok]])
-                yield pa.record_batch([pa.array(low), pa.array(high)], ["src", "dst"])
-                a = b
-
-
-def alike_links(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (src, dst) whose texts are alike; texts(node, text) may hold a node more than once."""
-    wanted = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), f"{name}-nodes")
-    found = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(found.select("node", shingle_set("text").alias("s")), f"{name}-sets")
-    left = pairs.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src")
-    both = left.join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
-    return materialize(both.filter(are_alike("a", "b")).select("src", "dst"), f"{name}-links")
-
-
-def copy_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """nodes(node, n, bands), one row a node -> (node, root) of the nodes that a link reaches.
-
-    Within a band each node is compared with two others first.  What that leaves apart is then compared pair by pair,
-    so the components are those of all pairs that share a band.
-    """
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = nodes.select(F.explode("bands").alias("key"), "n", "node").repartition(parts, "key").sortWithinPartitions("key", "n", "node")
-    shared = materialize(keys.mapInArrow(shared_bands, "key bigint, n int, node bigint, middle bigint, before bigint"), "bands")
-    first = shared.select("node", F.explode(F.array("middle", "before")).alias("other")).filter("other is not null")
-    first = materialize(first.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct(), "first-pairs")
-    links = alike_links(first, texts, "first")
-    roots = connected_components(links, "src", "dst")
-    apart = shared.select("key", "n", "node").join(roots, "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
-    apart = apart.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(crossing_pairs, "src bigint, dst bigint")
-    apart = materialize(apart.distinct().join(first, ["src", "dst"], "left_anti"), "other-pairs")
-    if apart.isEmpty():
-        return roots
-    return connected_components(links.unionByName(alike_links(apart, texts, "other")), "src", "dst")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id.  Columns stay as they are.
-
-    Near copies are linked where the Jaccard index of their distinct 5-word shingles, counted whole, is 0.8 or more.
-    Texts without words are copies of each other.  Of rows that repeat whole (same doc_id and text) one stays.  A null
-    doc_id is the largest.
-    """
-    bounded_batches(docs.sparkSession)
-    prints = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), copy_bands("text").alias("s"))
-    prints = prints.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "content", "s.node", "s.n", "s.bands")
-    prints = materialize(prints, "prints")
-    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    names = materialize(prints.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("k")).select("node", "k.*"), "names")
-    texts = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), "text")
-    texts = texts.join(names, ["doc_id", "content"]).select("node", "text")
-    roots = copy_components(nodes, texts)
-    groups = prints.select("doc_id", "content", "node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
-    kept = groups.agg(F.min(F.struct("doc_id", "content")).alias("k"), F.count(F.lit(1)).alias("n")).select("k.*")
-    kept = materialize(kept, "kept")
-    repeats = prints.join(kept, ["doc_id", "content"], "left_semi").groupBy("doc_id", "content").count().filter("count > 1").limit(1).count()
-    id_, content = free_name(docs, "parley_id"), free_name(docs, "parley_content")
-    rows = docs.withColumns({id_: F.coalesce("doc_id", F.lit((1 << 63) - 1)), content: F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = kept.select(F.col("doc_id").alias(id_), F.col("content").alias(content))
-    rows = rows.join(kept, [id_, content], "left_semi")
-    if repeats:
-        rows = rows.dropDuplicates([id_, content])
-    return rows.select(*docs.columns)

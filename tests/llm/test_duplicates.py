@@ -7,9 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from parley.llm import decontamination as D
+from parley.llm import near_copies as N
 from parley.llm import repeats as P
 from parley.llm import simhash as H
 from parley.llm.components import connected_components, star_edges
@@ -77,7 +77,7 @@ def test_links_equal_brute_force_in_dense_and_sparse_groups(spark, radius, dense
     prints |= {s ^ sum(1 << b for b in rng.sample(range(64), radius + 1)) for s in seeds}
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    nodes = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "node bigint, fp bigint").withColumn("wide", F.lit(b"").cast("binary"))
+    nodes = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "node bigint, fp bigint")
     links = [(r.src, r.dst) for r in H.link_fingerprints(nodes, radius).collect()]
     want = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= radius]
     assert roots(range(len(prints)), links) == roots(range(len(prints)), want)
@@ -103,11 +103,11 @@ def test_near_copies_leave_one_of_each_group(spark):
     base = [words(rng, 200) for _ in range(30)]
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, near(rng, t, 2)) for i, t in enumerate(base[:20])] + [(200 + i, base[0]) for i in range(5)] + [(200, base[0]), (None, base[1]), (None, None), (None, None)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, fp string")
-    kept = H.drop_near_copies(docs)
+    kept = N.drop_near_copies(docs)
     assert kept.columns == docs.columns
     got = Counter(r.doc_id for r in kept.collect())
     assert got == Counter([*range(30), None])
-    assert H.drop_near_copies(docs.limit(0)).count() == 0
+    assert N.drop_near_copies(docs.limit(0)).count() == 0
 
 
 def plain_shingles(text):
@@ -147,7 +147,7 @@ def test_near_copies_found_equal_brute_force(spark):
     pairs = [(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])]
     root = roots(range(len(texts)), pairs)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert len(pairs) > 60 and {r.doc_id for r in H.drop_near_copies(docs).collect()} == set(root.values())
+    assert len(pairs) > 60 and {r.doc_id for r in N.drop_near_copies(docs).collect()} == set(root.values())
 
 
 def test_texts_under_the_limit_are_no_copies(spark):
@@ -161,7 +161,7 @@ def test_texts_under_the_limit_are_no_copies(spark):
             rows += [(2 * i, text), (2 * i + 1, other)]
     apart = {i for (i, t), (_, u) in zip(rows[1::2], rows[::2], strict=True) if not alike(plain_shingles(t), plain_shingles(u))}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = {r.doc_id for r in H.drop_near_copies(docs).collect()}
+    kept = {r.doc_id for r in N.drop_near_copies(docs).collect()}
     assert len(apart) > 30 and {i for i in kept if i % 2} == apart and {i for i in kept if not i % 2} == {i for i, _ in rows[::2]}
 
 
