@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from parley.llm.common import materialize, work_path
 from parley.llm.decontamination import drop_leaks
 from parley.llm.mixing import mix_sources
+from parley.llm.near_copies import drop_near_copies
 from parley.llm.quality_rules import apply_rules, labelled_sample, learn_rules
-from parley.llm.simhash import drop_near_copies
 from parley.llm.tokens import token_digest, write_tokens
 from parley.session import ship
 
