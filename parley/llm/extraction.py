@@ -2,11 +2,16 @@
 
 Markup is stripped to lines: a block element starts and ends a line, inline markup leaves the line whole, and what can
 hold no article text (head, scripts, styles, forms, comments of the source, and elements named as navigation, header,
-footer, sidebar, notice, advert or reader comments by tag, role, class or id) counts as lines without text.  Text
-lengths are summed over sliding windows of the lines with text.  The sum surges where a window first carries text that
-lasts, and dives where windows hold nothing but links; all lines from the first surge to the last dive are kept, short
-and linked ones too.  A page that never surges is kept from its first line of text.  Where the page marks its article
-(``article``, ``main``, role main), that is taken by its markup, and the distribution has no part in it.
+footer, sidebar, notice, advert or reader comments by tag, role, class or id) leaves no line.  The weight of a line is the
+length of its text that is no link; a line that is mostly link weighs nothing, unless it is a heading.  Weights are
+summed over sliding windows of lines.  The sum surges where a window first carries enough, and dives where a whole
+window weighs nothing; all lines from the first surge to the last dive are kept, short and linked ones too.  A page that
+never surges is kept from its first line of any weight.
+
+Where the page marks its article (``article``, ``main``, role main), the mark only changes weights: a line inside weighs
+``SURGE`` at least, so it surges by itself, and a line outside weighs half of what it has beyond ``OUTSIDE`` characters.
+So a list of links at either end of a marked article is cut, text that goes on past the mark is kept, and lines outside
+that weigh nothing are left out.
 
 White space inside a line becomes one space, character references are decoded, lines are joined by one line feed.
 Null and empty pages give an empty text.  Nothing is capped.
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +29,8 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import arrow_function, bounded_batches
 
-#: Lines of a window, characters that make a surge, and characters under which a window has run dry.
-WINDOW, SURGE, DRY = 3, 80, 1
+#: Lines of a window, weight that makes a surge, and characters of an unmarked line that weigh nothing beside a marked article.
+WINDOW, SURGE, OUTSIDE = 3, 80, 160
 
 #: Fixed names of HTML elements.
 BLOCKS = frozenset(
@@ -44,6 +50,9 @@ DROPPED_NAMES = re.compile(
     r"(?:ads?|banner|nav|navbar|navigation|menu|footer|sidebar|widget|cookies?|consent|gdpr|comments?|newsletter|popup|social|share|sharing|related|recommended)[-_]"
     r"(?:left|right|top|bottom|main|primary|secondary|list|area|section|box|bar|banner|notice|consent|popup|form|signup|links|buttons|icons|posts|articles|stories|slot|unit|container|wrapper))$"
 )
+#: Those that are dropped inside a marked article too: what is in it but isn't its text.
+INNER_NAMES = re.compile(r"^(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|comments?|replies|reply|disqus|newsletter|share|sharing|sidebar)(?:[-_](?:left|right|top|bottom|list|area|section|box|bar|banner|form|signup|links|buttons|slot|unit|container|wrapper))?$")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARK = re.compile(r"<(?:article|main)[\s>]|<[A-Za-z][^>]*\srole\s*=\s*[\"']?main\b", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
@@ -67,12 +76,12 @@ def is_dropped(tag: str, source: str) -> bool:
 
 
 def is_named(tag: str, source: str, inside: bool) -> bool:
-    """A class or id names the element as no article text; inside an article, headers hold its headline."""
+    """A class or id names the element as no article text."""
     if not source or tag in ("html", "body", "article", "main"):
         return False
     a = attributes(source)
     names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
-    return any(DROPPED_NAMES.match(name) and not (inside and name.endswith("header")) for name in names)
+    return any((INNER_NAMES if inside else DROPPED_NAMES).match(name) for name in names)
 
 
 def text_size(source: str) -> int:
@@ -92,17 +101,24 @@ def holds_article(page: str, tag: str, start: int, at: int, mark: int | None) ->
     return mark < end if mark is not None else 2 * text_size(page[at:end]) > text_size(page)
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside a marked article, characters that are link text) of each line, in page order."""
-    out: list[tuple[str, bool, int]] = []
+class Line(NamedTuple):
+    text: str
+    inside: bool  # a marked article
+    linked: int  # characters that are link text
+    heading: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page that have text, in order."""
+    out: list[Line] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, drops, marks the article
 
     def flush() -> None:
         nonlocal linked
-        line = " ".join("".join(text).split())
-        out.append((line, inside > 0, min(linked, len(line))))
+        if line := " ".join("".join(text).split()):
+            out.append(Line(line, inside > 0, min(linked, len(line)), any(tag in HEADINGS for tag, _, _ in stack)))
         text.clear()
         linked = 0
 
@@ -181,35 +197,45 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
     return out
 
 
-def surge_and_dive(lengths: list[int], window: int, surge: int, dry: int) -> list[tuple[int, int]]:
-    """[start, end) of each stretch: from a window that reaches ``surge`` until a window stays under ``dry``."""
-    n, sums = len(lengths), []
-    for i in range(n):
-        sums.append(sum(lengths[i : i + window]))
-    out, i = [], 0
-    while i < n:
-        if sums[i] < surge or not lengths[i]:
-            i += 1
-            continue
-        end = i + 1
-        while end < n and sums[end] >= dry:
-            end += 1
-        out.append((i, end))
-        i = end
+def weights(lines: list[Line]) -> list[int]:
+    """What each line brings to the distribution."""
+    marked, out = any(x.inside for x in lines), []
+    for x in lines:
+        own = len(x.text) if x.heading else 0 if 2 * x.linked > len(x.text) else len(x.text) - x.linked
+        if x.inside:
+            own = max(own, SURGE) if own else 0
+        elif marked:
+            own = max(0, own - OUTSIDE) // 2
+        out.append(own)
     return out
 
 
+def surge_and_dive(weight: list[int], window: int, surge: int, slack: int) -> tuple[int, int] | None:
+    """[start, end) from the first surge to the last dive; None without a surge.
+
+    Fewer than ``slack`` lines without weight at the end go with what is before them, and as few at the start with what
+    comes after.
+    """
+    sums = [sum(weight[i : i + window]) for i in range(len(weight))]
+    start = next((i for i, s in enumerate(sums) if s >= surge and weight[i]), None)
+    if start is None:
+        return None
+    end = max(i for i, w in enumerate(weight) if w) + 1
+    head = next((i for i in range(start, 0, -1) if weight[i - 1]), 0)
+    return (head if start - head < slack else start), (len(weight) if len(weight) - end < slack else end)
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article's blocks, one a line."""
-    if not page:
-        return ""
-    lines = [x for x in lines_of(page) if x[0]]
-    if any(inside for _, inside, _ in lines):
-        return "\n".join(text for text, inside, _ in lines if inside)
-    # Link-only lines weigh nothing; a page that never surges is short as a whole.
-    lengths = [len(t) if 2 * link <= len(t) else 0 for t, _, link in lines]
-    found = surge_and_dive(lengths, window, surge, DRY) or surge_and_dive(lengths, window, 1, DRY)
-    return "\n".join(t for t, _, _ in lines[found[0][0] : found[-1][1]]) if found else ""
+    lines = lines_of(page) if page else []
+    weight = weights(lines)
+    slack = 1
+    if any(x.inside for x in lines):
+        slack = window  # the mark speaks for a few linked lines at an end, not for a list of them
+        held = [i for i, x in enumerate(lines) if x.inside or weight[i]]
+        lines, weight = [lines[i] for i in held], [weight[i] for i in held]
+    found = surge_and_dive(weight, window, surge, slack) or surge_and_dive(weight, window, 1, slack)
+    return "\n".join(x.text for x in lines[found[0] : found[1]]) if found else ""
 
 
 @arrow_function("string")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import arrow_function, bounded_batches, free_name, materialize, mix64
+from parley.llm.common import arrow_function, bounded_batches, fixed_multipliers, free_name, materialize, mix64
 from parley.llm.components import connected_components
 from parley.llm.simhash import BLOCK, PROBE, SEED, Near, batch_words, bit_counts, bucket_links, in_buckets, large_buckets, majority, plan_for, probe_rows, shingle_hashes, small_pairs, whole_buckets
 
@@ -27,6 +27,7 @@ ALIKE = (4, 5)
 #: Independent fingerprints, the radius that each is searched at, and the most bits that candidates differ by in two of them.
 PRINTS, RADIUS, WIDE = 3, 8, 20
 NO_ID = (1 << 63) - 1
+_KEYS = fixed_multipliers(PRINTS, 71)
 
 
 def copy_shingles(words: list[bytes]) -> np.ndarray:
@@ -46,7 +47,7 @@ def copy_prints(text: pa.Array) -> pa.Array:
     at, flat = np.concatenate(([0], np.cumsum(n))), np.concatenate([*sets, np.zeros(0, np.uint64)])
     cols = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int32))]
     for j in range(PRINTS):
-        h = mix64(flat + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j + 1))
+        h = mix64(flat ^ _KEYS[j])
         cols.append(pa.array(majority(bit_counts(h, at), n).view(np.int64)))
     return pa.StructArray.from_arrays(cols, ["node", "n", *(f"p{j}" for j in range(PRINTS))])
 

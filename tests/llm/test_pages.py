@@ -128,3 +128,66 @@ def test_short_and_linked_lines_of_unmarked_pages_are_kept():
     want = ["Head", long.strip(), "Part", "Short.", *(f"Source {i}" for i in range(5)), long.strip(), "End."]
     assert E.main_text(page).split("\n") == want
     assert E.main_text("<body><h1>Head</h1><p>A whole article.</p></body>") == "Head\nA whole article."
+
+
+def plain_main_text(lines):
+    """The rule told another way, over (text, inside, linked, heading): kept are the lines that have a surge at or before
+    them and weight at or after them."""
+    marked = any(x[1] for x in lines)
+
+    def weight(text, inside, linked, heading):
+        if not heading and 2 * linked > len(text):
+            return 0
+        free = len(text) if heading else len(text) - linked
+        if inside:
+            return max(free, 80)
+        return max(0, (free - 160) // 2) if marked else free
+
+    lines = [x for x in lines if not marked or x[1] or weight(*x)]
+    w = [weight(*x) for x in lines]
+    for least in (80, 1):
+        starts = [i for i in range(len(w)) if w[i] and w[i] + sum(w[i + 1 : i + 3]) >= least]
+        if starts:
+            break
+    else:
+        return ""
+    kept = [i for i in range(len(w)) if i >= starts[0] and any(w[i:])]
+    if marked:  # one or two linked lines at an end of the mark
+        tail = [i for i in range(kept[-1] + 1, len(w))]
+        lead = []
+        while starts[0] - len(lead) > 0 and not w[starts[0] - len(lead) - 1]:
+            lead.append(starts[0] - len(lead) - 1)
+        kept += (tail if len(tail) < 3 else []) + (lead if len(lead) < 3 else [])
+    return "\n".join(lines[i][0] for i in sorted(kept))
+
+
+def test_line_blocks_equal_a_plain_version():
+    import random
+
+    rng = random.Random(8)
+    seen = set()
+    for _ in range(3000):
+        parts, mark = [], rng.random() < 0.5
+        for _ in range(rng.randint(1, 12)):
+            text = "w" * rng.choice((3, 20, 70, 90, 200, 400))
+            tag = rng.choice(("p", "p", "h2", "li"))
+            parts.append(f"<{tag}><a href=x>{text}</a></{tag}>" if rng.random() < 0.4 else f"<{tag}>{text}</{tag}>")
+        if mark:
+            a, b = sorted((rng.randint(0, len(parts)), rng.randint(0, len(parts))))
+            parts[a:b] = ["<article>", *parts[a:b], "</article>"]
+        page = "".join(parts)
+        lines = E.lines_of(page)
+        assert E.main_text(page) == plain_main_text([tuple(x) for x in lines]), page
+        inside = "\n".join(x.text for x in lines if x.inside)
+        seen.add((mark, E.main_text(page) == (inside if mark else "\n".join(x.text for x in lines))))
+    assert len(seen) == 4  # on marked and on unmarked pages the line blocks change the result
+
+
+def test_line_blocks_decide_on_marked_pages():
+    links = "".join(f"<li><a href={i}>Other story {i}</a></li>" for i in range(4))
+    text = "Real text of the story. " * 5
+    assert E.main_text(f"<article><ul>{links}</ul><h1>Head</h1><p>{text}</p><p>End.</p><ul>{links}</ul></article>") == f"Head\n{text.strip()}\nEnd."
+    assert E.main_text(f"<article><p>{text}</p><p><a href=1>Source</a></p></article>") == f"{text.strip()}\nSource"
+    more = "The story goes on past its mark. " * 12
+    assert E.main_text(f"<p>Short.</p><article><p>{text}</p></article><p>{more}</p><p>Copyright</p>") == f"{text.strip()}\n{more.strip()}"
+    assert E.main_text(f"<article><p class='related-work'>{text}</p><div class='entry-header'><h2><a href=1>Linked head</a></h2></div><p>x</p></article>") == f"{text.strip()}\nLinked head\nx"
