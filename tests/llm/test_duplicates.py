@@ -247,6 +247,41 @@ def test_leaks_equal_brute_force(spark, tmp_path):
     assert D.find_leaks(table.limit(0), bench).count() == 0 and D.find_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_size_classes_and_bands():
+    bounds = [D.size_class(n) for n in range(1, 200)]
+    assert all(n <= u <= max(n, 1.5 * n) for n, u in enumerate(bounds, 1)) and bounds == sorted(bounds)
+    assert sorted(set(bounds))[:9] == [1, 2, 3, 4, 6, 8, 12, 16, 24]
+    assert (1 - 0.3) ** D.bands_for(0.3) <= D.MISS < (1 - 0.3) ** (D.bands_for(0.3) - 1)
+
+
+def test_search_recall_over_long_documents():
+    rng = random.Random(6)
+    items = [words(rng, n) for n in (5, 6, 8, 11, 17, 30, 44, 90, 200, 400) for _ in range(6)]
+    pool = [w for t in items for w in t.split()]
+    index = D.ItemIndex(list(enumerate(items)))
+    texts, want = [], []
+    for _ in range(400):
+        i = rng.randrange(len(items))
+        w = items[i].split()
+        for _ in range(len(w) // 60):
+            w[rng.randrange(len(w))] = "changed"
+        around = [" ".join(rng.choice(pool) for _ in range(rng.randrange(3000))) for _ in range(2)]  # words of items, shuffled
+        text = f"{around[0]} {' '.join(w)} {around[1]}"
+        texts.append(text)
+        own, have = D.shingles_of(D.words_of(items[i])), D.shingles_of(D.words_of(text))
+        want.append((i, len(own & have) >= 0.8 * len(own)))
+    got = index.search(texts)
+    hits = [i in {x[0] for x in g} for g, (i, ok) in zip(got, want, strict=True) if ok]
+    assert len(hits) > 300 and all(hits)
+    # The classes work: each alone finds its own items, and none of another class.
+    (classes,) = index.classes.values()
+    for c in list(classes):
+        index.classes[5] = [c]
+        alone = {x[0] for g in index.search(items) for x in g}
+        assert alone == {int(r) for r in c.minima[0][1]}
+    assert len(classes) > 5
+
+
 def test_items_without_an_id_are_items(spark):
     rng = random.Random(5)
     items = [(None, words(rng, 30)), (1, words(rng, 30)), (None, words(rng, 7)), (None, None)]
