@@ -6,13 +6,14 @@ strings are judged on the input.  Texts are whole UTF-8 bytes; strings never cro
 1. Every string start has one anchor: the leftmost place of the smallest 16-byte hash in its string at which ``CORE``
    bytes fit.  Equal strings have equal anchors, so strings need comparing only under one anchor.  Starts with one
    anchor place form a context, the bytes from the first start to the end of the last string.
-2. Contexts are shuffled once by anchor.  Anchors that stand once are done.  Equal contexts settle one another: all their
+2. Equal contexts of one batch settle one another at once; the others, and one of each settled kind, are shuffled by
+   anchor.  Anchors that stand once are done.  Equal contexts settle one another: all their
    strings repeat.  Of anchors with different contexts, one context of each kind goes on, with its multiplicity.
-3. Those contexts are dealt into shards, and every shard's transform is built over symbols of ``SYMBOL`` bytes.  The
-   shard transforms are merged without sorting suffixes again: an interleave vector, first shard after shard, is
-   refined pass by pass by the symbols before each suffix.  After p passes suffixes stand in order of their first
-   p * SYMBOL bytes, and the pass that first parts two neighbours bounds their common prefix.  Neighbours unparted
-   after LENGTH / SYMBOL passes share LENGTH bytes: the repeated intervals.
+3. Those contexts are dealt into shards, and every shard's transform is built from its own bytes, over symbols of
+   ``SYMBOL`` bytes.  The shard transforms are merged without sorting suffixes again: an interleave vector, first shard
+   after shard, is refined pass by pass by the symbols before each suffix, and nothing else orders across shards.  After
+   p passes suffixes stand in order of their first p * SYMBOL bytes, and the pass that first parts two neighbours bounds
+   their common prefix.  Neighbours unparted after LENGTH / SYMBOL passes share LENGTH bytes: the repeated intervals.
 4. Repeated starts become byte spans per text, which are cut out.
 
 An anchor with more than ``MOST_CONTEXTS`` different contexts doesn't fit one merge; its strings are instead counted by
@@ -32,14 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import arrow_function, bounded_batches, materialize, utf8
+from parley.llm.common import arrow_function, bounded_batches, materialize, mix64, utf8
 
 LENGTH = 200
 #: Bytes of an anchor, and of a symbol of the transforms.
-CORE, SYMBOL = 64, 40
+CORE, SYMBOL = 64, 8
 MOST_CONTEXTS = 4000
-#: Context bytes merged at once, and shards they are dealt into.
-MERGE_BYTES, SHARDS = 2 << 20, 4
+#: Context bytes merged at once (so few that symbols have 16-bit numbers; an anchor with more takes more), and shards they
+#: are dealt into.
+MERGE_BYTES, SHARDS = 56 << 10, 4
 NO_ID = -(1 << 63)
 
 # ------------------------------------------------------------------ contexts
@@ -97,8 +99,30 @@ def contexts(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return anchor.view(np.int64), whole.view(np.int64), lo, ends - lo
 
 
-OCCURRENCES = "anchor bigint, context bigint, doc bigint, mark int, lo int, n int"
-_NAMES = ["anchor", "context", "doc", "mark", "lo", "n"]
+OCCURRENCES = "anchor bigint, context bigint, doc bigint, mark bigint, lo int, n int, mult int"
+_NAMES = ["anchor", "context", "doc", "mark", "lo", "n", "mult"]
+_KINDS = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
+
+
+def settle_in_batch(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Equal contexts of one batch settle one another before anything is shuffled.
+
+    Their rows go on with mult 0 and an anchor that only spreads them; one row, of mult 2, stands for them all.  So a
+    group of copies sends its anchor a row a batch, whatever its size.
+    """
+    anchor, context = cols[0], cols[1]
+    order = np.lexsort((context, anchor))
+    new = np.concatenate(([True], (anchor[order[1:]] != anchor[order[:-1]]) | (context[order[1:]] != context[order[:-1]])))
+    first = np.flatnonzero(new)
+    many = np.diff(np.concatenate([first, [len(order)]])) > 1
+    group = np.cumsum(new) - 1
+    settled, stands = order[many[group]], order[first[many]]
+    mult = np.ones(len(anchor), np.int32)
+    mult[settled] = 0
+    spread = anchor.copy()
+    spread[settled] ^= mix64(cols[2][settled].view(np.uint64) ^ cols[4][settled].astype(np.uint64)).view(np.int64)
+    out = [spread, context, *cols[2:], mult]
+    return [np.concatenate([c, r]) for c, r in zip(out, [*(c[stands] for c in cols), np.full(len(stands), 2, np.int32)], strict=True)]
 
 
 def find_contexts(batches):
@@ -107,29 +131,36 @@ def find_contexts(batches):
         raw, at, _ = utf8(b.column("text"))
         data = raw.tobytes()
         docs, marks = b.column("doc").to_numpy(zero_copy_only=False), b.column("mark").to_numpy(zero_copy_only=False)
-        found = [[] for _ in _NAMES]
+        found = [[] for _ in _NAMES[:-1]]
         for i in np.flatnonzero(np.diff(at) >= LENGTH):
             a, c, lo, n = contexts(data[at[i] : at[i + 1]], raw[at[i] : at[i + 1]])
             for col, x in zip(found, (a, c, np.full(len(a), docs[i]), np.full(len(a), marks[i]), lo, n), strict=True):
                 col.append(x)
         if found[0]:
-            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
-            yield pa.record_batch([pa.array(np.concatenate(x).astype(k)) for x, k in zip(found, kinds, strict=True)], _NAMES)
+            cols = settle_in_batch([np.concatenate(x).astype(k) for x, k in zip(found, _KINDS, strict=False)])
+            yield pa.record_batch([pa.array(c) for c in cols], _NAMES)
 
 
 class Classifier:
     """Reads occurrences sorted by (anchor, context); holds two of them at most between batches.
 
-    Gives rows (anchor, doc, mark, lo, n, mult): mult 0 for strings that an equal context has settled, else a context
-    that must be compared with the others of its anchor, standing once (1) or more often (2).
+    Rows of mult 0 are settled already; a row of mult 2 stands for such rows.  Gives rows (anchor, doc, mark, lo, n, mult):
+    mult 0 for strings that an equal context has settled, else a context that must be compared with the others of its
+    anchor, standing once (1) or more often (2).
     """
 
     def __init__(self):
         self.held = None
 
     def take(self, cols: dict[str, np.ndarray], final: bool = False):
+        done = cols["mult"] == 0
+        before = {k: cols[k][done] for k in ("anchor", "doc", "mark", "lo", "n", "mult")}
+        got = self.compare({k: v[~done] for k, v in cols.items()}, final)
+        return before if got is None else {k: np.concatenate([before[k], got[k]]) for k in before}
+
+    def compare(self, cols: dict[str, np.ndarray], final: bool):
         n = len(cols["anchor"])
-        cols = cols | {"count": np.ones(n, np.int64), "settled": np.zeros(n, bool), "sent": np.zeros(n, bool)}
+        cols = cols | {"count": cols["mult"].astype(np.int64), "settled": cols["mult"] == 2, "sent": np.zeros(n, bool)}
         if self.held is not None:
             cols = {k: np.concatenate([self.held[k], v]) for k, v in cols.items()}
             self.held = None
@@ -161,7 +192,7 @@ class Classifier:
         return {k: cols[k][rows] for k in ("anchor", "doc", "mark", "lo", "n")} | {"mult": mult.astype(np.int32)}
 
 
-CLASSIFIED = "anchor bigint, doc bigint, mark int, lo int, n int, mult int"
+CLASSIFIED = "anchor bigint, doc bigint, mark bigint, lo int, n int, mult int"
 
 
 def classify(batches):
@@ -170,7 +201,7 @@ def classify(batches):
         got = state.take({k: b.column(k).to_numpy(zero_copy_only=False) for k in _NAMES})
         if got and len(got["anchor"]):
             yield pa.record_batch([pa.array(got[k]) for k in names], names)
-    empty = {k: np.zeros(0, np.int64 if k in ("anchor", "context", "doc") else np.int32) for k in _NAMES}
+    empty = {k: np.zeros(0, t) for k, t in zip(_NAMES, _KINDS, strict=True)}
     got = state.take(empty, final=True)
     if got and len(got["anchor"]):
         yield pa.record_batch([pa.array(got[k]) for k in names], names)
@@ -198,63 +229,77 @@ def dense(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def symbols(raw: np.ndarray, size: int = SYMBOL) -> np.ndarray:
-    """The alphabet: for every place, the rank of the ``size`` bytes from it (zeros after the end)."""
-    n = len(raw)
-    padded = np.concatenate([raw, np.zeros(size + 8, np.uint8)])
-    rank, known = dense(np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(np.uint64)), 8
-    while known < size:
-        step = min(known, size - known)
-        later = np.concatenate([rank[step:] + 1, np.zeros(min(step, n), np.int64)])[:n]
-        rank, known = dense(rank * (n + 1) + later), known + step
-    return rank
+def words_at(raw: np.ndarray, size: int = SYMBOL) -> np.ndarray:
+    """The symbols: for every place, the ``size`` = 8 bytes from it as a number in byte order (zeros after the end)."""
+    padded = np.concatenate([raw, np.zeros(size, np.uint8)])
+    return np.ndarray((len(raw),), ">u8", padded.data, strides=(1,)).astype(np.uint64)
 
 
 class Transform:
-    """A shard's transform: its suffixes (by place) in order of their first ``passes`` symbols, and the symbol before each.
+    """A shard's transform, of its own bytes alone: its suffixes (by place) in order of their first LENGTH bytes, and the
+    symbol before each.
 
-    ``before`` is -1 for a suffix within the first SYMBOL places of the shard.  ``tails`` are the last SYMBOL places, whose
-    following suffix is empty.
+    ``before`` counts only where ``has_before``: a suffix within the first SYMBOL places of the shard has no symbol before
+    it.  ``tails`` are the symbols of the last SYMBOL places, whose following suffix is empty.
     """
 
-    def __init__(self, symbol: np.ndarray, start: int, end: int, passes: int, size: int = SYMBOL):
-        own = symbol[start:end]
-        order = np.arange(end - start)
-        for p in range(passes - 1, -1, -1):
-            later = np.concatenate([own[p * size :] + 1, np.zeros(p * size, np.int64)])[: len(own)] if p * size < len(own) else np.zeros(len(own), np.int64)
-            order = order[stable_order(later[order])]
+    def __init__(self, raw: np.ndarray, start: int, end: int, size: int = SYMBOL):
+        own = words_at(raw[start:end])
+        rank, known = dense(own), size
+        while known < LENGTH:  # prefix doubling within the shard
+            step = min(known, LENGTH - known)
+            later = np.concatenate([rank[step:] + 1, np.zeros(min(step, len(own)), np.int64)])[: len(own)]
+            rank, known = dense(rank * (len(own) + 1) + later), known + step
+        order = stable_order(rank)
         self.place = order + start
-        self.before = np.where(order >= size, own[order - size], -1)
-        self.tails = own[max(0, len(own) - size) :]
+        self.has_before = order >= size
+        self.before = own[order - size]
+        self.row = np.empty(len(own), np.int32)  # where each suffix stands
+        self.row[order] = np.arange(len(own), dtype=np.int32)
+        self.back = self.row[order - size]  # where the suffix that starts one symbol earlier stands
+        self.tail_rows, self.tails = self.row[max(0, len(own) - size) :], own[max(0, len(own) - size) :]
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+
+
+def number_symbols(shards: list[Transform]) -> None:
+    """Replaces the shards' symbols by their ranks in one alphabet, which is merged from the shards' sorted alphabets."""
+    alphabet = distinct(np.concatenate([distinct(np.concatenate([t.before, t.tails])) for t in shards]))
+    for t in shards:
+        t.before, t.tails = (np.searchsorted(alphabet, x).astype(np.int32) for x in (t.before, t.tails))
+        t.before[~t.has_before] = -1
 
 
 def merge(shards: list[Transform], passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave: the shard of each merged row, block: rows with one number share ``passes`` symbols).
+    """(interleave: the merged rows, as numbers of the shards' rows one shard after another; block: rows with one number
+    share ``passes`` symbols).
 
-    Every pass walks the interleave, takes each shard's next preceding symbol, and deals the rows stably by symbol; the
-    rows that precede nothing but the end of their shard come first.  Rows of one shard never change their order.
+    Every pass walks the interleave, takes each row's preceding symbol, and deals the rows that those lead back to
+    stably by symbol; the rows that precede nothing but the end of their shard come first.  Rows of one shard never
+    change their order.
     """
-    sizes = [len(t.place) for t in shards]
-    base = np.concatenate(([0], np.cumsum(sizes)))
+    number_symbols(shards)
+    base = np.concatenate(([0], np.cumsum([len(t.place) for t in shards]))).astype(np.int32)
     before = np.concatenate([t.before for t in shards])
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
+    back = np.concatenate([t.back + b for t, b in zip(shards, base, strict=False)])
     tails = np.concatenate([t.tails for t in shards])
-    tail_z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(t.tails) for t in shards])
-    block = np.zeros(len(z), np.int64)
+    tail_rows = np.concatenate([t.tail_rows + b for t, b in zip(shards, base, strict=False)])
+    interleave = np.arange(len(before), dtype=np.int32)
+    block = np.zeros(len(before), np.int32)
     for p in range(passes):
-        row = np.empty(len(z), np.int64)
-        for k in range(len(shards)):
-            row[z == k] = np.arange(base[k], base[k + 1])
-        symbol = before[row]
+        symbol = before[interleave]
         at = np.flatnonzero(symbol >= 0)
         symbol = np.concatenate([tails, symbol[at]])
         # The empty suffix shares no symbol with others, but as many as any before the first pass: none.
-        came = np.concatenate([np.full(len(tails), -1 if p else 0), block[at]])
-        shard = np.concatenate([tail_z, z[at]])
+        came = np.concatenate([np.full(len(tails), -1 if p else 0, np.int32), block[at]])
         order = stable_order(symbol)
-        symbol, came, z = symbol[order], came[order], shard[order]
-        block = np.cumsum(np.concatenate(([False], (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1]))))
-    return z, block
+        interleave = np.concatenate([tail_rows, back[interleave[at]]])[order]
+        symbol, came = symbol[order], came[order]
+        block = np.cumsum(np.concatenate(([False], (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1]))), dtype=np.int32)
+    return interleave, block
 
 
 def repeated_starts(texts: list[bytes], starts: list[int], mult: np.ndarray, n_shards: int = SHARDS) -> list[np.ndarray]:
@@ -263,16 +308,11 @@ def repeated_starts(texts: list[bytes], starts: list[int], mult: np.ndarray, n_s
     lengths = np.array([len(t) for t in texts], np.int64)
     at = np.concatenate(([0], np.cumsum(lengths)))
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    symbol = symbols(raw)
     # Contiguous shards of whole contexts.
     cuts = np.unique(np.searchsorted(at, np.linspace(0, at[-1], min(n_shards, len(texts)) + 1)))
-    shards = [Transform(symbol, at[a], at[b], passes) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    z, block = merge(shards, passes)
-    row = np.empty(len(z), np.int64)
-    base = np.concatenate(([0], np.cumsum([len(t.place) for t in shards])))
-    for k in range(len(shards)):
-        row[z == k] = np.arange(base[k], base[k + 1])
-    place = np.concatenate([t.place for t in shards])[row]
+    shards = [Transform(raw, at[a], at[b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    interleave, block = merge(shards, passes)
+    place = np.concatenate([t.place for t in shards])[interleave]
     weight = np.zeros(len(raw), np.int64)
     for a, n, m in zip(at[:-1], starts, mult.tolist(), strict=True):
         weight[a : a + n] = m
@@ -289,8 +329,8 @@ def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[cut], np.diff(np.concatenate([cut, [len(starts)]]))
 
 
-SPANS = "doc bigint, mark int, lo int, n int"
-CUT = "anchor bigint, doc bigint, mark int, lo int, n int, mult int, bytes binary"
+SPANS = "doc bigint, mark bigint, lo int, n int"
+CUT = "anchor bigint, doc bigint, mark bigint, lo int, n int, mult int, bytes binary"
 
 
 def merge_contexts(batches):
@@ -309,7 +349,7 @@ def merge_contexts(batches):
                 for col, x in zip(out, (np.full(len(first), doc[i]), np.full(len(first), mark[i]), first + lo[i], many), strict=True):
                     col.append(x)
         if out[0]:
-            kinds = (np.int64, np.int32, np.int32, np.int32)
+            kinds = (np.int64, np.int64, np.int32, np.int32)
             yield pa.record_batch([pa.array(np.concatenate(x).astype(k)) for x, k in zip(out, kinds, strict=True)], names)
 
     for b in batches:
@@ -342,7 +382,7 @@ def cut_contexts(batches):
             for k in range(0, len(wanted), 8192):
                 w = wanted[k : k + 8192]
                 cols = [[x["anchor"] for x in w], [doc] * len(w), [mark] * len(w), [x["lo"] for x in w], [x["n"] for x in w], [x["mult"] for x in w]]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.record_batch([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array([text[x["lo"] : x["lo"] + x["n"] + LENGTH - 1] for x in w], pa.binary())], names)
 
 
@@ -354,7 +394,7 @@ def string_digests(batches):
             data = r["bytes"]
             d = [xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(r["n"])]
             k = len(d)
-            cols = [pa.array(d, pa.binary()), pa.array([r["doc"]] * k, pa.int64()), pa.array([r["mark"]] * k, pa.int32()), pa.array(np.arange(r["lo"], r["lo"] + k, dtype=np.int32)), pa.array(np.ones(k, np.int32)), pa.array([r["mult"]] * k, pa.int32())]
+            cols = [pa.array(d, pa.binary()), pa.array([r["doc"]] * k, pa.int64()), pa.array([r["mark"]] * k, pa.int64()), pa.array(np.arange(r["lo"], r["lo"] + k, dtype=np.int32)), pa.array(np.ones(k, np.int32)), pa.array([r["mult"]] * k, pa.int32())]
             yield pa.record_batch(cols, names)
 
 
@@ -370,7 +410,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     found = materialize(found.mapInArrow(classify, CLASSIFIED), "repeats")
     settled = found.filter("mult = 0").select("doc", "mark", "lo", "n")
     compare = found.filter("mult > 0")
-    wanted = compare.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "lo", "n", "mult")).alias("wanted"))
+    wanted = compare.groupBy("doc", "mark").agg(F.collect_set(F.struct("anchor", "lo", "n", "mult")).alias("wanted"))
     cut = rows.join(wanted, ["doc", "mark"])
     cut = cut.select("doc", "mark", "text", "wanted").mapInArrow(cut_contexts, CUT)
     large = compare.groupBy("anchor").count().filter(F.col("count") > MOST_CONTEXTS).select("anchor")
@@ -380,7 +420,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         return settled.unionByName(merged)
     cut = materialize(cut, "contexts")
     merged = cut.join(large, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(merge_contexts, SPANS)
-    each = materialize(cut.join(large, "anchor", "left_semi").mapInArrow(string_digests, "digest binary, doc bigint, mark int, lo int, n int, mult int"), "strings")
+    each = materialize(cut.join(large, "anchor", "left_semi").mapInArrow(string_digests, "digest binary, doc bigint, mark bigint, lo int, n int, mult int"), "strings")
     twice = each.groupBy("digest").agg(F.sum("mult").alias("k")).filter("k >= 2").select("digest")
     counted = each.filter("mult = 1").join(twice, "digest", "left_semi").select("doc", "mark", "lo", "n")
     return settled.unionByName(merged).unionByName(counted)
@@ -419,16 +459,16 @@ def remove_spans(text: pa.Array, found: pa.Array) -> pa.Array:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(doc, mark, text): equal rows are one text twice, so an id and a mark of the text name it."""
+    """(doc, mark, text): equal rows are one text twice, so an id and a 64-bit mark of the text name it."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int").alias("mark"), text.alias("text"))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of docs(doc_id, text)."""
     bounded_batches(docs.sparkSession)
     rows = identified(docs)
-    found = repeated_spans(rows).groupBy("doc", "mark").agg(F.collect_list(F.struct("lo", "n")).alias("found"))
+    found = repeated_spans(rows).groupBy("doc", "mark").agg(F.collect_set(F.struct("lo", "n")).alias("found"))
     out = rows.join(found, ["doc", "mark"], "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), remove_spans("text", "found").alias("r"))
     return out.select("doc_id", "r.*")
 
