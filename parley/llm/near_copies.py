@@ -6,8 +6,10 @@ fingerprints of its distinct shingles.  Each is searched by the pigeonhole plan
 meets in a bucket of any fingerprint and is within ``WIDE`` bits on two of them is a candidate.  Candidates are verified
 by counting the shingles of both whole texts, so no pair under 0.8 links by itself; links chain into groups.
 
-Equal sets of shingles are one node whatever their number.  Dense groups send a few candidates a node first; what those
-leave apart is compared pair by pair afterwards, so no candidate goes unjudged and no group sends all its pairs.
+Equal sets of shingles are one node whatever their number.  A group first sends candidates that just connect it.  Where
+their verified links don't join it again, it is cut into blocks of some ``BLOCK_SHINGLES`` shingles, and the pairs of
+blocks that candidates of different parts lie in are counted whole, as matrix products.  So no candidate goes unjudged,
+and no group sends a row for each of its pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import arrow_function, bounded_batches, fixed_multipliers, free_name, materialize, mix64
-from parley.llm.components import connected_components
+from parley.llm.components import connected_components, star_edges
 from parley.llm.simhash import BLOCK, PROBE, SEED, Near, batch_words, bit_counts, bucket_links, in_buckets, large_buckets, majority, plan_for, probe_rows, shingle_hashes, small_pairs, whole_buckets
 
 #: Near copies share this part of the distinct 5-word shingles of both texts (Jaccard), as a fraction.
 ALIKE = (4, 5)
 #: Independent fingerprints, the radius that each is searched at, and the most bits that candidates differ by in two of them.
 PRINTS, RADIUS, WIDE = 3, 8, 20
+#: Shingles of a block of nodes that are counted together, about, and what a node adds to its own.
+BLOCK_SHINGLES, NODE_WEIGHT = 40_000, 100
 NO_ID = (1 << 63) - 1
 _KEYS = fixed_multipliers(PRINTS, 71)
 
@@ -82,29 +86,48 @@ def firsts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
 
 
+def spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A few of the pairs that connect what all of them connect."""
+    some = firsts(x, y)
+    while True:
+        node, root = star_edges(x[some], y[some])
+        order = np.argsort(node)
+        node, root = node[order], root[order]
+
+        def label(v, node=node, root=root):
+            at = np.minimum(np.searchsorted(node, v), max(len(node) - 1, 0))
+            return np.where(node[at] == v, root[at], v) if len(node) else v
+
+        a, b = label(x), label(y)
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return x[some], y[some]
+        some = np.union1d(some, apart[firsts(a[apart], b[apart])])
+
+
 def first_pairs(batches):
-    """Rows sorted by (slot, key) -> candidates, a few for each node: every node that has a candidate is in one."""
+    """Rows sorted by (slot, key) -> some of the candidates, which connect what all candidates connect."""
     for rows, cut in whole_buckets(batches):
         side, node, fp, check = (rows.column(c).to_numpy() for c in ("side", "node", "fp", "check"))
         near, a, b = Near([fp, check], WIDE), [], []
         for at in large_buckets(cut):
             for x, y in bucket_links(node[at], near.take(at)):
-                some = firsts(x, y)
-                a.append(x[some])
-                b.append(y[some])
+                x, y = spanning(x, y)
+                a.append(x)
+                b.append(y)
         for x, y in small_pairs(cut, side, near):
-            x, y = node[x], node[y]
-            some = firsts(x, y)
-            a.append(x[some])
-            b.append(y[some])
+            x, y = spanning(node[x], node[y])
+            a.append(x)
+            b.append(y)
         yield from _edges(a, b)
 
 
-def crossing_pairs(batches):
-    """The same rows with ``root`` -> all candidates whose roots differ."""
+def crossing_blocks(batches):
+    """The same rows with ``root`` and ``block`` -> the pairs of blocks that candidates of different roots lie in."""
     for rows, cut in whole_buckets(batches):
-        side, node, fp, check, root = (rows.column(c).to_numpy() for c in ("side", "node", "fp", "check", "root"))
+        side, node, fp, check, root, block = (rows.column(c).to_numpy() for c in ("side", "node", "fp", "check", "root", "block"))
         near = Near([fp, check], WIDE)
+        pairs = [np.zeros((0, 2), np.int64)]
         for at in large_buckets(cut):
             _, first = np.unique(node[at], return_index=True)
             own = at[first]
@@ -115,20 +138,67 @@ def crossing_pairs(batches):
                 r, c = near.grid(own[k : k + step], own[k:])
                 x, y = own[k : k + step][r], own[k:][c]
                 ok = root[x] != root[y]
-                yield from _edges([node[x[ok]]], [node[y[ok]]])
+                pairs.append(np.unique(np.sort(np.stack([block[x[ok]], block[y[ok]]], axis=1), axis=1), axis=0))
         for x, y in small_pairs(cut, side, near):
             ok = root[x] != root[y]
-            yield from _edges([node[x[ok]]], [node[y[ok]]])
-
-
-def alike_links(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (src, dst) whose texts are alike; texts(node, text) may hold a node more than once."""
-    wanted = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), f"{name}-nodes")
-    found = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(found.select("node", shingle_set("text").alias("s")), f"{name}-sets")
+            pairs.append(np.unique(np.sort(np.stack([block[x[ok]], block[y[ok]]], axis=1), axis=1), axis=0))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        if len(pairs):
+            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+
+
+def alike_in_blocks(left: list[dict], right: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of two blocks, with different roots, that are alike: counted by one matrix product."""
+    if not left or not right:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def parts(rows):
+        sets = [np.frombuffer(r["s"], "<u8") for r in rows]
+        n = np.array([len(x) for x in sets], np.int64)
+        return np.concatenate(sets), np.repeat(np.arange(len(rows)), n), n, np.array([r["node"] for r in rows], np.int64), np.array([r["root"] for r in rows], np.int64)
+
+    (x, xi, xn, xnode, xroot), (y, yi, yn, ynode, yroot) = parts(left), parts(right)
+    # Only shingles of both blocks count.
+    common = np.intersect1d(x, y)
+    shared = np.zeros((len(xn), len(yn)), np.float32)
+    for k in range(0, len(common), 1 << 14):
+        own = common[k : k + (1 << 14)]
+        pair = []
+        for v, i, n in ((x, xi, len(xn)), (y, yi, len(yn))):
+            at = np.minimum(np.searchsorted(own, v), len(own) - 1)
+            hit = own[at] == v
+            m = np.zeros((n, len(own)), np.float32)
+            m[i[hit], at[hit]] = 1
+            pair.append(m)
+        shared += pair[0] @ pair[1].T
+    shared = shared.astype(np.int64)
+    ok = (ALIKE[1] * shared >= ALIKE[0] * (xn[:, None] + yn[None, :] - shared)) & (xroot[:, None] != yroot[None, :])
+    i, j = np.nonzero(ok)
+    return xnode[i], ynode[j]
+
+
+def block_links(batches):
+    """(left, right: the nodes of two blocks) -> links."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            a, b = alike_in_blocks(batch.column("left")[k].as_py(), batch.column("right")[k].as_py())
+            if len(a):
+                a, b = spanning(a, b)
+                yield from _edges([a], [b])
+
+
+def shingle_sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, s) of the wanted nodes; texts(node, text) may hold a node more than once."""
+    return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", shingle_set("text").alias("s"))
+
+
+def alike_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose texts are alike."""
+    wanted = materialize(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "pair-nodes")
+    sets = materialize(shingle_sets(wanted, texts), "pair-sets")
     left = pairs.join(sets.select(F.col("node").alias("src"), F.col("s").alias("a")), "src")
     both = left.join(sets.select(F.col("node").alias("dst"), F.col("s").alias("b")), "dst")
-    return materialize(both.filter(are_alike("a", "b")).select("src", "dst"), f"{name}-links")
+    return materialize(both.filter(are_alike("a", "b")).select("src", "dst"), "pair-links")
 
 
 def bucket_rows(nodes: DataFrame, plans: list, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -142,20 +212,29 @@ def bucket_rows(nodes: DataFrame, plans: list, carried: tuple[str, ...] = ()) ->
 
 
 def copy_components(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """nodes(node, p0, p1, ...), one row a node -> (node, root) of the nodes that a link reaches."""
+    """nodes(node, n, p0, p1, ...), one row a node -> (node, root) of the nodes that a link reaches."""
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     n, link = nodes.count(), "src bigint, dst bigint"
     plans = [plan_for(nodes, f"p{j}", n, RADIUS) for j in range(PRINTS)]
     first = materialize(bucket_rows(nodes, plans).mapInArrow(first_pairs, link).distinct(), "first-pairs")
-    links = alike_links(first, texts, "first")
+    links = alike_links(first, texts)
     roots = connected_components(links, "src", "dst")
-    # Nodes in no first pair have no candidate.
-    some = first.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    some = nodes.join(some, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = bucket_rows(materialize(some, "candidates"), plans, ("root",)).mapInArrow(crossing_pairs, link)
-    apart = materialize(apart.distinct().join(first, ["src", "dst"], "left_anti"), "other-pairs")
-    if apart.isEmpty():
+    # The first pairs connect what all candidates connect: a group that their links join again is done.
+    groups = connected_components(first, "src", "dst").select("node", F.col("root").alias("grp"))
+    members = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(nodes, "node")
+    members = materialize(members, "members")
+    own = members.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.col("n") + NODE_WEIGHT).alias("n")).filter("lo <> hi")
+    own = own.select("grp", F.ceil(F.col("n") / BLOCK_SHINGLES).alias("blocks"))
+    block = F.xxhash64("grp", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    open_ = materialize(members.join(own, "grp").withColumn("block", block).drop("grp", "blocks", "n"), "open")
+    if open_.isEmpty():
         return roots
-    return connected_components(links.unionByName(alike_links(apart, texts, "other")), "src", "dst")
+    pairs = materialize(bucket_rows(open_, plans, ("root", "block")).mapInArrow(crossing_blocks, "a bigint, b bigint").distinct(), "block-pairs")
+    sets = shingle_sets(open_.select("node"), texts).join(open_.select("node", "root", "block"), "node")
+    blocks = materialize(sets.groupBy("block").agg(F.collect_list(F.struct("node", "root", "s")).alias("rows")), "blocks")
+    both = pairs.join(blocks.select(F.col("block").alias("a"), F.col("rows").alias("left")), "a").join(blocks.select(F.col("block").alias("b"), F.col("rows").alias("right")), "b")
+    more = both.select("left", "right").repartition(parts).mapInArrow(block_links, link)
+    return connected_components(materialize(links.unionByName(more), "all-links"), "src", "dst")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -168,7 +247,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     prints = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), copy_prints("text").alias("s"))
     prints = prints.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "content", "s.*")
     prints = materialize(prints, "prints")
-    nodes = materialize(prints.filter("n > 0").groupBy("node").agg(*(F.first(f"p{j}").alias(f"p{j}") for j in range(PRINTS))), "nodes")
+    nodes = materialize(prints.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), *(F.first(f"p{j}").alias(f"p{j}") for j in range(PRINTS))), "nodes")
     names = materialize(prints.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("k")).select("node", "k.*"), "names")
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), "text")
     texts = texts.join(names, ["doc_id", "content"]).select("node", "text")
