@@ -319,11 +319,12 @@ def bucket_links(node: np.ndarray, near: Near):
     waiting = np.arange(len(node))
     while len(waiting) > SMALL:
         seeds = waiting[np.linspace(0, len(waiting) - 1, 8).astype(int)]
-        r, _ = near.grid(seeds, waiting)
+        r, c = near.grid(seeds, waiting)
         best = np.bincount(r, minlength=8)
         if 8 * best.max() < len(waiting):
             break
-        stack = seeds[[best.argmax()]]
+        # The smallest node of the group starts, so a group has the same hub in all its buckets.
+        stack = waiting[[c[r == best.argmax()].min()]]
         waiting = waiting[waiting != stack[0]]
         while len(stack) and len(waiting):
             take = stack[: max(1, BLOCK // len(waiting))]
