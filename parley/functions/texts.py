@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"\p{Lu}?\p{Ll}+|\p{Lu}+|\p{Lo}+|\p{N}+"
 CHARS_PER_TOKEN = 3.5
 HEAD_HASH_BYTES = 64 * 1024
-# Texts that a tool puts before a person's words.
-AUTO_CONTEXT = ("<environment_context>", "<user_instructions>", "# AGENTS.md", "<turn_aborted>")
+# Starts of texts that a tool inserts, by source.
+AUTO_CONTEXT = {
+    "codex": ("<environment_context>", "# Context from my IDE setup", "<permissions instructions>", "<user_instructions>"),
+    "claude-code": ("<command-name>", "<command-message>", "<local-command-", "Caveat:", "<system-reminder"),
+}
+# How a text says how long the work took.
+_UNITS = "h|hr|hrs|hour|hours|m|min|mins|minute|minutes|s|sec|secs|second|seconds"
+WORKED_FOR = rf"(?i)\bWorked for\s+((?:(?:\d+(?:\.\d+)?)\s*(?:{_UNITS})\s*)+)"
+WORKED_PART = rf"(?i)\d+(?:\.\d+)?\s*(?:{_UNITS})\b"
 
 
 def analyze(text: Column) -> Column:
@@ -28,8 +35,9 @@ def normalize_snippet(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(bare, r"\s+", " ")))
 
 
-def is_auto_context(text: Column, prefixes: tuple[str, ...] = AUTO_CONTEXT) -> Column:
-    trimmed = F.ltrim(text)
+def is_auto_context(text: Column, source: str) -> Column:
+    """The text starts as one that the source inserts by itself."""
+    prefixes, trimmed = AUTO_CONTEXT[source], F.ltrim(text)
     test = F.lit(False)
     for p in prefixes:
         test = test | trimmed.startswith(p)
@@ -77,10 +85,16 @@ def parse_timestamp(text: Column) -> Column:
 
 
 def worked_for_ms(text: Column) -> Column:
-    """Milliseconds of ``Worked for 1h 2m 3s``; NULL where the text doesn't say so."""
-    body = F.regexp_extract(text, r"(?i)worked for ((?:\d+\s*[hms]\s*)+)", 1)
-    part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(body, rf"(\d+)\s*{unit}", 1), F.lit("")).cast("bigint"), F.lit(0))
-    return F.when(body != "", (part("h") * 3600 + part("m") * 60 + part("s")) * 1000)
+    """Milliseconds of ``Worked for 1h 2m 3s``, in any of its spellings; NULL where the text doesn't say so or says zero."""
+    body = F.regexp_extract(text, WORKED_FOR, 1)
+    parts = F.regexp_extract_all(body, F.lit(f"({WORKED_PART})"), F.lit(1))
+
+    def seconds(part: Column) -> Column:
+        n, unit = F.regexp_extract(part, r"^[\d.]+", 0).cast("double"), F.lower(F.regexp_extract(part, r"([A-Za-z]+)$", 1))
+        return n * F.when(unit.startswith("h"), 3600).when(unit.startswith("m"), 60).otherwise(1)
+
+    total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + seconds(p))
+    return F.when((body != "") & (total > 0), F.floor(total * 1000 + 0.5).cast("bigint"))
 
 
 def report_project(repository: Column, name: Column) -> Column:

@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from parley.operators.retrieval import dot, norm
 
-# Words that never make a key word.
-STOP_WORDS = ("about", "after", "again", "before", "could", "other", "should", "their", "there", "these", "those", "under", "where", "which", "while", "would")
+# Words that never make a key word, the characters of a token, and those that mark a token as telling.
+STOP_WORDS = (
+    "about", "after", "again", "also", "been", "before", "being", "between", "could", "does", "from", "have", "into", "more", "only", "other", "should", "some", "such",
+    "than", "that", "their", "then", "there", "these", "they", "this", "those", "through", "using", "very", "want", "what", "when", "where", "which", "while", "with", "would",
+    "без", "более", "быть", "будет", "вот", "всего", "где", "для", "если", "есть", "ещё", "как", "какие", "когда", "который", "между", "может", "можно", "надо", "нужно",
+    "после", "почему", "при", "про", "сделать", "так", "также", "только", "уже", "чтобы", "этого", "это",
+)
+KNOWN_TOKEN, TELLING = r"[\p{L}\p{N}_./:+#@-]{3,}", r"[0-9_./:+#@-]"
+MOST_QUERY_CHARS = 500
 
 
 def unit(v: Column) -> Column:
@@ -64,13 +71,14 @@ def silhouettes(vectors: DataFrame) -> DataFrame:
 
 def known_item_queries(docs: DataFrame, doc_id: str, text: str, width: int = 12, keywords: int = 6) -> DataFrame:
     """(doc_id, verbatim, keyword): a hash-placed window of words, and the longest distinct words in order of place."""
-    w = docs.select(F.col(doc_id).alias("doc_id"), F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}_./:+#@-]+)"), F.lit(1)), F.lower).alias("w"))
+    w = docs.select(F.col(doc_id).alias("doc_id"), F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({KNOWN_TOKEN})"), F.lit(1)), F.lower).alias("w"))
     n = F.size("w") - width + 1
     offset = F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 8), 16, 10).cast("bigint") % F.greatest(n, F.lit(1))
     verbatim = F.when(n > 0, F.array_join(F.slice("w", (offset + 1).cast("int"), F.lit(width)), " "))
     long = F.filter(F.array_distinct("w"), lambda x: (F.length(x) >= 5) & ~x.isin(*STOP_WORDS))
-    signal = lambda x: F.when(x.rlike(r"[0-9_./:+#@-]"), 0).otherwise(1)
+    signal = lambda x: F.when(x.rlike(TELLING), 0).otherwise(1)
     ranked = F.slice(F.array_sort(F.transform(long, lambda x, i: F.struct(signal(x).alias("a"), (-F.length(x)).alias("b"), i.alias("i"), x.alias("t")))), 1, keywords)
     placed = F.array_sort(F.transform(ranked, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"))))
     keyword = F.when(F.size(ranked) >= 5, F.array_join(F.transform(placed, lambda x: x["t"]), " "))
-    return w.select("doc_id", verbatim.alias("verbatim"), keyword.alias("keyword"))
+    short = lambda c: F.when(F.length(c) <= MOST_QUERY_CHARS, c)
+    return w.select("doc_id", short(verbatim).alias("verbatim"), short(keyword).alias("keyword"))

@@ -83,3 +83,53 @@ def export_table(df: DataFrame, path: str, keys: list[str]) -> str:
     if before != after:
         raise ValueError(f"{path}: what was read back differs from what was written")
     return after
+
+
+# Names of filters and of optional fields, and what a preset exports.
+FILTER_NAMES = ("harness", "harnessInstallation", "vendor", "model", "serviceProvider", "reasoningEffort", "host", "platform", "arch", "workspace", "dialogue", "revision")
+OPTIONAL_FIELDS = (
+    "dialogues.title", "hosts.label", "messages.timestamp", "messages.model", "messages.service_provider", "messages.reasoning_effort", "messages.response_status",
+    "messages.usage", "chunks.tool_name", "chunks.source_locator", "chunks.raw_kind", "messages.raw_role",
+)
+CATEGORIES = ("human_input", "assistant_final", "assistant_other", "thought", "tool_call", "tool_result", "instructions", "usage", "attachment", "object", "unknown")
+PRESETS = {
+    "qa-analysis": ("human_input", "assistant_final"),
+    "conversation": ("human_input", "assistant_final", "assistant_other"),
+    "tools": ("tool_call", "tool_result"),
+    "instructions": ("instructions",),
+    "full-canonical": CATEGORIES,
+}
+
+
+def manifest(revisions: DataFrame, include: dict[str, list] | None = None, exclude: dict[str, list] | None = None, current_only: bool = True) -> DataFrame:
+    """The ready revisions that an export takes: each included value must match, none of the excluded may.
+
+    revisions has ``status``, ``is_current`` and a column for each filter that is named.  A NULL never matches an
+    inclusion and is never excluded.  Empty lists filter nothing.
+    """
+    test = F.col("status") == "ready"
+    if current_only:
+        test = test & F.col("is_current")
+    for filters, wanted in ((include or {}, True), (exclude or {}, False)):
+        for name, values in filters.items():
+            if name not in FILTER_NAMES:
+                raise ValueError(f"no export filter {name}")
+            if values:
+                test = test & (F.col(name).isin(*values) if wanted else F.col(name).isNull() | ~F.col(name).isin(*values))
+    return revisions.filter(test)
+
+
+def preset_items(items: DataFrame, preset: str, category: str = "category") -> DataFrame:
+    """The items of a preset's categories."""
+    if preset not in PRESETS:
+        raise ValueError(f"no export preset {preset}")
+    return items.filter(F.col(category).isin(*PRESETS[preset]))
+
+
+def whitelist(rows: DataFrame, relation: str, chosen: list[str]) -> DataFrame:
+    """Optional fields of the relation are NULL unless they are chosen; all columns and types stay."""
+    if unknown := sorted(set(chosen) - set(OPTIONAL_FIELDS)):
+        raise ValueError(f"no optional fields {unknown}")
+    hidden = {f.split(".")[1] for f in OPTIONAL_FIELDS if f.startswith(f"{relation}.") and f not in chosen}
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.select(*(F.lit(None).cast(kinds[c]).alias(c) if c in hidden else F.col(c) for c in rows.columns))

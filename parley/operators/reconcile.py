@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,17 +71,24 @@ def lease(jobs: DataFrame, now_ms: int, limit: int, max_attempts: int = 8, expir
 
 
 def token_batches(items: DataFrame, key: str, order: str, tokens: str, most_items: int = 64, most_tokens: int = 300_000) -> DataFrame:
-    """Greedy batches in order; an item over the bound stands alone.  Adds ``batch`` (from 0 in each key)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        batch, n, total, out = 0, 0, 0, []
-        for t in pdf[tokens]:
-            if n and (n >= most_items or total + t > most_tokens):
-                batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + t
-            out.append(batch)
-        return pdf.assign(batch=out)
+    """Greedy batches in order; an item over the bound stands alone.  Adds ``batch`` (from 0 in each key).
+
+    A batch starts where the one before it ends, so a key's rows are walked in order by one task; they stream through it
+    sorted, and only the open batch's count and sum are held.
+    """
+
+    def fold(frames):
+        current, batch, n, total = None, 0, 0, 0
+        for pdf in frames:
+            out = []
+            for k, t in zip(pdf[key], pdf[tokens], strict=True):
+                if current is None or k != current[0]:
+                    current, batch, n, total = (k,), 0, 0, 0
+                elif n >= most_items or total + t > most_tokens:
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + t
+                out.append(batch)
+            yield pdf.assign(batch=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", batch bigint"
-    return items.groupBy(key).applyInPandas(fold, schema)
+    return items.repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, schema)

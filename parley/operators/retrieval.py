@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,13 +15,36 @@ from parley.operators.sequences import first_by
 K1, B, RRF_K, PER_DIALOGUE = 1.2, 0.75, 60, 3
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(term, doc_id, tf, dl): the index that queries share; write it once, bucketed by term, for repeated use."""
+#: Query terms up to which the tokens of documents are filtered before they are exploded.
+MOST_TERMS = 20_000
+
+
+def postings(docs: DataFrame, doc_id: str, text: str, terms: list[str] | None = None) -> DataFrame:
+    """(term, doc_id, tf, dl): the index that queries share; write it once, bucketed by term, for repeated use.
+
+    With ``terms``, the postings of these alone: other tokens leave the array before it is exploded and shuffled.
+    """
     tokens = docs.select(F.col(doc_id).alias("doc_id"), analyze(F.col(text)).alias("w"))
-    rows = tokens.select("doc_id", F.size("w").cast("bigint").alias("dl"), F.explode("w").alias("term"))
+    tokens = tokens.select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
+    if terms is not None and len(terms) <= MOST_TERMS:
+        tokens = tokens.withColumn("w", wanted_tokens(terms)(F.col("w")))
+    rows = tokens.select("doc_id", "dl", F.explode("w").alias("term"))
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
+def wanted_tokens(terms: list[str]):
+    """A vectorised filter of token arrays: one hash lookup a token."""
+
+    def keep(w: pa.Array) -> pa.Array:
+        flat = pc.index_in(w.flatten(), pa.array(terms, pa.string()))
+        row = pc.list_parent_indices(w)
+        hit = pc.is_valid(flat)
+        n = np.bincount(np.asarray(row.filter(hit)), minlength=len(w))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), w.flatten().filter(hit))
+
+    return F.arrow_udf(keep, "array<string>")
+
+
 def bm25(index: DataFrame, n_docs: int, avg_len: float, queries: DataFrame, match_all: bool = True) -> DataFrame:
     """(query_id, doc_id, score) of matching documents.  queries: (query_id, text)."""
     terms = queries.select("query_id", F.explode(F.array_distinct(analyze(F.col("text")))).alias("term"))
@@ -51,16 +77,26 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+#: Queries that are sent to the executors at once.
+QUERY_BLOCK = 4096
+
+
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """vectors(vec_id, embedding) and a stated query set (query_id, query) -> the k nearest each, exact.
 
-    The query set is sent to every executor, so it must be small; larger sets go in blocks.
+    Queries go to the executors in blocks of bounded size, one scan of the vectors each; every block's k best are taken
+    before the next.
     """
     q = queries.select("query_id", "query", norm(F.col("query")).alias("_qn"))
     v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("_vn"))
-    hits = v.join(F.broadcast(q))
-    hits = hits.select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("embedding"), F.col("query")) / (F.col("_vn") * F.col("_qn")), 6).alias("score"))
-    return top_k(hits, k, ["query_id"])
+    n, out = max(1, -(-queries.count() // block)), None
+    for i in range(n):
+        part = q if n == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        hits = v.join(F.broadcast(part))  # about ``block`` queries
+        hits = hits.select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("embedding"), F.col("query")) / (F.col("_vn") * F.col("_qn")), 6).alias("score"))
+        best = top_k(hits, k, ["query_id"])
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def reciprocal_rank_fusion(*lists: DataFrame) -> DataFrame:

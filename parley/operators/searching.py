@@ -82,7 +82,9 @@ def search(index: DataFrame, n_docs: int, avg_len: float, context: DataFrame, qu
     legs = []
     if mode in ("text", "hybrid"):
         q = spark.createDataFrame([(0, query)], "query_id long, text string")
-        legs.append(R.top_k(R.bm25(index.join(ids, "doc_id", "left_semi") if filters and filters.any() else index, n_docs, avg_len, q), k, ["query_id"]))
+        # Frequencies are those of the whole index, so filters never change a score; they hold before the top is taken.
+        hits = R.bm25(index, n_docs, avg_len, q)
+        legs.append(R.top_k(hits.join(ids, "doc_id", "left_semi") if filters and filters.any() else hits, k, ["query_id"]))
     if mode in ("vector", "hybrid"):
         q = spark.createDataFrame([(0, query_vector)], "query_id long, query array<float>")
         legs.append(R.cosine_search(vectors.join(ids.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left_semi"), q, k))

@@ -23,10 +23,12 @@ def _queries(spark, d):
 
 
 def _bm25(spark, d, match_all):
-    docs = table(spark, d, "documents")
-    index = R.postings(docs, "doc_id", "text")
+    """Two passes over the texts: one for their number and mean length, one for the postings of the queries' terms."""
+    docs, queries = table(spark, d, "documents"), _queries(spark, d)
+    wanted = [r[0] for r in queries.select(F.explode(T.analyze(F.col("text")))).distinct().limit(R.MOST_TERMS + 1).collect()]
+    index = R.postings(docs, "doc_id", "text", wanted)
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.analyze(F.col("text")))).alias("avgdl")).first()
-    return R.bm25(index, stats["n"], stats["avgdl"] or 1.0, _queries(spark, d), match_all)
+    return R.bm25(index, stats["n"], stats["avgdl"] or 1.0, queries, match_all)
 
 
 @query("ret_01_analyzer", f"select doc_id, len(w) as n_tokens, md5(array_to_string(w, ' ')) as digest from (select doc_id, {_TOK.format(t='text')} as w from documents)")
@@ -212,7 +214,16 @@ def clu_11(spark, d):
     return table(spark, d, "embeddings").groupBy(F.col("label").cast("bigint").alias("label")).agg(*(F.round(F.percentile(x, p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)))
 
 
-@query("scl_14_keyword_query")
+_STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
+
+
+@query("scl_14_keyword_query", f"""with w as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{C.KNOWN_TOKEN}'), lambda x: lower(x)) as w from documents),
+ o as (select *, ('0x' || substr(sha256(doc_id::varchar), 1, 8))::bigint % greatest(len(w) - 11, 1) as o from w),
+ u as (select doc_id, t, min(i) as i from (select doc_id, unnest(w) as t, generate_subscripts(w, 1) as i from w) where length(t) >= 5 and t not in ({_STOP}) group by all),
+ r as (select *, row_number() over (partition by doc_id order by case when regexp_matches(t, '{C.TELLING}') then 0 else 1 end, length(t) desc, i) as r from u),
+ k as (select doc_id, string_agg(t, ' ' order by i) as keyword from r where r <= 6 group by doc_id having count(*) >= 5),
+ v as (select doc_id, case when len(w) >= 12 then array_to_string(w[o + 1:o + 12], ' ') end as verbatim from o)
+ select doc_id, case when length(verbatim) <= 500 then verbatim end as verbatim, case when length(keyword) <= 500 then keyword end as keyword from v left join k using (doc_id)""")
 def scl_14(spark, d):
     """Known-item queries of every document: a window of twelve words, and up to six key words."""
     return C.known_item_queries(table(spark, d, "documents"), "doc_id", "text")
@@ -228,9 +239,15 @@ def scl_17(spark, d):
     return table(spark, d, "documents").select("doc_id", T.content_id("doc", F.col("doc_id"), F.col("lang")).alias("id"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
-@query("scl_20_auto_context", "select doc_id, starts_with(ltrim(text), 'The') or starts_with(ltrim(text), 'La') as is_context from documents")
+_OPENINGS = ("", "  <environment_context>", "# Context from my IDE setup:", "<permissions instructions>", "<user_instructions>", "<command-name>", "<command-message>", " <local-command-stdout>", "Caveat: ", "<system-reminder>", "# AGENTS.md", "caveat: ")
+_OPENED = "case doc_id % 12 " + " ".join(f"when {i} then '{x}'" for i, x in enumerate(_OPENINGS)) + " end || coalesce(text, '')"
+_STARTS = {s: " or ".join(f"starts_with(ltrim(t), '{p}')" for p in ps) for s, ps in T.AUTO_CONTEXT.items()}
+
+
+@query("scl_20_auto_context", f"select doc_id, {_STARTS['codex']} as codex, {_STARTS['claude-code']} as claude_code from (select doc_id, {_OPENED} as t from documents)")
 def scl_20(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.is_auto_context(F.col("text"), ("The", "La")).alias("is_context"))
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_OPENED).alias("t"))
+    return docs.select("doc_id", T.is_auto_context(F.col("t"), "codex").alias("codex"), T.is_auto_context(F.col("t"), "claude-code").alias("claude_code"))
 
 
 @query("scl_23_snippets", r"select doc_id, md5(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '</?em>', '', 'g'), '…|\.\.\.', ' ', 'g'), '\s+', ' ', 'g')))) as snippet from documents")
@@ -248,7 +265,7 @@ def scl_25(spark, d):
     return table(spark, d, "pages").select("page_id", T.identity_key(F.col("url"), F.col("page_id")).alias("key"))
 
 
-@query("fpr_01_head_hash")
+@query("fpr_01_head_hash", "select page_id, sha256((strlen(html) || ':')::blob || case when strlen(html) <= 65536 then encode(html) else from_hex(substr(hex(encode(html)), 1, 131072)) end) as head_hash from pages")
 def fpr_01(spark, d):
     return table(spark, d, "pages").select("page_id", T.head_hash(F.octet_length("html"), F.col("html")).alias("head_hash"))
 

@@ -64,8 +64,8 @@ class Dialogue:
         self.add("unknown", [chunk("unknown", value)], ts, visible=False)
 
 
-def is_auto(text: str | None) -> bool:
-    return bool(text) and text.lstrip().startswith(AUTO_CONTEXT)
+def is_auto(text: str | None, source: str) -> bool:
+    return bool(text) and text.lstrip().startswith(AUTO_CONTEXT[source])
 
 
 def blocks_of(content) -> list[dict]:
@@ -104,7 +104,7 @@ def codex(records) -> Dialogue:
             d.model = text_of(p.get("model")) or d.model
         elif kind == "response_item" and what == "message":
             role, chunks = p.get("role") or "unknown", blocks_of(p.get("content"))
-            own = [c for c in chunks if c["kind"] == "text" and not is_auto(c["content"])]
+            own = [c for c in chunks if c["kind"] == "text" and not is_auto(c["content"], "codex")]
             if role == "user":
                 users.append(d.add("user", chunks, ts, None if own else False, bool(own), turn_id=turn and turn["id"]))
             else:
@@ -167,7 +167,7 @@ def claude_code(records) -> Dialogue:
         if kind == "user":
             chunks = blocks_of(m.get("content"))
             only_tools = bool(chunks) and all(c["kind"] == "tool_result" for c in chunks)
-            own = any(c["kind"] == "text" and not is_auto(c["content"]) for c in chunks)
+            own = any(c["kind"] == "text" and not is_auto(c["content"], "claude-code") for c in chunks)
             origin = object_of(r.get("origin")).get("kind")
             human = False if r.get("isMeta") or only_tools else True if origin == "human" else False if origin else None if own else False
             d.add("tool" if only_tools else "user", chunks, ts, human, not (only_tools or r.get("isMeta") or not own or r.get("isSidechain")), turn_id=text_of(r.get("promptId")))

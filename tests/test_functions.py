@@ -138,9 +138,12 @@ def test_lineage(spark):
     c = spark.createDataFrame([("c", "p", i, k) for i, k in enumerate("abcdx", 1)], "child string, parent string, i long, key string")
     p = spark.createDataFrame([("p", j, k) for j, k in enumerate("zabcd", 1)], "parent string, j long, key string")
     assert [tuple(r) for r in L.shared_prefixes(c, p).collect()] == [("c", 4, 2)]
-    m = spark.createDataFrame([("c", i, k) for i, k in enumerate("axbab")], "child string, sequence long, key string")
-    r = spark.createDataFrame([("c", n, k) for n, k in enumerate("abqb")], "child string, n long, key string")
-    assert [x.replayed for x in L.map_replays(m, r).orderBy("sequence").collect()] == [True, False, True, False, True]
+    # Along the parent's a b q b: a copy is marked without moving on, and the first own request ends the walk.
+    cases = {"c": ("aaxbab", [True, True, False, False, False, False]), "d": ("aabqq", [True, True, True, True, True]), "e": ("qbb", [True, True, False]), "f": ("za", [False, False])}
+    m = spark.createDataFrame([(c, i, k) for c, (keys, _) in cases.items() for i, k in enumerate(keys)], "child string, sequence long, key string")
+    r = spark.createDataFrame([(c, n, k) for c in cases for n, k in enumerate("abqb")], "child string, n long, key string")
+    got = L.map_replays(m, r).orderBy("child", "sequence").collect()
+    assert {c: [x.replayed for x in got if x.child == c] for c in cases} == {c: want for c, (_, want) in cases.items()}
 
 
 def test_segments(spark):
