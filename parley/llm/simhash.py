@@ -262,29 +262,40 @@ class Links:
 
 
 class Near:
-    """The test of a pair of rows: every one of their fingerprints is within the radius."""
+    """The test of a pair of rows: every one of their fingerprints is within the radius, and a wide sketch within its own."""
 
-    def __init__(self, prints: list[np.ndarray], radius: int):
+    def __init__(self, prints: list[np.ndarray], radius: int, sketch: np.ndarray | None = None, sketch_radius: int = 0):
         self.prints, self.radius = [p.view(np.uint64) for p in prints], radius
+        self.sketch, self.sketch_radius = sketch, sketch_radius  # rows of 64-bit words
 
     def take(self, rows: np.ndarray) -> Near:
-        return Near([p[rows] for p in self.prints], self.radius)
+        return Near([p[rows] for p in self.prints], self.radius, None if self.sketch is None else self.sketch[rows], self.sketch_radius)
 
-    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(self.prints[0][x] ^ self.prints[0][y]) <= self.radius
+    def also(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The tests after the first fingerprint's, over pairs."""
+        ok = np.ones(len(x), bool)
         for p in self.prints[1:]:
             at = np.flatnonzero(ok)
             ok[at] = np.bitwise_count(p[x[at]] ^ p[y[at]]) <= self.radius
+        if self.sketch is not None:
+            at = np.flatnonzero(ok)
+            for k in range(0, len(at), BLOCK // 8):
+                some = at[k : k + BLOCK // 8]
+                ok[some] = np.bitwise_count(self.sketch[x[some]] ^ self.sketch[y[some]]).sum(axis=1, dtype=np.int64) <= self.sketch_radius
+        return ok
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(self.prints[0][x] ^ self.prints[0][y]) <= self.radius
+        at = np.flatnonzero(ok)
+        ok[at] = self.also(x[at], y[at])
         return ok
 
     def grid(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes (into x, into y) of the near pairs between two lists."""
         p = self.prints[0]
         r, c = np.nonzero(np.bitwise_count(p[x][:, None] ^ p[y][None, :]) <= self.radius)
-        for p in self.prints[1:]:
-            ok = np.bitwise_count(p[x[r]] ^ p[y[c]]) <= self.radius
-            r, c = r[ok], c[ok]
-        return r, c
+        ok = self.also(x[r], y[c])
+        return r[ok], c[ok]
 
 
 #: Rows up to which all buckets of a batch are handled together, and pairs that are tested at once.
