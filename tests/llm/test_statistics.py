@@ -81,6 +81,26 @@ def test_forest_fits_and_flat_arrays_traverse():
     assert (Q.predict(Q.fit(x[:0], y[:0]), x) == 0.5).all()
 
 
+def plain_walk(model, row):
+    """One document down every tree, node by node."""
+    total = model.base
+    for node in model.roots:
+        while model.feature[node] >= 0:
+            node = model.left[node] if row[model.feature[node]] <= model.threshold[node] else model.right[node]
+        total += model.value[node]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_equal_a_plain_tree_walk():
+    x, y = learnable()
+    model = Q.fit(x[:200], y[:200], trees=15)
+    got = Q.scorer(model).over_arrays
+    assert np.allclose(Q.predict(model, x), [plain_walk(model, row) for row in x], rtol=0, atol=1e-12)
+    texts = [r[1] for r in documents()]
+    rows = Q.ratios(count_batch(pa.array(texts, pa.string())))
+    assert np.allclose(np.array(got(pa.array(texts, pa.string()))), [plain_walk(model, row) for row in rows], rtol=0, atol=1e-12)
+
+
 def test_op1_and_op8_over_tables(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = []
@@ -97,6 +117,16 @@ def test_op1_and_op8_over_tables(spark, tmp_path):
     for r in one:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert not (r.base_failed and r.kept)
+    # The learned verdict, recomputed: the list is learned again, and read rule by rule over plain ratios.
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rules = R.learn_rules(*R.labelled_sample(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    names, want = list(RATIOS), Counter()
+    for r in [*rows, *documents()]:
+        x = Q.ratios(count_batch(pa.array([r[1]], pa.string())))[0]
+        fires = [all(x[names.index(c.feature)] > c.threshold if c.above else x[names.index(c.feature)] <= c.threshold for c in rule.conditions) for rule in rules]
+        n, _, _, _, repeated = plain(r[1])
+        want[r[0], not (n < 10 or 100 * repeated > 20 * n) and not any(fires)] += 1
+    assert rules and Counter((r.doc_id, r.kept) for r in one) == want
     eight = Q.op8_quality_classifier(spark, str(tmp_path)).collect()
     assert len(eight) == len(one) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in eight)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in eight if r.doc_id is not None)
