@@ -17,33 +17,55 @@ from parley.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list rejects."""
+    """Documents that neither the base rules nor the learned list rejects.
+
+    Null and empty texts have no words, so the base rules reject them.  Rows that repeat, and null ids, are judged by
+    their text.  Without labels of both classes the list is empty.  An empty table gives an empty one; other columns,
+    whatever their names, pass through.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return apply_rules(docs, learn_rules(*labelled_sample(docs, labels)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that of the smallest doc_id, a null one last.
+
+    Texts without a word are copies of each other; of rows that repeat whole one stays; of equal ids with different texts
+    the smaller hash of the text goes first.  An empty table gives an empty one; other columns pass through.
+    """
     ship(spark)
     return drop_near_copies(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none.  Rows that repeat are judged alike, and null ids like any other.  Items without a
+    word match nothing; without items, or without documents, nothing changes; other columns pass through.
+    """
     ship(spark)
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix wants them, shuffled."""
+    """Documents as often as the mix wants them, shuffled.
+
+    A null source is a source of its own.  Rows that repeat get the same count each, since it is hashed from the id; a
+    null id hashes as the word null.  Null texts are copied like others.  An empty table gives an empty one; other columns
+    pass through.
+    """
     ship(spark)
     mixed, copy, key = mix_sources(docs)
     return mixed.drop(copy, key)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, and per document what they hold: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of the mix, and per document what they hold: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts have the end id alone.  Copies and rows that repeat are written each; null ids come first.  An
+    empty table gives no rows; other columns are left out.
+    """
     ship(spark)
     path = work_path(spark, "pipeline-tokens")
     write_tokens(docs, path)
