@@ -25,6 +25,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import batched
@@ -181,6 +182,8 @@ def _sized(df: DataFrame, size) -> DataFrame:
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 #: DEFLATE level of the members: the text is read once, soon.
 LEVEL = 1
+#: Bytes that are fed to a decompressor at once.
+SLICE = 8 << 10
 
 
 def member(data: bytes) -> bytes:
@@ -194,7 +197,24 @@ def write_members(members: DataFrame, path: str) -> None:
 
 
 def unpacked(data: bytes) -> bytes:
-    return gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
+    """The bytes of a file of gzip members, or of one that isn't compressed.
+
+    Members are fed in short slices: what a decompressor leaves over is copied, so feeding it the whole rest of the file
+    would cost its square.
+    """
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        one = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        while not one.eof and at < len(data):
+            part = view[at : at + SLICE]
+            out.append(one.decompress(part))
+            at += len(part)
+        if not one.eof:
+            raise ValueError(f"the gzip member before byte {at} is cut short")
+        at -= len(one.unused_data)
+    return b"".join(out)
 
 
 def _packed(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:

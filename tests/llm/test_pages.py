@@ -78,6 +78,17 @@ def test_malformed_archives_are_named():
     assert A.warc_date("2024") == A.warc_date(None) == "1970-01-01T00:00:00Z"
 
 
+def test_members_are_unpacked_in_order():
+    import gzip
+    import random
+
+    parts = [random.Random(i).randbytes(n) for i, n in enumerate((0, 1, 5000, 8192, 100_000, 3))]
+    whole = b"".join(A.member(p) + A.member(b"") for p in parts)
+    assert A.unpacked(whole) == b"".join(parts) == gzip.decompress(whole) and A.unpacked(b"plain") == b"plain"
+    with pytest.raises(ValueError, match="cut short"):
+        A.unpacked(whole[:-5])
+
+
 ARTICLE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header class="site-header">Site</header><nav><ul><li><a href="/">Home</a></ul></nav><!-- ad --><div class="ad">Buy</div><div id="cookie-notice">We use</div>
 <main><article><header><h1>Head &amp; line</h1></header><p><b>Bold   text.<br><p>Second
