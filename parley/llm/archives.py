@@ -180,8 +180,8 @@ def _sized(df: DataFrame, size) -> DataFrame:
 
 #: An empty gzip member.  Spark's text files need a separator between values; this one is valid in a file of members.
 _EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
-#: DEFLATE level of the members: the text is read once, soon.
-LEVEL = 1
+#: DEFLATE level of the members.
+LEVEL = 6
 #: Bytes that are fed to a decompressor at once.
 SLICE = 8 << 10
 
