@@ -386,6 +386,9 @@ def cut_contexts(batches):
                 yield pa.record_batch([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array([text[x["lo"] : x["lo"] + x["n"] + LENGTH - 1] for x in w], pa.binary())], names)
 
 
+STRINGS = "digest binary, doc bigint, mark bigint, lo int, n int, mult int"
+
+
 def string_digests(batches):
     """CUT rows -> one row for each string, with its digest: for anchors with too many contexts for one merge."""
     names = ["digest", "doc", "mark", "lo", "n", "mult"]
@@ -402,7 +405,11 @@ def string_digests(batches):
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """rows(doc, mark, text) -> SPANS: the starts of all strings that stand twice or more."""
+    """rows(doc, mark, text) -> SPANS: the starts of all strings that stand twice or more.
+
+    Contexts are cut in the query that removes them, whatever their anchors hold: it shuffles the texts once, by document,
+    and every join of it reads that exchange.
+    """
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     found = rows.mapInArrow(find_contexts, OCCURRENCES)
@@ -410,17 +417,14 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     found = materialize(found.mapInArrow(classify, CLASSIFIED), "repeats")
     settled = found.filter("mult = 0").select("doc", "mark", "lo", "n")
     compare = found.filter("mult > 0")
-    wanted = compare.groupBy("doc", "mark").agg(F.collect_set(F.struct("anchor", "lo", "n", "mult")).alias("wanted"))
-    cut = rows.join(wanted, ["doc", "mark"])
-    cut = cut.select("doc", "mark", "text", "wanted").mapInArrow(cut_contexts, CUT)
-    large = compare.groupBy("anchor").count().filter(F.col("count") > MOST_CONTEXTS).select("anchor")
-    large = materialize(large, "large-anchors")
-    if large.isEmpty():
-        merged = cut.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(merge_contexts, SPANS)
-        return settled.unionByName(merged)
-    cut = materialize(cut, "contexts")
-    merged = cut.join(large, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(merge_contexts, SPANS)
-    each = materialize(cut.join(large, "anchor", "left_semi").mapInArrow(string_digests, "digest binary, doc bigint, mark bigint, lo int, n int, mult int"), "strings")
+    large = materialize(compare.groupBy("anchor").count().filter(F.col("count") > MOST_CONTEXTS).select("anchor"), "large-anchors")
+
+    def cut(part: DataFrame) -> DataFrame:
+        wanted = part.groupBy("doc", "mark").agg(F.collect_set(F.struct("anchor", "lo", "n", "mult")).alias("wanted"))
+        return rows.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "wanted").mapInArrow(cut_contexts, CUT)
+
+    merged = cut(compare.join(large, "anchor", "left_anti")).repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(merge_contexts, SPANS)
+    each = cut(compare.join(large, "anchor", "left_semi")).mapInArrow(string_digests, STRINGS)
     twice = each.groupBy("digest").agg(F.sum("mult").alias("k")).filter("k >= 2").select("digest")
     counted = each.filter("mult = 1").join(twice, "digest", "left_semi").select("doc", "mark", "lo", "n")
     return settled.unionByName(merged).unionByName(counted)
