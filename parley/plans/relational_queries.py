@@ -222,9 +222,9 @@ def dim_03(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_seen"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_seen"))
 
 
-@query("dup_01_cross_root", "select doc_id from documents d where source <> 'src0' and not exists (select 1 from documents n where n.source = 'src0' and md5(n.text) = md5(d.text))")
+@query("dup_01_cross_root", "select doc_id from documents d where source <> 'src0' and not exists (select 1 from documents n where n.source = 'src0' and sha256(n.text) = sha256(d.text))")
 def dup_01(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("h"))
+    x = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
     return x.filter("source <> 'src0'").join(x.filter("source = 'src0'").select("h"), "h", "left_anti").select("doc_id")
 
 

@@ -33,7 +33,12 @@ def json_lines(text: str) -> tuple[list[tuple[int, dict]], list[tuple[int, str,
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """(path, line, raw, record, error): one row for each line with text, split by Spark over all files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    lines = files.select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("line", "raw")).filter(F.trim("raw") != "")
+    return records_of(files.select("path", F.decode("content", "UTF-8").alias("text")))
+
+
+def records_of(files: DataFrame) -> DataFrame:
+    """files(path, text) -> (path, line, record, error, excerpt): lines count from 1, and those without text are passed over."""
+    lines = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw")).filter(F.trim("raw") != "")
     record = F.expr("try_parse_json(raw)")
     is_object = F.coalesce(F.expr("schema_of_variant(try_parse_json(raw))").startswith("OBJECT"), F.lit(False))
     error = F.when(record.isNull(), "invalid JSON").when(~is_object, "not a JSON object")

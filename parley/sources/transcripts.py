@@ -92,7 +92,7 @@ def blocks_of(content) -> list[dict]:
 
 def codex(records) -> Dialogue:
     """Rollout events; token counts repeated for rate-limit buckets count once, and a turn's wait runs from start to end."""
-    d, last_count, turn, users = Dialogue(), None, None, []
+    d, last_count, turn, users, answers = Dialogue(), None, None, [], set()
     started = None
     for _, r in records:
         ts, p, kind = time_ms(r.get("timestamp")), object_of(r.get("payload")), r.get("type")
@@ -108,7 +108,9 @@ def codex(records) -> Dialogue:
             if role == "user":
                 users.append(d.add("user", chunks, ts, None if own else False, bool(own), turn_id=turn and turn["id"]))
             else:
-                d.add(role, chunks, ts, False, role == "assistant", turn_id=turn and turn["id"])
+                row = d.add(role, chunks, ts, False, role == "assistant", turn_id=turn and turn["id"])
+                if role == "assistant":
+                    answers.add(row["text"])
         elif kind == "response_item" and what == "reasoning":
             d.add("assistant", [chunk("thought", x.get("text")) for x in map(object_of, list_of(p.get("summary")))], ts, False, False)
         elif kind == "response_item" and what in ("function_call", "custom_tool_call"):
@@ -123,8 +125,9 @@ def codex(records) -> Dialogue:
                 users.append(match)
             match["human_authored"], match["visible"] = True, True
         elif kind == "event_msg" and what == "agent_message":
-            if not any(m["role"] == "assistant" and m["text"] == p.get("message") for m in d.messages[-4:]):
-                d.add("assistant", [chunk("text", p.get("message"))], ts, False)
+            said = chunk("text", p.get("message"))
+            if said["content"] not in answers:  # the event may repeat an answer that stands anywhere before it
+                answers.add(d.add("assistant", [said], ts, False)["text"])
         elif kind == "event_msg" and what == "token_count":
             info = object_of(p.get("info"))
             key = json.dumps(info, sort_keys=True)

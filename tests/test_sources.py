@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from parley.sources.files import select_files
 from parley.sources.jsonl import json_lines, read_lines, time_ms
 from parley.sources.transcripts import PARSERS, parse_file, parse_transcripts
 from parley.streaming.ingest import sessions, sync
@@ -40,6 +41,19 @@ def test_codex_counts_once_and_confirms_users():
     assert {r["dialogue_id"] for r in rows} == {"S"}
 
 
+def test_codex_answers_repeated_much_later_are_one():
+    answer = {"timestamp": T0, "type": "response_item", "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "done"}]}}
+    call = {"timestamp": T0, "type": "response_item", "payload": {"type": "function_call", "call_id": "c", "name": "sh", "arguments": "{}"}}
+    said = lambda text: {"timestamp": T0, "type": "event_msg", "payload": {"type": "agent_message", "message": text}}
+    rows = parse_file("f", "codex", lines(answer, *[call] * 9, said("done"), said("new"), *[call] * 9, said("new"), said(["odd"])))
+    assert [r["text"] for r in rows if r.get("text")] == ["done", "new", '["odd"]']
+
+
+@pytest.mark.parametrize("harness, path, mine", [("codex", "a/B.JSONL", True), ("codex", "a/._b.jsonl", False), ("kimi-code", "s/wire.jsonl", True), ("kimi-code", "s/x.jsonl", False), ("claude-desktop", "skills-plugin/a", False), ("claude-desktop", "x/rpm/a", False), ("claude-desktop", "MANIFEST-1", True)])
+def test_files_of_a_format(spark, harness, path, mine):
+    assert select_files(spark.createDataFrame([(path,), (None,)], "path string"), harness).count() == int(mine)
+
+
 def test_streamed_lines_of_one_message_merge():
     part = lambda text: {"type": "assistant", "sessionId": "A", "timestamp": T0, "message": {"id": "api1", "model": "m", "content": [{"type": "text", "text": text}], "usage": {"input_tokens": 3, "cache_read_input_tokens": 5, "cache_creation_input_tokens": 2, "output_tokens": 1}}}
     user = {"type": "user", "sessionId": "A", "timestamp": T0, "message": {"content": "q"}}
