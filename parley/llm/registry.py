@@ -9,6 +9,7 @@ from parley.llm.quality_rules import op1_quality_rules
 from parley.llm.repeats import op5_suffix_array_dedup
 from parley.llm.sharding import op2_sharding
 from parley.llm.simhash import op7_simhash
+from parley.llm.spelling import op12_spelling_variants
 from parley.llm.tokens import op6_token_ids
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_quality_rules, op2_sharding, op3_mixing_sources, op4_benchmark_decontamination, op5_suffix_array_dedup,
         op6_token_ids, op7_simhash, op8_quality_classifier, op9_warc, op10_html_extraction,
+        op12_spelling_variants,
     )
 }
 
