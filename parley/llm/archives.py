@@ -95,7 +95,7 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if end < 0:
             raise ValueError(f"ARC header line at byte {at} has no end")
         line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        start = line.startswith("filedesc://")
+        start = not at and line.startswith("filedesc://")  # elsewhere it is a page's address
         parts = line.rsplit(" ", len(names) - 1)
         if start:  # the block names its own fields, so its length is the last field of either version
             parts = line.split(" ")

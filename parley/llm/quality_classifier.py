@@ -114,7 +114,12 @@ def scorer(model: Forest):
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    """A score for every document; the model has seen labels of the rows that aren't held out only."""
+    """A score for every document; the model has seen labels of the rows that aren't held out only.
+
+    One row a row: rows that repeat and equal texts score alike, null and empty texts like a text without words.  A null id
+    is never held out nor learned from.  A score of exactly 0.5 predicts 1.  Without documents there are no rows, without
+    labels every score is 0.5.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     bounded_batches(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))

@@ -40,7 +40,9 @@ class Rule:
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, keep: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(inputs, label) of at most ``limit`` labelled documents, in hash order of doc_id: bounded, and even over sources.
 
-    Repeated labels of a document: the smallest counts.  ``keep`` filters the labels by doc_id before sampling.
+    Repeated labels of a document: the smallest counts.  Of rows with one doc_id the text with the smallest hash counts, and
+    one row an id is collected, so ``limit`` bounds what the driver holds.  ``keep`` filters the labels by doc_id before
+    sampling.  Null ids and null labels are never learned from.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -50,9 +52,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # The sample has at most ``limit`` rows of 12 bytes, so it may be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("doc_id", "quality", text_stats("text").alias("s"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").join(F.broadcast(marks), "doc_id").select("doc_id", "quality", "h", text_stats("text").alias("s"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "s")).alias("one")).select("doc_id", "quality", "one.s")
     rows = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), *(ratio_column("s", k).alias(k) for k in RATIOS))
-    got = rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
+    got = rows.toPandas().sort_values("doc_id", kind="stable")
     return got[list(RATIOS)].to_numpy(np.float64).reshape(-1, len(RATIOS)), got["quality"].to_numpy(np.int64)
 
 
@@ -165,7 +168,12 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Every document with its statistics, the base verdict and the learned verdict."""
+    """Every document with its statistics, the base verdict and the learned verdict.
+
+    One row a row: rows that repeat, equal texts and null ids are judged by their text, each alike.  Null and empty texts
+    have no words and fail the base rules.  At a threshold a value counts as not above it.  Empty tables of documents give
+    no rows, and of labels an empty list.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rules = learn_rules(*labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     out = with_stats(docs.select("doc_id", "text"), "s").drop("text")

@@ -405,7 +405,10 @@ def components_of(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
-    """Every document with its fingerprint over 4-word shingles and its component at 4 or fewer differing bits."""
+    """Every document with its fingerprint over 4-word shingles and its component at 4 or fewer differing bits.
+
+    One row a row: rows that repeat and equal texts have one fingerprint and so one component.  An empty table gives none.
+    """
     bounded_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prints = docs.select("doc_id", shingle_simhash("text").alias("fp")).select("doc_id", F.col("fp").alias("node"), "fp")

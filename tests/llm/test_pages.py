@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 from collections import Counter
 
 import pytest
@@ -67,6 +68,14 @@ def test_arc_files_of_both_versions_convert(spark, tmp_path, version):
     assert {r.payload.decode() for r in back if r.record_type == "response"} == {h or "" for _, _, h in PAGES}
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_only_the_first_record_opens_a_version_block(version):
+    """A page's own address may look like one."""
+    block = A.http_block(7, b"filedesc://x 0.0.0.0 20240101000000 text/plain 3\n")
+    data = A.arc_version_block(version) + A.arc_record(version, "filedesc://a page", "20240101000000", block) + A.arc_record(version, "filedesc://b", "20240101000000", b"2 0 x\n")
+    assert [(r.url, r.block) for r in A.parse_arc(data)] == [("filedesc://a page", block), ("filedesc://b", b"2 0 x\n")]
+
+
 def test_malformed_archives_are_named():
     with pytest.raises(ValueError, match="declares"):
         list(A.parse_arc(b"http://a 0.0.0.0 20240101000000 text/html 99\nshort"))
@@ -142,17 +151,13 @@ def test_short_and_linked_lines_of_unmarked_pages_are_kept():
 
 
 def plain_main_text(lines):
-    """The rule told another way, over (text, inside, linked, heading): kept are the lines that have a surge at or before
-    them and weight at or after them."""
+    """The rule told another way, over (text, inside, linked, heading) of a page without boxes: kept are the lines that have a
+    surge at or before them and weight at or after them, and what a mark takes along."""
     marked = any(x[1] for x in lines)
 
     def weight(text, inside, linked, heading):
-        if not heading and 2 * linked > len(text):
-            return 0
-        free = len(text) if heading else len(text) - linked
-        if inside:
-            return max(free, 80)
-        return max(0, (free - 160) // 2) if marked else free
+        free = len(text) if heading else 0 if 2 * linked > len(text) else len(text) - linked
+        return 2 * free if inside else max(0, (free - 160) // 2) if marked else free
 
     lines = [x for x in lines if not marked or x[1] or weight(*x)]
     w = [weight(*x) for x in lines]
@@ -163,12 +168,14 @@ def plain_main_text(lines):
     else:
         return ""
     kept = [i for i in range(len(w)) if i >= starts[0] and any(w[i:])]
-    if marked:  # one or two linked lines at an end of the mark
+    if marked:
+        while kept[0] and w[kept[0] - 1] and lines[kept[0] - 1][1]:
+            kept.insert(0, kept[0] - 1)
         tail = [i for i in range(kept[-1] + 1, len(w))]
         lead = []
-        while starts[0] - len(lead) > 0 and not w[starts[0] - len(lead) - 1]:
-            lead.append(starts[0] - len(lead) - 1)
-        kept += (tail if len(tail) < 3 else []) + (lead if len(lead) < 3 else [])
+        while kept[0] - len(lead) > 0 and not w[kept[0] - len(lead) - 1]:
+            lead.append(kept[0] - len(lead) - 1)
+        kept += (tail if len(tail) < 3 or lines[kept[-1]][3] else []) + (lead if len(lead) < 3 else [])
     return "\n".join(lines[i][0] for i in sorted(kept))
 
 
@@ -187,13 +194,79 @@ def test_line_blocks_equal_a_plain_version():
             a, b = sorted((rng.randint(0, len(parts)), rng.randint(0, len(parts))))
             parts[a:b] = ["<article>", *parts[a:b], "</article>"]
         page = "".join(parts)
-        lines = E.lines_of(page)
-        assert E.main_text(page) == plain_main_text([tuple(x) for x in lines]), page
+        lines = E.Page(page).lines
+        assert E.main_text(page) == plain_main_text([tuple(x)[:4] for x in lines]), page
         inside = "\n".join(x.text for x in lines if x.inside)
         seen.add((mark, E.main_text(page) == (inside if mark else "\n".join(x.text for x in lines))))
     assert len(seen) == 4  # on marked and on unmarked pages the line blocks change the result
 
 
+TEXT = "Real text of the story goes on here. " * 6
+
+
+@pytest.mark.parametrize("name", ["related-posts", "related", "promo", "notice", "alert", "cookie-notice", "nav-links", "reader-comments", "comment-thread", "advertisement-block", "sponsored-content", "ad-300 sticky", "newsletterSignup", "share", "sidebar"])
+def test_boxes_that_furnish_a_page_go(name):
+    box = f"<div class='{name}'><p>What a box of this kind says, which is of some length.</p><p>And more of it.</p></div>"
+    for mark in ("article", "div"):
+        page = f"<{mark}><h1>Head</h1><p>{TEXT}</p>{box}<p>{TEXT}</p>{box}</{mark}>{box}"
+        assert E.main_text(page) == f"Head\n{TEXT.strip()}\n{TEXT.strip()}"
+
+
+@pytest.mark.parametrize("name", ["related-work", "entry-header", "post-content", "article-body", "commentary", "shared-memory", "menu-planning-for-beginners", "no-ads", "is-notice-free"])
+def test_boxes_with_other_names_stay(name):
+    assert E.main_text(f"<article><h1>Head</h1><div class='{name}'><p>Part of it.</p></div><p>{TEXT}</p></article>") == f"Head\nPart of it.\n{TEXT.strip()}"
+
+
+def test_references_stay_and_menus_go():
+    links = "".join(f"<li><a href={i}>Source number {i}</a></li>" for i in range(4))
+    want = "\n".join(f"Source number {i}" for i in range(4))
+    for list_ in (f"<ul>{links}</ul>", links.replace("li>", "p>")):
+        assert E.main_text(f"<article><ul>{links}</ul><h1>Head</h1><p>{TEXT}</p><h2>References</h2>{list_}</article>") == f"Head\n{TEXT.strip()}\nReferences\n{want}"
+
+
+def test_forms_go_unless_they_wrap_the_article():
+    field = "<label>Name</label><input name=a><label>Mail</label><input name=b>"
+    assert E.main_text(f"<div><h1>Head</h1><p>{TEXT}</p><div>{field}</div><form><p>Send it</p>{field}</form><p>{TEXT}</p></div>") == f"Head\n{TEXT.strip()}\n{TEXT.strip()}"
+    for mark in ("article", "div"):
+        assert E.main_text(f"<form id=all><{mark}><h1>Head</h1><p>{TEXT}</p></{mark}>{'<input name=q>'}</form>") == f"Head\n{TEXT.strip()}"
+
+
+def test_a_box_stays_where_its_windows_come_up_to_the_text():
+    """Names and kinds only take weight; the distribution decides."""
+    aside = f"<aside><p>{TEXT * 100}</p></aside>"
+    assert E.main_text(f"<h1>Head</h1><p>{TEXT}</p>{aside}") == f"Head\n{TEXT.strip()}\n{(TEXT * 100).strip()}"
+    assert E.main_text(f"<h1>Head</h1><p>{TEXT * 5}</p>{aside}") == f"Head\n{(TEXT * 5).strip()}"
+    page = f"<h1>Head</h1><p>{TEXT}</p><footer><p>{TEXT}</p></footer>"
+    assert E.main_text(page) == f"Head\n{TEXT.strip()}" and E.main_text(page, surge=0.5, share=1000) == f"Head\n{TEXT.strip()}\n{TEXT.strip()}"
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        E.main_text(page)
+        return time.perf_counter() - began
+
+    share = f"<div class='share'><p>Share this story with others now</p></div><p>{TEXT}</p>"
+    pages = [f"<div><h1>H</h1>{share * (3_000_000 // len(share))}</div>", "<div>" * 60_000 + "x" + "</span></b>" * 30_000, "<p><b>" * 60_000 + "x", "<div class='a' " * 40_000, "<" * 500_000]
+    assert max(map(took, pages)) < 8
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_the_distribution_decides_on_given_pages():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    other = [E.main_text(x, surge=0.1, share=1e9) for x in pages]
+    assert sum(a != E.main_text(x) for a, x in zip(other, pages, strict=True)) > len(pages) // 2
+
+
+def test_op10_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert E.op10_html_extraction(spark, str(tmp_path)).count() == 0
+
+
 def test_line_blocks_decide_on_marked_pages():
     links = "".join(f"<li><a href={i}>Other story {i}</a></li>" for i in range(4))
     text = "Real text of the story. " * 5

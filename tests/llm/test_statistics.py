@@ -136,3 +136,22 @@ def test_op1_and_op8_over_tables(spark, tmp_path):
 
 def test_ratio_names_are_counts():
     assert all(a in COUNTS and (b is None or b in COUNTS) for a, b in RATIOS.values())
+
+
+def test_one_text_of_an_id_is_collected_and_it_is_always_the_same(spark):
+    docs = [(i % 5, f"{'word ' * 12}{i}", "en", "s", 1, None, None, None) for i in range(60)] + [(None, "x", None, None, None, None, None, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] + [(None, 1)], "doc_id bigint, quality int")
+    one = R.labelled_sample(frame(spark, docs), labels)
+    two = R.labelled_sample(frame(spark, docs[::-1]).repartition(7), labels)
+    assert one[0].shape == (5, len(RATIOS)) and (one[0] == two[0]).all() and (one[1] == two[1]).all()
+    assert R.labelled_sample(frame(spark, docs), labels, 3)[0].shape == (3, len(RATIOS))
+
+
+def test_op1_and_op8_over_empty_tables(spark, tmp_path):
+    no_labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for name, rows in (("none", []), ("some", documents())):
+        frame(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        no_labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        one, eight = R.op1_quality_rules(spark, f"{tmp_path}/{name}").collect(), Q.op8_quality_classifier(spark, f"{tmp_path}/{name}").collect()
+        assert len(one) == len(eight) == len(rows)
+        assert all(r.kept == (not r.base_failed) for r in one) and {r.score for r in eight} <= {0.5}
