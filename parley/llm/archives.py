@@ -135,14 +135,14 @@ def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, v in pairs}, head, block[at + 4 :]
 
 
-def warc_record(kind: str, url: str, date: str, ident: str, payload_digest: str, head: bytes, payload: bytes, refers: str | None = None) -> bytes:
-    """One record with its trailing line ends.  A revisit keeps the HTTP head only."""
+def warc_record(kind: str, url: str, date: str, ident: str, payload_digest: str, head: bytes, payload: bytes, refers: str | None = None, size: int | None = None) -> bytes:
+    """One record with its trailing line ends.  A revisit keeps the HTTP head only, and ``size`` is that of its payload."""
     block = head if kind == "revisit" else head + payload
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {ident}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}"]
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers}"]
     lines += [
-        f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Payload-Length: {len(payload) if size is None else size}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     return (CRLF.join(lines) + CRLF + CRLF).encode() + block + b"\r\n\r\n"
@@ -217,11 +217,11 @@ def unpacked(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _packed(records: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-    """Members of the records, at most about 4 MB in a batch."""
+def _packed(members: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Members, at most about 4 MB in a batch."""
     held, n = [], 0
-    for r in records:
-        held.append(member(r))
+    for r in members:
+        held.append(r)
         n += len(held[-1])
         if n > 4 << 20:
             yield pa.record_batch([pa.array(held, pa.binary())], ["value"])
@@ -241,7 +241,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "202401
                 for key, url, html in zip(b.column("page_id").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
                     yield arc_record(version, url, date, http_block(key, html or b""))
 
-        yield from _packed(records())
+        yield from _packed(map(member, records()))
 
     rows = _sized(pages.select("page_id", "url", F.col("html").cast("binary").alias("html")), F.octet_length("html"))
     write_members(rows.mapInArrow(run, "value binary"), path)
@@ -285,17 +285,26 @@ def write_warc(records: DataFrame, path: str, min_payload: int = 0) -> None:
     first = index.filter(F.col("payload_bytes") >= min_payload).groupBy("payload_digest").agg(F.min(F.struct(key.alias("k"), "record_id")).alias("first"))
     later = index.join(first, "payload_digest").filter(key > F.col("first.k")).select("record_id", F.col("first.record_id").alias("refers"))
     n = _files(index, "payload_bytes")
-    rows = records.repartition(n, "record_id").join(later.repartition(n, "record_id"), "record_id", "left")
+    names = ("url", "date", "record_id", "payload_digest", "payload_bytes", "head")
+
+    def responses(batches):
+        """Each record as the member of a response: what is shuffled is compressed, and compressed once."""
+        for b in batches:
+            made = [member(warc_record("response", *x)) for x in zip(*(b.column(c).to_pylist() for c in ("url", "date", "record_id", "payload_digest", "head", "payload")), strict=True)]
+            yield pa.record_batch([*(b.column(c) for c in names), pa.array(made, pa.binary())], [*names, "value"])
+
+    kept = records.mapInArrow(responses, "url string, date string, record_id string, payload_digest string, payload_bytes bigint, head binary, value binary")
+    rows = kept.repartition(n, "record_id").join(later.repartition(n, "record_id"), "record_id", "left")
 
     def run(batches):
-        def record(r):
-            kind = "response" if r["refers"] is None else "revisit"
-            return warc_record(kind, r["url"], r["date"], r["record_id"], r["payload_digest"], r["head"], r["payload"], r["refers"])
+        def final(r):
+            if r["refers"] is None:
+                return r["value"]
+            return member(warc_record("revisit", r["url"], r["date"], r["record_id"], r["payload_digest"], r["head"], b"", r["refers"], r["payload_bytes"]))
 
-        yield from _packed(record(r) for b in batches for r in b.to_pylist())
+        yield from _packed(final(r) for b in batches for r in b.to_pylist())
 
-    rows = rows.select("url", "date", "record_id", "payload_digest", "head", "payload", "refers")
-    write_members(rows.mapInArrow(run, "value binary"), path)
+    write_members(rows.select(*names, "value", "refers").mapInArrow(run, "value binary"), path)
 
 
 READ = "page_id bigint, record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, refers_id string, payload binary"
