@@ -140,12 +140,6 @@ def agg_23(spark, d):
     return g.select("h", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("agg_24_corpus_fingerprint", "select lang, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) order by doc_id)) as fingerprint from documents group by lang")
-def agg_24(spark, d):
-    rows = table(spark, d, "documents").select("lang", "doc_id", F.concat("doc_id", F.lit(":"), F.sha2("text", 256)).alias("line"))
-    return rows.groupBy("lang").agg(S.ordered_text(["lang"], "doc_id", "line").alias("t")).select("lang", F.sha2("t", 256).alias("fingerprint"))
-
-
 @query("agg_32_sources_per_item", "select l_partkey as item, count(distinct l_orderkey) as sources from lineitem group by l_partkey")
 def agg_32(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.countDistinct("l_orderkey").alias("sources"))

@@ -5,30 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators.commits import CommitTable
 
-def sync(spark: SparkSession, source: str, schema: str, target: str, state: str, keys: list[str]) -> int:
-    """Processes the files that arrived since the last call, and appends rows whose keys are new; gives their number.
 
-    Idempotent: a batch that is run again finds its rows there.
+def sync(spark: SparkSession, source: str, schema: str, target: CommitTable, state: str, latest_by: list[str] | None = None) -> int:
+    """Merges the rows of the files that arrived since the last call into ``target``; gives the table's version.
+
+    Only buckets that a batch touches are read and written.  Idempotent: a batch is a commit named by its number, so one that
+    is run again after a failure changes nothing, and a call without new files makes no version.
     """
-    added = []
-
-    def merge(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(keys)
-        try:
-            known = spark.read.parquet(target).select(*keys)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = None
-        new = batch if known is None else batch.join(known, keys, "left_anti")
-        before = 0 if known is None else known.count()
-        new.write.mode("append").parquet(target)
-        added.append(spark.read.schema(batch.schema).parquet(target).count() - before)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        target.merge(batch, f"batch-{number}", latest_by)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return sum(added)
+    return (target.manifest() or {"version": 0})["version"]
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str = "3 minutes", late: str = "10 minutes") -> DataFrame:

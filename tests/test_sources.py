@@ -7,7 +7,7 @@ import pytest
 from parley.sources.files import select_files
 from parley.sources.jsonl import json_lines, read_lines, time_ms
 from parley.sources.transcripts import PARSERS, parse_file, parse_transcripts
-from parley.streaming.ingest import sessions, sync
+from parley.streaming.ingest import sessions
 
 T0 = "2026-01-01T00:00:00Z"
 
@@ -103,16 +103,6 @@ def test_lines_are_read_with_their_errors(spark, tmp_path):
     assert time_ms("2026-01-01T00:00:00Z") == 1767225600000 and time_ms("x") is None and time_ms(True) is None
 
 
-def test_sync_is_incremental_and_idempotent(spark, tmp_path):
-    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
-    spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, v string").write.parquet(src)
-    assert sync(spark, src, "id long, v string", out, state, ["id"]) == 2
-    assert sync(spark, src, "id long, v string", out, state, ["id"]) == 0
-    spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string").write.mode("append").parquet(src)
-    assert sync(spark, src, "id long, v string", out, state, ["id"]) == 1
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
-
-
 def test_sessions_part_at_gaps(spark):
     rows = spark.createDataFrame([("u", t) for t in ("2026-01-01 00:00:00", "2026-01-01 00:02:00", "2026-01-01 00:06:00")], "k string, t string").selectExpr("k", "cast(t as timestamp) as ts")
     assert sorted(r.n for r in sessions(rows, "k", "ts").collect()) == [1, 2]
