@@ -53,3 +53,9 @@ def lower_quantile(sorted_values: Column, q: float) -> Column:
     """The element at floor((n - 1) q) of a sorted array."""
     n = F.size(sorted_values)
     return F.when(n > 0, F.element_at(sorted_values, (F.floor((n - 1) * F.lit(q)) + 1).cast("int")))
+
+
+def without_replay(total: Column, replayed: Column) -> Column:
+    """What is left of a figure when a replayed part of it is taken off; NULL where nothing is, or nothing was known."""
+    rest = total - F.least(total, F.coalesce(replayed, F.lit(0)))
+    return F.when(rest > 0, rest)

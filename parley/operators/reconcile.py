@@ -92,3 +92,27 @@ def token_batches(items: DataFrame, key: str, order: str, tokens: str, most_item
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", batch bigint"
     return items.repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, schema)
+
+
+def stuck_leases(jobs: DataFrame, now: Column) -> DataFrame:
+    """jobs(status, locked_until) that are leased past their time, with ``overdue_ms`` at ``now``; a lease without an end is stuck at once."""
+    over = F.col("locked_until").isNull() | (F.col("locked_until") < now)
+    late = F.unix_millis(now.cast("timestamp")) - F.unix_millis(F.col("locked_until").cast("timestamp"))
+    return jobs.filter((F.col("status") == "leased") & over).withColumn("overdue_ms", late)
+
+
+def first_copies(files: DataFrame, order: list[str]) -> DataFrame:
+    """files(root, path, device, inode, sha256, ...) without those that another root holds already.
+
+    A file is a copy of the first, by ``order``, that has its device and inode, or of the first with its SHA-256; the two are
+    asked in turn, so a file that is dropped for its place on disk doesn't stand for its content.  Unknown identities and
+    digests are nobody's.  Only the first of each is looked up, so a file with any number of copies costs one row a task.
+    """
+    rows, place = files, F.struct(*order)
+    for keys in (["device", "inode"], ["sha256"]):
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        first = rows.filter(known).groupBy(*keys).agg(F.min(F.struct(place.alias("place"), F.col("root").alias("root"))).alias("_first"))
+        rows = rows.join(first, keys, "left").filter(~known | (F.col("_first.root") == F.col("root"))).drop("_first").select(*files.columns)
+    return rows

@@ -19,17 +19,25 @@ K1, B, RRF_K, PER_DIALOGUE = 1.2, 0.75, 60, 3
 MOST_TERMS = 20_000
 
 
+def tokens(docs: DataFrame, doc_id: str, text: str, terms: list[str] | None = None) -> DataFrame:
+    """(doc_id, dl, w): every document with its number of tokens and its tokens; with ``terms``, these alone."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), analyze(F.col(text)).alias("w")).select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
+    if terms is not None and len(terms) <= MOST_TERMS:
+        rows = rows.withColumn("w", wanted_tokens(terms)(F.col("w")))
+    return rows
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, dl) of documents' tokens."""
+    return rows.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+
 def postings(docs: DataFrame, doc_id: str, text: str, terms: list[str] | None = None) -> DataFrame:
     """(term, doc_id, tf, dl): the index that queries share; write it once, bucketed by term, for repeated use.
 
     With ``terms``, the postings of these alone: other tokens leave the array before it is exploded and shuffled.
     """
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), analyze(F.col(text)).alias("w"))
-    tokens = tokens.select("doc_id", F.size("w").cast("bigint").alias("dl"), "w")
-    if terms is not None and len(terms) <= MOST_TERMS:
-        tokens = tokens.withColumn("w", wanted_tokens(terms)(F.col("w")))
-    rows = tokens.select("doc_id", "dl", F.explode("w").alias("term"))
-    return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return counted(tokens(docs, doc_id, text, terms))
 
 
 def wanted_tokens(terms: list[str]):
@@ -81,9 +89,11 @@ def cosine(a: Column, b: Column) -> Column:
 QUERY_BLOCK = 4096
 
 
-def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, unit: bool = True) -> DataFrame:
     """vectors(vec_id, embedding) and a stated query set (query_id, query) -> the k nearest each, exact.
 
+    By the cosine, or without ``unit`` by the inner product.
+
     Queries go to the executors in blocks of bounded size, one scan of the vectors each; every block's k best are taken
     before the next.
     """
@@ -93,7 +103,7 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = Q
     for i in range(n):
         part = q if n == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
         hits = v.join(F.broadcast(part))  # about ``block`` queries
-        hits = hits.select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("embedding"), F.col("query")) / (F.col("_vn") * F.col("_qn")), 6).alias("score"))
+        hits = hits.select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("embedding"), F.col("query")) / (F.col("_vn") * F.col("_qn") if unit else F.lit(1.0)), 6).alias("score"))
         best = top_k(hits, k, ["query_id"])
         out = best if out is None else out.unionByName(best)
     return out

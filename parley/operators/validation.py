@@ -43,3 +43,15 @@ def migration_reconciliation(rows: DataFrame) -> DataFrame:
 
 def recovery_source(raw: Column, payload: Column, normalized: Column) -> Column:
     return F.when(raw, "raw").when(payload, "payload").when(normalized, "normalized").otherwise("quarantine")
+
+
+def raw_rules(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+    """(rule, n) of manifest(id, sha256, size_bytes) against stored(id, sha256, size_bytes): one join of both."""
+    both = manifest.alias("m").join(stored.alias("s"), F.col("m.id") == F.col("s.id"), "full")
+    has_m, has_s = F.col("m.id").isNotNull(), F.col("s.id").isNotNull()
+    rules = {
+        "raw_missing": has_m & ~has_s, "raw_orphan": has_s & ~has_m, "raw_hash_mismatch": has_m & has_s & (F.col("m.sha256") != F.col("s.sha256")),
+        "raw_size_mismatch": has_m & has_s & (F.col("m.size_bytes") != F.col("s.size_bytes")), "raw_hash_unknown": has_m & F.col("m.sha256").isNull(),
+    }
+    out = both.agg(*(F.count(F.when(test, 1)).alias(rule) for rule, test in rules.items()))
+    return out.selectExpr(f"stack({len(rules)}, " + ", ".join(f"'{r}', {r}" for r in rules) + ") as (rule, n)")

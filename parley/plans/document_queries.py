@@ -64,10 +64,3 @@ def eval_06(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
     docs = table(spark, d, "documents").join(table(spark, d, "labels").filter("quality = 0").select("doc_id"), "doc_id")
     return docs.join(F.broadcast(items), F.contains("text", "item")).select("item_id", "doc_id")
-
-
-@query("val_03_raw_rules", "select 'empty_page' as rule, count(*) as n from pages where html = '' union all select 'duplicate_payload', count(*) from (select sha256(html) from pages group by 1 having count(*) > 1) union all select 'page_without_host', count(*) from pages where url not like '%://%'")
-def val_03(spark, d):
-    p = table(spark, d, "pages")
-    dup = V.duplicates("duplicate_payload", p.select(F.sha2("html", 256).alias("h")), "h")
-    return V.violations("empty_page", p, F.col("html") == "").unionByName(dup).unionByName(V.violations("page_without_host", p, ~F.col("url").like("%://%")))

@@ -192,20 +192,6 @@ def str_04(spark, d):
     return C.lease(jobs, _NOW, 100).select("id", "attempts", "locked_at")
 
 
-@query("lin_02_replay_walk", """with recursive o as (select user_id, event_type as key, row_number() over (partition by user_id order by ts, event_id) as i from events), x as (select user_id - 1 as child, i as j, key from o where i <= 12),
- n as (select child, max(j) as n from x group by child), m as (select o.user_id as child, o.i, o.key, coalesce(n.n, 0) as n from o left join n on n.child = o.user_id),
- nxt as (select m.child, m.i, p.pos, min(x.j) as j from m, range(0, 13) p(pos), x where x.child = m.child and x.key = m.key and x.j > p.pos group by all),
- w as (select child, 0::bigint as i, 0::bigint as pos, null::varchar as last, false as replayed, null::varchar as key from (select distinct child from m)
- union all select m.child, m.i, case when w.pos >= m.n or m.key = w.last then w.pos when nxt.j is not null then nxt.j else m.n end, case when w.pos >= m.n or m.key = w.last or nxt.j is null then w.last else m.key end,
- w.pos < m.n and (coalesce(m.key = w.last, false) or nxt.j is not null), m.key from w join m on m.child = w.child and m.i = w.i + 1 left join nxt on nxt.child = m.child and nxt.i = m.i and nxt.pos = w.pos)
- select child, i as sequence, key, replayed from w where i > 0""")
-def lin_02(spark, d):
-    """Each user's events walked along the first twelve of the next user's."""
-    o = events(spark, d).withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint"))
-    expected = o.filter("i <= 12").select((F.col("user_id") - 1).alias("child"), F.col("i").alias("n"), F.col("event_type").alias("key"))
-    return L.map_replays(o.select(F.col("user_id").alias("child"), F.col("i").alias("sequence"), F.col("event_type").alias("key")), expected)
-
-
 @query("rpt_05_session_time", f"""with {MSG}, s as (select dialogue_id, harness, max(model_key) as model, sum(coalesce(duration_ms, 0)) as active_ms from msg group by dialogue_id, harness), g as (select distinct harness, model_key as model from msg where model_key is not null)
  select g.harness, g.model, cast(coalesce(sum(s.active_ms), 0) as bigint) as active_ms, count(s.dialogue_id) as sessions from g left join s on s.harness = g.harness and s.model = g.model group by all""")
 def rpt_05(spark, d):
@@ -304,16 +290,3 @@ def clu_02(spark, d):
 def clu_03(spark, d):
     """Clusters of all vectors; a test holds them against separated groups."""
     return P.spherical_kmeans(table(spark, d, "embeddings").select("vec_id", "embedding"), 8).select("vec_id", F.col("cluster").cast("bigint").alias("cluster"))
-
-
-@query("clu_08_principal_axes")
-def clu_08(spark, d):
-    """Two principal axes of all vectors; a test holds their variance against a decomposition."""
-    p = P.principal_axes(table(spark, d, "embeddings"), 2)
-    return p.select("vec_id", F.col("axes")[0].alias("x"), F.col("axes")[1].alias("y"))
-
-
-@query("clu_12_projection_error", "select round(corr(embedding[1]::double, embedding[2]::double), 6) as pearson, round(avg(abs(embedding[1]::double - embedding[2]::double)), 6) as mae from embeddings")
-def clu_12(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    return P.projection_error(v, "a", "b").select(F.round("pearson", 6).alias("pearson"), F.round("mae", 6).alias("mae"))

@@ -71,17 +71,6 @@ def join_09(spark, d):
     return X.pair_calls(l, ["rev", "call"], F.col("f") == "A", F.col("f") == "R")
 
 
-@query("join_10_reconcile", """with p as (select doc_id as page_id, sha256(lang) as h from documents), s as (select page_id, sha256(substr(split_part(url, 'example.', 2), instr(split_part(url, 'example.', 2), '/') + 1, 2)) as h from pages)
- select coalesce(p.page_id, s.page_id) as page_id, case when p.page_id is null then 'new' when s.page_id is null then 'missing' when p.h <> s.h then 'changed' else 'unchanged' end as action, case when s.page_id is not null then 'active' else 'missing' end as presence from p full join s on p.page_id = s.page_id""")
-def join_10(spark, d):
-    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
-    site = F.substring_index("url", "example.", -1)
-    mark = lambda html: F.struct(F.sha2(html, 256).alias("sha256"), F.lit(0).alias("size_bytes"), F.lit(0).alias("mtime_ms"), F.lit(None).cast("string").alias("head_hash"))
-    before = docs.select(F.col("doc_id").alias("page_id"), F.lit("active").alias("presence"), F.lit(0).alias("missed"), mark(F.col("lang")).alias("f"))
-    now = pages.select("page_id", mark(F.substr(site, F.locate("/", site) + 1, F.lit(2))).alias("f"))
-    return R.reconcile(before, now, "page_id", True).select("page_id", "action", "presence")
-
-
 @query("join_11_renames", """with x as (select cast(doc_id as varchar) as path, md5(text) as h, source from documents), m as (select * from x where source = 'src0'), n as (select * from x where source = 'src1'), a as (select * from x where source not in ('src0', 'src1')),
  m1 as (select h, min(path) as old_path from m group by h having count(*) = 1), n1 as (select h, min(path) as new_path from n group by h having count(*) = 1) select h as sha256, old_path, new_path from m1 join n1 using (h) where h not in (select h from a)""")
 def join_11(spark, d):
@@ -186,11 +175,6 @@ def set_03(spark, d):
     return table(spark, d, "pages").select("page_id").join(table(spark, d, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_anti")
 
 
-@query("doc_01_stuck_leases", "select o_orderkey from orders where o_orderstatus = 'P' and o_orderdate < timestamp '1997-01-01'")
-def doc_01(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'P' and o_orderdate < timestamp_ntz '1997-01-01 00:00:00'").select("o_orderkey")
-
-
 @query("doc_02_primary_model_drift", f"""with {MSG}, m as (select dialogue_id, model_key, count(*) as n, max(sequence) as s from msg where model_key is not null group by all), r as (select *, row_number() over (partition by dialogue_id order by n desc, s desc, model_key) as r from m),
  f as (select dialogue_id, model_key as stored from (select *, row_number() over (partition by dialogue_id order by sequence, model_key) as k from msg where model_key is not null) where k = 1) select dialogue_id, stored, model_key as computed from r join f using (dialogue_id) where r = 1 and stored <> model_key""")
 def doc_02(spark, d):
@@ -200,11 +184,6 @@ def doc_02(spark, d):
     return top.join(stored, "dialogue_id").filter("stored <> model_key").select("dialogue_id", "stored", F.col("model_key").alias("computed"))
 
 
-@query("mig_02_recovery_source", "select page_id, case when page_id % 4 = 0 then 'raw' when length(html) > 3000 then 'payload' when url like '%en%' then 'normalized' else 'quarantine' end as recovery from pages")
-def mig_02(spark, d):
-    return table(spark, d, "pages").select("page_id", V.recovery_source(F.col("page_id") % 4 == 0, F.length("html") > 3000, F.col("url").like("%en%")).alias("recovery"))
-
-
 @query("dim_01_model_aliases", f"with {MSG} select split_part(model_key, '/', 1) as vendor, count(*) as n, string_agg(distinct model_key, ',' order by model_key) as aliases, strftime(min(ts), '%Y-%m-%d') as first_seen, strftime(max(ts), '%Y-%m-%d') as last_seen from msg where model_key is not null group by vendor")
 def dim_01(spark, d):
     g = messages(spark, d).filter("model_key is not null").groupBy(F.substring_index("model_key", "/", 1).alias("vendor"))
@@ -216,17 +195,6 @@ def dim_03(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first_seen"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_seen"))
 
 
-@query("dup_01_cross_root", "select doc_id from documents d where source <> 'src0' and not exists (select 1 from documents n where n.source = 'src0' and sha256(n.text) = sha256(d.text))")
-def dup_01(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    return x.filter("source <> 'src0'").join(x.filter("source = 'src0'").select("h"), "h", "left_anti").select("doc_id")
-
-
-@query("raw_01_manifest", "select page_id, url, sha256(html) as sha, strlen(html) as n_bytes from pages")
-def raw_01(spark, d):
-    return table(spark, d, "pages").select("page_id", "url", F.sha2("html", 256).alias("sha"), F.octet_length("html").cast("bigint").alias("n_bytes"))
-
-
 @query("ben_01_latency_by_mode", "select o_orderpriority as mode, percentile_disc(0.5) within group (order by o_totalprice) as p50, percentile_disc(0.95) within group (order by o_totalprice) as p95, count(*) as n from orders group by mode")
 def ben_01(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("mode")).agg(N.nearest_rank("o_totalprice", 0.5).alias("p50"), N.nearest_rank("o_totalprice", 0.95).alias("p95"), F.count(F.lit(1)).alias("n"))

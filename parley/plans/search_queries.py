@@ -8,6 +8,7 @@ from parley.functions import texts as T
 from parley.operators import clusters as C
 from parley.operators import retrieval as R
 from parley.operators import sequences as S
+from parley.operators.storage import settled
 from parley.plans.tables import query, table
 
 _TOK = "list_transform(regexp_extract_all({t}, '\\p{{Lu}}?\\p{{Ll}}+|\\p{{Lu}}+|\\p{{Lo}}+|\\p{{N}}+'), lambda x: lower(x))"
@@ -23,12 +24,12 @@ def _queries(spark, d):
 
 
 def _bm25(spark, d, match_all):
-    """Two passes over the texts: one for their number and mean length, one for the postings of the queries' terms."""
+    """One pass over the texts: lengths and the tokens that the queries ask for are kept, and read for the rest."""
     docs, queries = table(spark, d, "documents"), _queries(spark, d)
     wanted = [r[0] for r in queries.select(F.explode(T.analyze(F.col("text")))).distinct().limit(R.MOST_TERMS + 1).collect()]
-    index = R.postings(docs, "doc_id", "text", wanted)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.analyze(F.col("text")))).alias("avgdl")).first()
-    return R.bm25(index, stats["n"], stats["avgdl"] or 1.0, queries, match_all)
+    rows = settled(R.tokens(docs, "doc_id", "text", wanted), "tokens")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    return R.bm25(R.counted(rows), stats["n"], stats["avgdl"] or 1.0, queries, match_all)
 
 
 @query("ret_01_analyzer", f"select doc_id, len(w) as n_tokens, md5(array_to_string(w, ' ')) as digest from (select doc_id, {_TOK.format(t='text')} as w from documents)")
@@ -69,9 +70,7 @@ _EUC = "er as (select q.vec_id as query_id, v.vec_id as doc_id, row_number() ove
 
 def _inner(spark, d, k):
     v = table(spark, d, "embeddings")
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    hits = v.join(F.broadcast(q)).select("query_id", F.col("vec_id").alias("doc_id"), F.round(R.dot(F.col("embedding"), F.col("query")), 6).alias("score"))
-    return R.top_k(hits, k, ["query_id"])
+    return R.cosine_search(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k, unit=False)
 
 
 _FUSE = f"with {_COS}, {_EUC}, u as (select query_id, doc_id, rank from cr where rank <= 20 union all select query_id, doc_id, rank from er where rank <= 20), f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score from u group by all)"
@@ -125,7 +124,7 @@ def eval_01(spark, d):
     """Queries are ids divisible by 100; all rows of a query's label are relevant, in two grades."""
     v = table(spark, d, "embeddings").select("vec_id", "label")
     q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    judged = v.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 == 0, 2).otherwise(1).alias("grade"))
+    judged = v.join(q, "label").select("query_id", F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 == 0, 2).otherwise(1).alias("grade"))
     return R.ranking_metrics(_cosine(spark, d, 50), judged)
 
 
@@ -202,18 +201,6 @@ def clu_09(spark, d):
     return g.groupBy("copies").agg(F.count(F.lit(1)).alias("groups"))
 
 
-@query("clu_10_cluster_profiles", "select cast(label as bigint) as label, count(*) as n, round(avg(embedding[1]::double), 6) as mean1, round(min(embedding[1]::double), 6) as min1, round(max(embedding[1]::double), 6) as max1 from embeddings group by label")
-def clu_10(spark, d):
-    x = F.col("embedding")[0].cast("double")
-    return table(spark, d, "embeddings").groupBy(F.col("label").cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean1"), F.round(F.min(x), 6).alias("min1"), F.round(F.max(x), 6).alias("max1"))
-
-
-@query("clu_11_linear_percentiles", "select cast(label as bigint) as label, round(quantile_cont(embedding[1]::double, 0.1), 6) as p10, round(quantile_cont(embedding[1]::double, 0.5), 6) as p50, round(quantile_cont(embedding[1]::double, 0.9), 6) as p90 from embeddings group by label")
-def clu_11(spark, d):
-    x = F.col("embedding")[0].cast("double")
-    return table(spark, d, "embeddings").groupBy(F.col("label").cast("bigint").alias("label")).agg(*(F.round(F.percentile(x, p), 6).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)))
-
-
 _STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
 
 
@@ -279,4 +266,3 @@ def top_06(spark, d):
 @query("top_07_stratified_sample", "select source, lang, doc_id from (select *, row_number() over (partition by source, lang order by doc_id) as r from documents) where r <= 5")
 def top_07(spark, d):
     return S.first_by(table(spark, d, "documents"), ["source", "lang"], ["doc_id"], 5).select("source", "lang", "doc_id")
-

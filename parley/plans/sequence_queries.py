@@ -152,13 +152,6 @@ def scl_10(spark, d):
     return table(spark, d, "events").select("event_id", N.effective_active_ms(F.col("value") / 2, (F.col("event_id") % 40).cast("double"), wait).alias("active_ms"))
 
 
-@query("scl_12_without_replay", f"with {EVT} select event_id, case when value - least(value, k) > 0 then round(value - least(value, k), 6) end as rest from evt")
-def scl_12(spark, d):
-    e = events(spark, d)
-    rest = F.col("value") - F.least(F.col("value"), F.col("k"))
-    return e.select("event_id", F.when(rest > 0, F.round(rest, 6)).alias("rest"))
-
-
 @query("scl_21_backoff", f"with {EVT} select k, cast(least(10000 * pow(2, k - 1), 3600000) as bigint) as wait_ms, count(*) as n from evt group by all")
 def scl_21(spark, d):
     return events(spark, d).groupBy("k", N.backoff_ms(F.col("k")).alias("wait_ms")).agg(F.count(F.lit(1)).alias("n"))

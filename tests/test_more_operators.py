@@ -3,6 +3,8 @@
 import hashlib
 import hmac
 import json
+
+import numpy as np
 from datetime import datetime
 
 import pytest
@@ -109,7 +111,13 @@ def test_projections(spark):
         groups.setdefault(r.cluster, set()).add(r.vec_id % 2)
     assert sorted(groups.values(), key=str) == [{0}, {1}]
     assert all(len(r.p) == 5 for r in v.select(P.random_projection(F.col("embedding"), 3, 5).alias("p")).collect())
-    assert len(P.principal_axes(v, 2).first().axes) == 2
+    got, axes = P.principal_axes(v, 2)
+    x = np.array([r.embedding for r in v.orderBy("vec_id").collect()], float)
+    x -= x.mean(axis=0)
+    want = np.linalg.svd(x)[2][:2].T
+    assert np.allclose(np.linalg.svd(want.T @ axes)[1], 1, atol=1e-6)  # the same plane
+    mine = np.array([r.axes for r in got.orderBy("vec_id").collect()])
+    assert np.allclose(mine.var(axis=0), np.linalg.svd(x)[1][:2] ** 2 / len(x), rtol=1e-6)
     assert P.projection_error(spark.createDataFrame([(1.0, 1.0), (2.0, 2.5)], "a double, b double"), "a", "b").first().mae == 0.25
     mock = spark.range(1).select(P.mock_vector(F.lit("x"), 10).alias("a"), P.mock_vector(F.lit("x"), 10).alias("b")).first()
     assert mock.a == mock.b and len(mock.a) == 10 and all(-1 <= x < 1 for x in mock.a)
