@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import commits as C
 from parley.operators import digests as D
+from parley.operators.percentiles import nearest_ranks
 from parley.operators.storage import Files, numbered
 
 
@@ -175,3 +176,17 @@ def test_projection_replaces_only_given_revisions(spark, tmp_path):
     C.replace_projection(spark, f"file://{tmp_path}/q", one, one.select("revision"), parts=8)
     C.replace_projection(spark, f"file://{tmp_path}/q", one.limit(0), one.select("revision"), parts=8)
     assert not files_under(f"{tmp_path}/q")
+
+
+def test_percentiles_equal_sorting(spark):
+    import math
+    import random
+
+    rng, rows = random.Random(3), []
+    for g in ("a", "b", None, "c"):
+        rows += [(g, None if rng.random() < 0.1 else float(rng.choice([1, 1, 1, 2, 5, rng.random()]))) for _ in range({"c": 1}.get(g, 300))]
+    rows.append(("none", None))
+    got = {r.g: (r.low, r.mid, r.high) for r in nearest_ranks(spark.createDataFrame(rows, "g string, x double").repartition(5), ["g"], "x", {"low": 0.0, "mid": 0.5, "high": 0.95}).collect()}
+    for g in {r[0] for r in rows}:
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got.get(g) == (tuple(v[max(math.ceil(p * len(v) - 1e-9), 1) - 1] for p in (0.0, 0.5, 0.95)) if v else None)
