@@ -9,8 +9,9 @@ by counting the shingles of both whole texts, so no pair under 0.8 links by itse
 Equal sets of shingles are one node whatever their number.  A group first sends candidates that just connect it.  Where
 their verified links don't join it again, its sets get sketches that part most pairs under 0.8 in the buckets, it is cut
 into blocks of some ``BLOCK_SHINGLES`` shingles, and the pairs of blocks that candidates of different parts lie in are
-counted whole, as matrix products.  So no candidate goes unjudged,
-and no group sends a row for each of its pairs.
+counted whole, as matrix products.  So no group sends a row for each of its pairs.  In such an open group a candidate goes
+unjudged if its sketches differ by more than ``SKETCH_RADIUS`` bits, which happens to some 0.05 % of pairs at 0.8 and to fewer
+above; all other candidates are judged on their whole texts.
 """
 
 from __future__ import annotations
