@@ -75,7 +75,7 @@ class CommitTable:
         if changed is not None:
             bucket = self.bucket()
             # One task a bucket and file; a bucket that lost all rows has no folder.
-            changed.withColumn("bucket", bucket).repartition(max(len(touched), 1), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+            changed.withColumn("bucket", bucket).repartition(max(len(touched), 1), "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{name}")
             written = {int(n.split("=")[1]) for n in self.files.names(f"data/{name}") if n.startswith("bucket=")}
             for b in touched:
                 current.pop(str(b), None)
@@ -103,8 +103,7 @@ class CommitTable:
         order = [*(latest_by or []), *(c for c in rest if c not in (latest_by or []))]
         pick = F.max(F.struct(*(F.col(c) for c in order))) if rest else F.lit(None)
         one = batch.groupBy(*self.keys).agg(pick.alias("_row")).select(*(F.col(c) if c in self.keys else F.col(f"_row.{c}") for c in batch.columns))
-        one = settled(one, "batch")
-        touched = self.touched(one)
+        touched = self.touched(one)  # reads keys alone
         if base:
             old = self.read(only=touched)
             one = old.alias("o").join(one.select(*self.keys).alias("n"), same_keys("o", "n", self.keys), "left_anti").unionByName(one)
@@ -176,11 +175,9 @@ def write_revisions(table: CommitTable, batch: DataFrame, token: str) -> int:
     new = new.groupBy("dialogue").agg(F.max(F.struct("content_hash", "revision", "parser", "body")).alias("r")).select("dialogue", "r.*")
     new = new.withColumn("is_current", F.lit(True)).select(*REVISION_COLUMNS)
     if table.manifest():
-        new = settled(new, "given")
-        now = table.read(only=table.touched(new))
+        now = table.read(only=table.touched(batch.select("dialogue")))
         current = now.filter("is_current").select("dialogue", "revision")
         moved = new.alias("n").join(current.alias("c"), same_keys("n", "c", ["dialogue", "revision"]), "left_anti")
-        moved = settled(moved, "moved")
         past = now.alias("o").filter("is_current").join(moved.select("dialogue").alias("m"), same_keys("o", "m", ["dialogue"]), "left_semi").withColumn("is_current", F.lit(False))
         # A body that returns is taken from the batch, which has the same revision id; the rest of the row is equal.
         new = moved.unionByName(past.select(*REVISION_COLUMNS))

@@ -71,6 +71,20 @@ def roots(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
     return nodes.groupBy(*by).agg(F.max_by(F.struct("n_rows", "digest"), "level").alias("r")).select(*by, "r.*")
 
 
+def id_roots(rows: DataFrame, by: list[str], depth: int) -> DataFrame:
+    """rows(*by, id, digest) -> (*by, n_rows, digest) of a tree over the ids' hashes: leaves are the runs of ids whose hash
+    starts alike in ``depth`` hex digits, in the order of hash and id, and sixteen nodes make one above.
+
+    The order is that of the hash, so nothing is ranged or ranked; a depth of log16(rows / FANOUT) makes runs of some FANOUT.
+    """
+    nodes = rows.select(*by, F.sha2(F.col("id").cast("string"), 256).alias("place"), "id", "digest", F.lit(1).alias("n_rows"))
+    run = lambda *order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "digest"))), lambda x: x["digest"]), ""), 256).alias("digest")
+    nodes = nodes.groupBy(*by, F.substring("place", 1, depth).alias("node")).agg(F.sum("n_rows").alias("n_rows"), run("place", "id"))
+    for k in range(depth - 1, -1, -1):
+        nodes = nodes.groupBy(*by, F.substring("node", 1, k).alias("up")).agg(F.sum("n_rows").alias("n_rows"), run("node")).withColumnRenamed("up", "node")
+    return nodes.drop("node")
+
+
 def differing(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(level, node, expected, found) of the nodes at which two trees differ; NULL where one has none.  Level 1 names runs of rows."""
     a, b = expected.select("level", "node", F.col("digest").alias("expected")), found.select("level", "node", F.col("digest").alias("found"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parley.operators.storage import settled
+
 # Usage figures that may leave an archive, and how sources mark a turn's end.
 USAGE_FIGURES = ("inputTokens", "cachedInputTokens", "cacheWriteInputTokens", "outputTokens", "reasoningOutputTokens", "totalTokensReported", "totalTokensNormalized")
 NEEDS_VISIBLE, WITHOUT_SIDE = ("omp", "qwen-code"), ("claude-code", "claude-desktop", "kimi-code")
@@ -176,8 +178,9 @@ def project_items(messages: DataFrame, chunks: DataFrame, unknown_policy: str =
     tool_call_id, tool_name.  ``unknown_policy``: what has no evidence is included, goes to the layer review (separate), or
     keeps its metadata only.
     """
-    turned, rows = in_turns(messages, chunks)
-    final = finals(turned, rows, unknown_policy)
+    # Each is read by several kinds of items.
+    turned, rows = (settled(x, "turned") for x in in_turns(messages, chunks))
+    final = settled(finals(turned, rows, unknown_policy), "finals")
     taken = final.select(F.explode("source_chunks").alias("chunk_id")).distinct()
     out = prompts(rows, unknown_policy).unionByName(final).unionByName(parts(rows, taken, unknown_policy))
     return out.unionByName(usages(turned, rows, unknown_policy))

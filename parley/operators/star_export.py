@@ -8,14 +8,16 @@ joined with each other are bucketed by the id that they are joined on, and ``ope
 from __future__ import annotations
 
 import json
+import math
 import secrets
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.documents import alias
-from parley.operators.digests import in_order, payload, roots, tree
+from parley.operators.digests import FANOUT, id_roots, payload
 from parley.operators.items import project_items, tool_relations
 from parley.operators.storage import Files, numbered, settled
 
@@ -149,13 +151,14 @@ def export(manifest: DataFrame, messages: DataFrame, chunks: DataFrame, path: st
     """Writes all relations under ``path``, checks them and gives their row counts; raises ``ExportError`` if a check fails.
 
     The counts of the manifest are fixed before texts are read and must be those found.  Texts are read back and compared by
-    digest trees in the order of ids, NULL apart from ''.  ``export_info`` is written last: an export without it isn't whole.
+    digest trees in an order of ids, NULL apart from ''.  ``export_info`` is written last: an export without it isn't whole.
     """
     spark = manifest.sparkSession
     n, m, k = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("message_count"), F.lit(0)), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
     chosen = manifest.select("revision_id")
-    messages = messages.join(chosen, "revision_id", "left_semi")
-    chunks = chunks.join(messages.select("message_id"), "message_id", "left_semi")
+    # What is exported is fixed here; every relation is made of these.
+    messages = settled(messages.join(chosen, "revision_id", "left_semi"), "messages")
+    chunks = settled(chunks.join(messages.select("message_id"), "message_id", "left_semi"), "chunks")
     if (messages.count(), chunks.count()) != (m, k):
         raise ExportError("messages or chunks aren't those that the manifest counts")
     items = settled(project_items(messages, chunks, unknown_policy), "items")
@@ -167,7 +170,7 @@ def export(manifest: DataFrame, messages: DataFrame, chunks: DataFrame, path: st
     files = Files(spark, path)
     files.fs.delete(files.path("relations"), True)
     files.fs.rename(files.path("relations.numbered"), files.path("relations"))
-    digests = {name: verified_payload(spark, data[name], f"{path}/{name}", *PAYLOADS[name]) for name in PAYLOADS}
+    digests = verified_payloads(spark, data, path, k)
     spark.createDataFrame(sorted(DESCRIPTIONS.items()), "name string, description string").coalesce(1).write.parquet(f"{path}/data_dictionary")
     read = {name: spark.read.parquet(f"{path}/{name}") for name in RELATIONS if name != "export_info"}
     wrong = [r.asDict() for r in audit(read).filter("violations > 0").collect()]
@@ -179,29 +182,37 @@ def export(manifest: DataFrame, messages: DataFrame, chunks: DataFrame, path: st
     return counts | {"export_info": len(info)}
 
 
-def verified_payload(spark: SparkSession, rows: DataFrame, path: str, id_: str, content: str) -> dict:
-    """Rows and digest of a relation's texts, computed before and after the files; the order of a bucketed relation is that of
-    its ids, since its files have another."""
+def verified_payloads(spark: SparkSession, data: dict[str, DataFrame], path: str, rows: int) -> dict[str, dict]:
+    """Rows and digest of the texts of each relation that has some, from what was to be written and from the files, in one pass."""
+    both = None
+    for name, (id_, content) in PAYLOADS.items():
+        for side, x in (("written", data[name]), ("read", spark.read.schema(data[name].schema).parquet(f"{path}/{name}"))):
+            part = x.select(F.lit(side).alias("side"), F.lit(name).alias("relation"), F.col(id_).alias("id"), payload(id_, content).alias("digest"))
+            both = part if both is None else both.unionByName(part)
+    found: dict[str, dict] = {name: {} for name in PAYLOADS}
+    for r in id_roots(both, ["side", "relation"], depth_for(rows)).collect():  # two rows a relation
+        found[r.relation][r.side] = {"rows": r.n_rows, "sha256": r.digest}
+    for name, own in found.items():
+        if own.get("written") != own.get("read"):
+            raise ExportError(f"{path}/{name}: texts that were read back aren't those written")
+    return {name: own.get("read", {"rows": 0, "sha256": None}) for name, own in found.items()}
 
-    def digest(x: DataFrame):
-        return roots(tree(in_order(x.select(id_, payload(id_, content).alias("digest")), [id_]))).first()
 
-    before, after = digest(rows), digest(spark.read.schema(rows.schema).parquet(path))
-    if before != after:
-        raise ExportError(f"{path}: texts that were read back aren't those written")
-    return {"rows": after.n_rows if after else 0, "sha256": after.digest if after else None}
+def depth_for(rows: int) -> int:
+    return max(0, math.ceil(math.log(max(rows, 1) / FANOUT, 16)))
 
 
 def audit(read: dict[str, DataFrame]) -> DataFrame:
-    """(rule, violations): repeated ids, and references without the row that they name."""
-    out = None
-    for name, key in KEYS.items():
-        rows = read[name].groupBy(key).count().filter(f"count > 1 or {key} is null").agg(F.count(F.lit(1)).alias("violations")).select(F.lit(f"unique:{name}.{key}").alias("rule"), "violations")
-        out = rows if out is None else out.unionByName(rows)
-    for name, column, other, key in FOREIGN_KEYS:
-        lost = read[name].filter(F.col(column).isNotNull()).select(F.col(column).alias("k")).join(read[other].select(F.col(key).alias("k")), "k", "left_anti")
-        out = out.unionByName(lost.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(f"reference:{name}.{column}").alias("rule"), "violations"))
-    return out
+    """(rule, violations): repeated ids, and references without the row that they name; one grouping and one join of all."""
+    text = lambda x: F.col(x).cast("string")
+    ids = reduce(DataFrame.unionByName, [read[name].select(F.lit(name).alias("relation"), text(key).alias("id")) for name, key in KEYS.items()])
+    twice = ids.groupBy("relation", "id").count().filter("count > 1 or id is null").select(F.concat(F.lit("unique:"), "relation").alias("rule"))
+    named = [read[name].filter(F.col(column).isNotNull()).select(F.lit(f"reference:{name}.{column}").alias("rule"), F.lit(other).alias("relation"), text(column).alias("id")) for name, column, other, _ in FOREIGN_KEYS]
+    lost = reduce(DataFrame.unionByName, named).join(ids, ["relation", "id"], "left_anti").select("rule")
+    rules = [f"unique:{name}" for name in KEYS] + [f"reference:{name}.{column}" for name, column, _, _ in FOREIGN_KEYS]
+    every = next(iter(read.values())).sparkSession.createDataFrame([(r,) for r in rules], "rule string")
+    found = twice.unionByName(lost).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(found, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("violations"))
 
 
 def open_export(spark: SparkSession, path: str, prefix: str = "") -> dict[str, str]:

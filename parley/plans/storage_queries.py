@@ -59,6 +59,7 @@ def snk_02(spark, d):
     C.write_revisions(t, docs, "all")
     C.write_revisions(t, changed, "changed")
     C.write_revisions(t, changed, "changed")
+    t.vacuum()
     C.write_revisions(t, docs.filter("dialogue % 9 = 0"), "back")
     t.vacuum()
     return t.read().select("dialogue", "revision", "content_hash", "is_current", F.length("body").cast("bigint").alias("n_chars"))

@@ -67,7 +67,7 @@ class ScanReader(DataSourceReader):
         out = []
         for root in self.roots:
             try:
-                if not stat.S_ISDIR(os.lstat(root).st_mode):
+                if not stat.S_ISDIR(os.stat(root).st_mode):  # a root may be a link itself
                     out.append(Part(root, single=True))
                     continue
                 out.append(Part(root))
@@ -82,7 +82,7 @@ class ScanReader(DataSourceReader):
         if partition.error:
             yield partition.root, None, None, None, partition.error, True
         elif partition.single:
-            s = os.lstat(partition.root)
+            s = os.stat(partition.root)
             if stat.S_ISREG(s.st_mode):
                 yield partition.root, os.path.basename(partition.root), s.st_size, s.st_mtime_ns // 1_000_000, None, False
         else:

@@ -70,6 +70,23 @@ def test_groups_have_trees_of_their_own(spark):
         assert got[g] == (n, top[3])
 
 
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_tree_over_hashed_ids(spark, depth):
+    rows = [(g, f"i{i}", f"d{i}{g}") for g in "ab" for i in range(60)]
+    got = {r.g: (r.n_rows, r.digest) for r in D.id_roots(spark.createDataFrame(rows, "g string, id string, digest string").repartition(4), ["g"], depth).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for g in "ab":
+        nodes = {}
+        for _, i, x in sorted((sha(i), i, x) for h, i, x in rows if h == g):
+            nodes.setdefault(sha(i)[:depth], []).append(x)
+        for k in range(depth - 1, -2, -1):
+            above = {}
+            for n in sorted(nodes):
+                above.setdefault(n[: max(k, 0)], []).append(sha("".join(nodes[n])))
+            nodes = above
+        assert got[g] == (60, nodes[""][0])
+
+
 def test_numbered_follows_files(spark, tmp_path):
     spark.range(1000).repartition(7).sortWithinPartitions("id").write.parquet(f"{tmp_path}/x")
     got = [r.rank for r in numbered(spark, f"{tmp_path}/x").collect()]
