@@ -68,20 +68,22 @@ class CommitTable:
 
     # -------------------------------------------------------------- writing
 
-    def _commit(self, changed: DataFrame | None, touched: list[int], token: str, note: dict, base: dict | None) -> int:
-        """Writes the buckets in ``touched`` from ``changed`` and makes them current after version ``base``."""
+    def dealt(self, rows: DataFrame, touched: list[int]) -> DataFrame:
+        """Rows with ``bucket``, those of a bucket in one task; this is the one shuffle of a commit."""
+        return rows.withColumn("bucket", self.bucket()).repartition(max(len(touched), 1), "bucket")
+
+    def _commit(self, changed: DataFrame, touched: list[int], token: str, note: dict, base: dict | None) -> int:
+        """Writes the buckets in ``touched`` from ``changed``, which was dealt, and makes them current after version ``base``."""
         version = base["version"] + 1 if base else 1
         name, current = f"{version:08d}-{token}", dict(base["current"]) if base else {}
-        if changed is not None:
-            bucket = self.bucket()
-            # One task a bucket and file; a bucket that lost all rows has no folder.
-            changed.withColumn("bucket", bucket).repartition(max(len(touched), 1), "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{name}")
-            written = {int(n.split("=")[1]) for n in self.files.names(f"data/{name}") if n.startswith("bucket=")}
-            for b in touched:
-                current.pop(str(b), None)
-                if b in written:
-                    current[str(b)] = name
-        schema = json.loads(changed.schema.json()) if changed is not None else base["schema"]
+        changed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{name}")
+        # A bucket that lost all rows has no folder.
+        written = {int(n.split("=")[1]) for n in self.files.names(f"data/{name}") if n.startswith("bucket=")}
+        for b in touched:
+            current.pop(str(b), None)
+            if b in written:
+                current[str(b)] = name
+        schema = json.loads(changed.drop("bucket").schema.json())
         tokens = [*(base["tokens"] if base else []), token]
         body = {"version": version, "buckets": self.buckets, "bucket_by": self.bucket_by, "keys": self.keys, "schema": schema, "current": current, "tokens": tokens, "note": note}
         if not self.files.publish(f"commits/{version:08d}.json", json.dumps(body)):
@@ -101,12 +103,14 @@ class CommitTable:
             raise ValueError(f"{self.path}: columns {batch.columns} aren't those of the table")
         rest = [c for c in batch.columns if c not in self.keys]
         order = [*(latest_by or []), *(c for c in rest if c not in (latest_by or []))]
-        pick = F.max(F.struct(*(F.col(c) for c in order))) if rest else F.lit(None)
-        one = batch.groupBy(*self.keys).agg(pick.alias("_row")).select(*(F.col(c) if c in self.keys else F.col(f"_row.{c}") for c in batch.columns))
-        touched = self.touched(one)  # reads keys alone
+        touched = self.touched(batch)  # reads keys alone
+        rows = batch.withColumn("_new", F.lit(True))
         if base:
-            old = self.read(only=touched)
-            one = old.alias("o").join(one.select(*self.keys).alias("n"), same_keys("o", "n", self.keys), "left_anti").unionByName(one)
+            rows = self.read(only=touched).select(*batch.columns).withColumn("_new", F.lit(False)).unionByName(rows)
+        # Grouped where the buckets lie: a row of the batch wins over a stored one.
+        pick = F.max(F.struct("_new", *order)).alias("_row")
+        one = self.dealt(rows, touched).groupBy("bucket", *self.keys).agg(pick)
+        one = one.select(*(F.col(c) if c in self.keys else F.col(f"_row.{c}") for c in batch.columns), "bucket")
         return self._commit(one, touched, token, note or {}, base)
 
     def delete(self, batch: DataFrame, token: str, note: dict | None = None) -> int:
@@ -117,7 +121,7 @@ class CommitTable:
         gone = settled(batch.select(*self.keys).distinct(), "gone")
         touched = self.touched(gone)
         rest = self.read(only=touched).alias("o").join(gone.alias("n"), same_keys("o", "n", self.keys), "left_anti")
-        return self._commit(rest, touched, token, note or {}, base)
+        return self._commit(self.dealt(rest.select("o.*"), touched), touched, token, note or {}, base)
 
     def update(self, change: dict[str, Column], where: Column, token: str, note: dict | None = None) -> int:
         """Sets columns of the rows that ``where`` holds for; buckets without such rows keep their files, and no row no commit."""
@@ -130,7 +134,7 @@ class CommitTable:
         kinds = {f.name: f.dataType for f in StructType.fromJson(base["schema"]).fields}
         new = {c: F.when(where, x).otherwise(F.col(c)).cast(kinds[c]).alias(c) for c, x in change.items()}
         rows = self.read(only=touched)
-        return self._commit(rows.select(*(new.get(c, F.col(c)) for c in rows.columns)), touched, token, note or {}, base)
+        return self._commit(self.dealt(rows.select(*(new.get(c, F.col(c)) for c in rows.columns)), touched), touched, token, note or {}, base)
 
     def vacuum(self, keep: int = 1) -> int:
         """Forgets all but the last ``keep`` versions and removes buckets that none of these has; gives their number."""

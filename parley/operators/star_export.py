@@ -153,6 +153,16 @@ def export(manifest: DataFrame, messages: DataFrame, chunks: DataFrame, path: st
     The counts of the manifest are fixed before texts are read and must be those found.  Texts are read back and compared by
     digest trees in an order of ids, NULL apart from ''.  ``export_info`` is written last: an export without it isn't whole.
     """
+    spark, name_ = manifest.sparkSession, "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name_)
+    spark.conf.set(name_, "8192")  # the driver keeps a text of every plan, and these name each row by a digest
+    try:
+        return _export(manifest, messages, chunks, path, unknown_policy, key)
+    finally:
+        spark.conf.set(name_, before)
+
+
+def _export(manifest: DataFrame, messages: DataFrame, chunks: DataFrame, path: str, unknown_policy: str, key: str | None) -> dict[str, int]:
     spark = manifest.sparkSession
     n, m, k = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("message_count"), F.lit(0)), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
     chosen = manifest.select("revision_id")
