@@ -10,7 +10,7 @@ from parley.operators import evaluation as E
 from parley.operators import inverted as V
 from parley.operators import preflight as P
 from parley.operators import retrieval as R
-from parley.operators.storage import shared_path
+from parley.operators.storage import settled, shared_path
 from parley.plans.search_queries import _BM, _BM25, _COS, _RANKED, _bm25, _queries
 from parley.plans.storage_queries import _LINE, _tree_sql
 from parley.plans.tables import query, table
@@ -142,6 +142,7 @@ def top_02_ann(spark, d):
     found = A.search(spark, path, _vector_queries(v), 50)
     both = exact.join(found.select("query_id", "doc_id", F.col("score").alias("own")), ["query_id", "doc_id"], "left")
     g = both.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.count("own").alias("found"), F.bool_and(F.coalesce(F.abs(F.col("score") - F.col("own")) < 1e-5, F.lit(True))).alias("scored_alike"))
+    g = settled(g, "recall")
     whole = g.agg((F.sum("found") >= 0.95 * F.sum("wanted")).alias("enough"))
     return g.crossJoin(whole).select("query_id", "wanted", "enough", "scored_alike")  # one row on the right
 
@@ -153,7 +154,7 @@ def top_02_filtered(spark, d):
     A.build_index(v, path)
     where = F.col("label") % 3 == 0
     exact = R.cosine_search(v.filter(where), _vector_queries(v), 20)
-    g = A.recall(A.search(spark, path, _vector_queries(v), 20, where), exact)
+    g = settled(A.recall(A.search(spark, path, _vector_queries(v), 20, where), exact), "recall")
     whole = g.agg((F.sum("found") >= 0.95 * F.sum("wanted")).alias("enough"))
     return g.crossJoin(whole).select("query_id", "wanted", "enough")
 
