@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import numbers as N
-from parley.functions.texts import analyze
 from parley.operators import digests as D
 from parley.operators import lineage as L
 from parley.operators import projections as P
@@ -15,6 +14,7 @@ from parley.operators import reconcile as C
 from parley.operators import retrieval as R
 from parley.operators import searching as G
 from parley.operators import validation as V
+from parley.operators.storage import settled
 from parley.plans.record_queries import _MATRIX
 from parley.plans.search_queries import _BM
 from parley.plans.storage_queries import _tree_sql
@@ -196,8 +196,10 @@ def flt_02(spark, d):
     """
     docs = table(spark, d, "documents")
     terms = _ASKED.split()
-    index = R.postings(docs, "doc_id", "text", terms)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(analyze(F.col("text")))).alias("avgdl")).first()
+    # Texts are analysed once, for all searches.
+    rows = settled(R.tokens(docs, "doc_id", "text", terms), "tokens")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    index = settled(R.counted(rows), "postings")
     context, out = _context(spark, d), None
     for i, (name, (_, wanted)) in enumerate(SEARCHES.items()):
         filters = G.SearchFilters(**wanted)

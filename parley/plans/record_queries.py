@@ -266,7 +266,7 @@ def ret_10(spark, d):
     """Hybrid retrieval: the text list of an item and the vector list of the vector of its id, fused by rank."""
     v = table(spark, d, "embeddings")
     queries = v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    fused = R.reciprocal_rank_fusion(R.top_k(_bm25(spark, d, False), 50, ["query_id"]), R.cosine_search(v, queries, 50))
+    fused = R.reciprocal_rank_fusion(R.top_k(_bm25(spark, d, False, 50), 50, ["query_id"]), R.cosine_search(v, queries, 50))
     return R.top_k(fused, 20, ["query_id"])
 
 
