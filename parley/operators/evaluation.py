@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import digests as D
 from parley.operators.retrieval import ranking_metrics
+from parley.operators.storage import settled
 
 # Bounds of a judgment set, and what its queries may be.
 LEAST_QUERIES, MOST_QUERIES = 50, 100
@@ -70,8 +71,9 @@ def run_scenarios(corpus: Callable[[], DataFrame], scenarios: dict[str, Callable
         raise CorpusDrift(f"the corpus has digest {before}, the run is bound to {bound_to}")
     out = None
     for name, scenario in scenarios.items():
-        ranked = scenario(queries.select("query_id", "text"))
-        top = ranked.filter("rank <= 10").join(corpus().select("doc_id", F.lower("text").alias("body")), "doc_id").select("query_id", "body")
+        ranked = settled(scenario(queries.select("query_id", "text")), "ranked")
+        best = F.broadcast(ranked.filter("rank <= 10").select("query_id", "doc_id"))  # ten rows a query, so no texts are shuffled
+        top = corpus().select("doc_id", F.lower("text").alias("body")).join(best, "doc_id").select("query_id", "body")
         bad = top.join(must_not.select("query_id", F.lower("text").alias("bad")), "query_id").filter(F.contains("body", "bad")).groupBy("query_id").agg(F.countDistinct("bad").alias("forbidden"))
         measures = ranking_metrics(ranked, expected).join(bad, "query_id", "left").withColumn("forbidden", F.coalesce("forbidden", F.lit(0)))
         measures = measures.select(F.lit(name).alias("scenario"), "*", F.lit(before[1]).alias("corpus"))

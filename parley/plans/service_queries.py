@@ -213,8 +213,9 @@ def _judgments(spark, d):
     V.build_inverted(table(spark, d, "documents"), index)
     inverted = V.Inverted(spark, index)
     # Documents with all words of an item, then those that hold it as it stands.
-    pairs = inverted.bm25(items).join(items, "query_id").join(docs, "doc_id").filter(F.contains("body", "text"))
-    expected = pairs.select("query_id", "doc_id", (F.col("query_id") % 3 + 1).cast("int").alias("grade"))
+    found = settled(inverted.bm25(items).select("query_id", "doc_id"), "found")
+    pairs = found.join(items, "query_id").join(docs, "doc_id").filter(F.contains("body", "text"))
+    expected = settled(pairs.select("query_id", "doc_id", (F.col("query_id") % 3 + 1).cast("int").alias("grade")), "expected")
     queries = items.join(expected, "query_id", "left_semi").withColumns({"language": F.lit("en"), "query_type": F.lit("exact phrase")})
     return inverted, queries, expected
 
