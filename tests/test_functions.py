@@ -134,6 +134,19 @@ def test_imputation_equals_a_loop(spark):
         assert got[t[0]].source == source and abs(got[t[0]].ms - max(t[4], each * max(1, t[1]))) < 0.01
 
 
+def test_nearest_donors_are_taken_from_lines(spark):
+    """With ties on both sides of a target, few rows a line are compared, and they hold the nearest of all."""
+    donors = [(i, "p", (i % 3) * 0.2, (i % 11) * 0.1) for i in range(240)]
+    targets = [(1000 + i, "p", 0.2, i * 0.15) for i in range(7)]
+    spark.createDataFrame([(*r, 1.0) for r in donors], "donor long, pool string, f1 double, f2 double, per_call double").createOrReplaceTempView("offers_")
+    offers = spark.sql("select *, row_number() over (partition by pool, f1 order by f2, donor desc) as below, row_number() over (partition by pool, f1 order by f2, donor) as above from offers_")
+    asked = spark.createDataFrame(targets, "dialogue_id long, pool string, t1 double, t2 double").join(offers.select("f1").distinct())
+    found = I._beside(asked, offers)
+    for t in targets:
+        want = sorted((math.dist(t[2:], r[2:]), r[0]) for r in donors)[: I.NEIGHBOURS]
+        assert sorted(r.donor for r in found.filter(f"dialogue_id = {t[0]}").select("donor").collect()) == sorted(x for _, x in want)
+
+
 def test_lineage(spark):
     c = spark.createDataFrame([("c", "p", i, k) for i, k in enumerate("abcdx", 1)], "child string, parent string, i long, key string")
     p = spark.createDataFrame([("p", j, k) for j, k in enumerate("zabcd", 1)], "parent string, j long, key string")
