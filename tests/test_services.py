@@ -14,6 +14,7 @@ from parley.operators import inverted as V
 from parley.operators import items as I
 from parley.operators import retrieval as R
 from parley.operators import star_export as X
+from parley.operators.storage import setting
 from parley.sources import scans as N
 from parley.sources.records import RecordStream, StreamError, as_records
 from parley.streaming import presence as P
@@ -207,6 +208,28 @@ def test_items_have_reasons(spark):
     assert items["s2:assistant_final:0", "harness_final_evidence"].source_chunks == ["s2/0", "s2/1", "s3/0"]
 
 
+def test_items_move_rows_once_where_chunks_name_their_revision(spark):
+    m, c = spark.createDataFrame(MESSAGES, _MESSAGES), spark.createDataFrame(CHUNKS, _CHUNKS)
+    named = c.withColumn("revision_id", F.substring("message_id", 1, 1))
+    got = [sorted((r.item_id, r.reason, str(r.content), r.turn_id, r.source_chunks) for r in I.project_items(m, x, "separate").collect()) for x in (c, named)]
+    assert got[0] == got[1] and len(got[0]) == 16
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan = I.in_turns(m, named)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # messages and chunks, by the revision; joins and windows add none
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_blank_texts_and_hidden_figures(spark):
+    m = [message("b", 1, "user", human=True), message("b", 2, "assistant", visible=True, phase="final_answer", usage='{"output\\u0054okens":7,"inputTokens":"x"}'), message("b", 3, "assistant", visible=True), message("b", 4, "system", usage='{"totalTokensReported":-2}')]
+    c = [chunk("b1", 0, "go"), chunk("b2", 0, "  "), chunk("b3", 0, " "), chunk("b3", 1, "")]
+    rows = {r.item_id: (r.reason, r.content) for r in I.project_items(spark.createDataFrame(m, _MESSAGES), spark.createDataFrame(c, _CHUNKS)).collect()}
+    # One blank chunk isn't an answer, nor is the last message, whose other chunk is empty; figures may have escaped names.
+    assert rows == {
+        "b1:human_input:0": ("human_structural_evidence", "go"), "b2:assistant_other:0": ("visible_assistant_text", "  "), "b3:assistant_other:0": ("visible_assistant_text", " "), "b3:assistant_other:1": ("visible_assistant_text", ""),
+        "b2:usage:derived": ("normalized_usage_allowlist", '{"outputTokens":7}'), "b4:usage:derived": ("normalized_usage_allowlist", '{"totalTokensReported":-2}'),
+    }
+
+
 def test_export_is_whole_and_checked(spark, tmp_path, monkeypatch):
     extra = {"timestamp": F.lit("2026-01-01"), "vendor": F.lit("v"), "model": F.when(F.col("role") == "assistant", "m"), "service_provider": F.lit(None).cast("string"), "reasoning_effort": F.lit(None).cast("string"), "response_status": F.lit(None).cast("string")}
     m, c = spark.createDataFrame(MESSAGES, _MESSAGES).withColumns(extra), spark.createDataFrame(CHUNKS, _CHUNKS)
