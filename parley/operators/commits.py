@@ -14,6 +14,7 @@ import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -173,21 +174,31 @@ def write_revisions(table: CommitTable, batch: DataFrame, token: str) -> int:
     whose current revision is the one given, stay as they are.  Of several bodies of a dialogue in one batch the greatest
     content hash counts; a NULL body is a body.
     """
+    base = table.manifest()
+    if base and token in base["tokens"]:
+        return base["version"]
     hashed = F.sha2(F.coalesce(F.concat(F.lit("S"), F.col("body")), F.lit("N")), 256)
     new = batch.select("dialogue", "parser", "body", hashed.alias("content_hash"))
-    new = new.withColumn("revision", revision_id(F.col("dialogue"), F.col("parser"), F.col("content_hash")))
-    new = new.groupBy("dialogue").agg(F.max(F.struct("content_hash", "revision", "parser", "body")).alias("r")).select("dialogue", "r.*")
-    new = new.withColumn("is_current", F.lit(True)).select(*REVISION_COLUMNS)
-    if table.manifest():
-        now = table.read(only=table.touched(batch.select("dialogue")))
-        current = now.filter("is_current").select("dialogue", "revision")
-        moved = new.alias("n").join(current.alias("c"), same_keys("n", "c", ["dialogue", "revision"]), "left_anti")
-        past = now.alias("o").filter("is_current").join(moved.select("dialogue").alias("m"), same_keys("o", "m", ["dialogue"]), "left_semi").withColumn("is_current", F.lit(False))
-        # A body that returns is taken from the batch, which has the same revision id; the rest of the row is equal.
-        new = moved.unionByName(past.select(*REVISION_COLUMNS))
-        if new.isEmpty():
-            return table.manifest()["version"]
-    return table.merge(new, token)
+    new = new.withColumn("revision", revision_id(F.col("dialogue"), F.col("parser"), F.col("content_hash"))).withColumn("is_current", F.lit(True)).select(*REVISION_COLUMNS)
+    chosen = F.max(F.struct("content_hash", "revision"))
+    if base:
+        # What changes is found without bodies.
+        current = table.read(only=table.touched(batch)).filter("is_current").select("dialogue", "revision")
+        given = new.groupBy("dialogue").agg(chosen.alias("r")).select("dialogue", "r.revision")
+        touched = table.touched(given.alias("n").join(current.alias("c"), same_keys("n", "c", ["dialogue", "revision"]), "left_anti"))
+        if not touched:
+            return base["version"]
+        rows = table.read(only=touched).select(*REVISION_COLUMNS).withColumn("_new", F.lit(False)).unionByName(new.filter(table.bucket().isin(touched)).withColumn("_new", F.lit(True)))
+    else:
+        touched, rows = table.touched(batch), new.withColumn("_new", F.lit(True))
+    # Stored and new bodies meet in their bucket, where they are moved to once: a row a revision, then the one that its dialogue has now.
+    pick = F.max(F.struct("_new", "content_hash", "parser", "is_current", "body")).alias("_row")
+    one = table.dealt(rows, touched).groupBy("bucket", "dialogue", "revision").agg(pick, F.bool_or(~F.col("_new")).alias("_old"))
+    one = one.select("bucket", "dialogue", "revision", "_row.*", "_old")
+    now = F.max(F.when(F.col("_new"), F.struct("content_hash", "revision"))).over(W.partitionBy("bucket", "dialogue"))
+    one = one.withColumn("_now", now["revision"]).filter(F.col("_old") | (F.col("revision") == F.col("_now")))
+    one = one.withColumn("is_current", F.when(F.col("_now").isNull(), F.col("is_current")).otherwise(F.col("revision") == F.col("_now")))
+    return table._commit(one.select(*REVISION_COLUMNS, "bucket"), touched, token, {}, base)
 
 
 def revision_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> CommitTable:

@@ -177,6 +177,22 @@ def test_revisions_switch_back_and_rerun(spark, tmp_path):
     assert t.read().groupBy("dialogue").agg(F.count_if("is_current").alias("n")).filter("n <> 1").count() == 0
 
 
+def test_revisions_move_bodies_once(spark, tmp_path, monkeypatch):
+    t, kind = C.revision_table(spark, f"file://{tmp_path}/t", 4), "dialogue bigint, parser string, body string"
+    plans, commit = [], C.CommitTable._commit
+    monkeypatch.setattr(C.CommitTable, "_commit", lambda self, changed, *more: plans.append(changed._jdf.queryExecution().executedPlan().toString()) or commit(self, changed, *more))
+    C.write_revisions(t, spark.createDataFrame([(1, "p", "a"), (2, "p", "b"), (1, "p", "c"), (1, "q", "a"), (None, "p", None)], kind), "one")
+    C.write_revisions(t, spark.createDataFrame([(1, "p", "a"), (2, "p", "b"), (3, "p", "x"), (1, "p", "d")], kind), "two")
+    assert C.write_revisions(t, spark.createDataFrame([(9, "p", "other")], kind), "two") == 2  # a known token changes nothing, whatever it comes with
+    assert [p.split("+- == Initial")[0].count("Exchange") for p in plans] == [1, 1]
+    hashed = lambda b: hashlib.sha256(b"N" if b is None else b"S" + b.encode()).hexdigest()
+    id_ = lambda d, p, b: "rev_" + hashlib.sha256("\0".join([*([] if d is None else [str(d)]), p, hashed(b)]).encode()).hexdigest()[:24]
+    first = max([("p", "a"), ("p", "c"), ("q", "a")], key=lambda x: (hashed(x[1]), id_(1, *x)))
+    second = max([("p", "a"), ("p", "d")], key=lambda x: hashed(x[1]))
+    want = {(1, *first, first == second), (1, *second, True), (2, "p", "b", True), (3, "p", "x", True), (None, "p", None, True)}
+    assert {(r.dialogue, r.parser, r.body, r.is_current) for r in t.read().collect()} == want and t.read().count() == len(want)
+
+
 def test_projection_replaces_only_given_revisions(spark, tmp_path):
     path = f"file://{tmp_path}/p"
     rows = spark.createDataFrame([(f"r{i}", i, f"t{i}") for i in range(30) for _ in range(2)], "revision string, n int, t string")
