@@ -76,8 +76,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message facts with their dialogue's dimensions.  Columns that a query doesn't use never leave the scan."""
     lines, orders, customers, nations, regions = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
     dims = nations.join(F.broadcast(regions), nations["n_regionkey"] == regions["r_regionkey"])  # fixed size: 25 and 5 rows
-    facts = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(customers, F.col("o_custkey") == customers["c_custkey"])
-    facts = facts.join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey"))
+    # Orders get their dimensions first, so lines are moved once, and by the turn.
+    turns = orders.join(customers.join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    facts = lines.join(turns, lines["l_orderkey"] == turns["o_orderkey"])
     return facts.select(
         *(F.expr(e).alias(c) for c, e in MESSAGE_COLUMNS.items()),
         F.col("r_name").alias("harness"),

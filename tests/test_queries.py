@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from parley.operators.storage import setting
 from parley.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +54,14 @@ def test_plans_prune_push_and_top(spark):
     assert "CartesianProduct" not in text and "l_shipdate" not in text
 
 
+def test_lines_are_moved_once(spark):
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        shared, report = plan(registry.QUERIES["agg_30_shared_turns"](spark, SF)), plan(registry.QUERIES["flagship_usage_report"](spark, SF))
+    # Customers, orders by customer and by turn, and lines by turn, where they are grouped too.
+    assert shared.count("Exchange hashpartitioning") == 4 and "count(distinct" not in shared and shared.count("Aggregate(") == 2
+    assert "l_orderkey" not in report  # its four passes read the joined lines
+
+
 def test_entry_and_registry():
     import __spark_entry__ as e
 
