@@ -250,6 +250,12 @@ def test_export_is_whole_and_checked(spark, tmp_path, monkeypatch):
     assert "hashpartitioning" not in plan  # both sides are bucketed by the item
     info = {r.key: json.loads(r.value) for r in spark.table(opened["export_info"]).collect()}
     assert info["counts"]["manifest_chunks"] == 16 and info["payload_digests"]["analysis_items"]["rows"] == counts["analysis_items"]
+    read = {name: spark.table(opened[name]) for name in X.RELATIONS if name != "export_info"}
+    bad = read | {"items": read["items"].filter("category <> 'usage'"), "hosts": read["hosts"].unionByName(read["hosts"])}
+    audited = X.audit(bad)
+    found = {r.rule: r.violations for r in audited.collect()}
+    assert {k: v for k, v in found.items() if v} == {"unique:hosts": counts["hosts"], "reference:analysis_items.item_id": 1} and len(found) == len(X.KEYS) + len(X.FOREIGN_KEYS)
+    assert "LeftAnti" not in audited._jdf.queryExecution().executedPlan().toString()  # ids and references are moved once
     # Two exports don't share names of rows.
     X.export(manifest, m, c, f"{tmp_path}/two", "separate")
     ids = [{r.id for r in spark.read.parquet(f"{tmp_path}/{x}/messages").collect()} for x in ("out", "two")]

@@ -177,6 +177,16 @@ def test_revisions_switch_back_and_rerun(spark, tmp_path):
     assert t.read().groupBy("dialogue").agg(F.count_if("is_current").alias("n")).filter("n <> 1").count() == 0
 
 
+def test_set_digests_tell_texts_apart_in_any_order(spark):
+    rows = [(i, None if i == 11 else f"t{i % 7}") for i in range(40)]
+    cases = {"right": rows, "turned": rows[::-1], "null": [(i, "" if i == 11 else c) for i, c in rows], "swapped": [*rows[:20], (20, rows[21][1]), (21, rows[20][1]), *rows[22:]], "short": rows[:-1], "twice": [*rows, rows[0]]}
+    frame = spark.createDataFrame([(k, *r) for k, v in cases.items() for r in v], "g string, id bigint, content string").repartition(5)
+    out = D.set_digests(frame.select("g", D.payload("id", "content").alias("digest")), ["g"])
+    got = {r.g: (r.n_rows, r.digest) for r in out.collect()}
+    assert got["right"] == got["turned"] and len(set(got.values())) == 5 and got["short"][0] == 39
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()  # sums only: rows aren't moved
+
+
 def test_revisions_move_bodies_once(spark, tmp_path, monkeypatch):
     t, kind = C.revision_table(spark, f"file://{tmp_path}/t", 4), "dialogue bigint, parser string, body string"
     plans, commit = [], C.CommitTable._commit
