@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from parley.operators import inverted as V
 from parley.operators import items as I
 from parley.operators import retrieval as R
 from parley.operators import star_export as X
-from parley.operators.storage import setting
+from parley.operators.storage import Work, setting
 from parley.sources import scans as N
 from parley.sources.records import RecordStream, StreamError, as_records
 from parley.streaming import presence as P
@@ -269,6 +270,51 @@ def test_export_is_whole_and_checked(spark, tmp_path, monkeypatch):
         X.export(manifest, m, c, f"{tmp_path}/changed", "separate")
 
 
+def export_input(spark):
+    extra = {"timestamp": F.lit("2026-01-01"), "vendor": F.lit("v"), "model": F.when(F.col("role") == "assistant", "m"), "service_provider": F.lit(None).cast("string"), "reasoning_effort": F.lit(None).cast("string"), "response_status": F.lit(None).cast("string")}
+    m, c = spark.createDataFrame(MESSAGES, _MESSAGES).withColumns(extra), spark.createDataFrame(CHUNKS, _CHUNKS).withColumn("revision_id", F.substring("message_id", 1, 1))
+    kind = "revision_id string, dialogue_id string, source_revision string, canonical_hash string, message_count bigint, chunk_count bigint, is_current boolean, harness string, installation string, host string, host_label string, platform string, arch string, workspace string, title string, parser_name string, parser_version string, source_dialogue string, parent_dialogue string"
+    rows = [(r, f"d{r}", None, "h", n, k, True, h, "i", "host", None, "linux", None, None, None, "p", "1", f"src-{r}", None) for r, n, k, h in (("r", 8, 12, "codex"), ("s", 3, 4, "opencode"))]
+    return spark.createDataFrame(rows, kind), m, c
+
+
+def test_export_moves_rows_by_the_revision_alone_and_leaves_no_work_tables(spark, tmp_path, monkeypatch):
+    manifest, m, c = export_input(spark)
+    plans, written, shared = {}, Work.placed, Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "parley")
+    monkeypatch.setattr(Work, "placed", lambda self, df, name, column: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or written(self, df, name, column))
+    before, tables, read = {p.name for p in shared.glob("*")}, {t.name for t in spark.catalog.listTables()}, []
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        with Work(spark, 8) as work:  # dealt by the revision, as an export of so few rows deals them
+            m, c = (work.placed(x.repartition(work.parts, "revision_id"), name, "revision_id") for name, x in (("m", m), ("c", c)))
+            monkeypatch.setattr(X, "parts_of", lambda spark, rows: work.parts)
+            counts = X.export(manifest, m, c, f"{tmp_path}/out", "separate", fixed=lambda: read.append(work.drop("m", "c")))
+        moved = {name: plans[name].count("Exchange hashpartitioning") for name in ("chunks", "turned", "items", "kept", "sent")}
+        with pytest.raises(X.ExportError, match="counts"):
+            X.export(manifest.withColumn("chunk_count", F.lit(5)), *export_input(spark)[1:], f"{tmp_path}/bad")
+    assert counts["items"] == 16 and read == [None]
+    assert set(moved.values()) == {0}
+    assert {p.name for p in shared.glob("*")} == before and {t.name for t in spark.catalog.listTables()} == tables
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_view_counts_sources_as_the_plain_join_does(spark, tmp_path):
+    X.export(*export_input(spark), f"{tmp_path}/out", "separate")
+    opened = X.open_export(spark, f"{tmp_path}/out", "c_")
+    plain = spark.sql(f"select s.item_id, count(distinct c.message_id) as n from {opened['item_sources']} s join {opened['chunks']} c on c.id = s.chunk_id group by s.item_id")
+    got = {tuple(r) for r in spark.table(opened["v_item_source_counts"]).collect()}
+    assert got == {tuple(r) for r in plain.collect()} and sorted(n for _, n in got)[-2:] == [1, 2]
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan = spark.table(opened["v_item_source_counts"])._jdf.queryExecution().executedPlan().toString()
+    # Sources of more than one chunk go to their chunks, and what is counted comes back; chunks and single sources stay.
+    assert plan.count("Exchange hashpartitioning(chunk_id") == 1 and "Exchange hashpartitioning(id" not in plan
+
+
+def test_audit_packs_ids_without_mixing_them(spark):
+    ids = ["ite_0123456789abcdef", "ite_0123456789abcdee", "mes_0123456789abcdef", "ite_0123456789ABCDEF", "ite_ABCDEFGH", "ite_4142434445464748", "", "\x00", "7", None]
+    packed = [bytes(r[0]) if r[0] is not None else None for r in spark.createDataFrame([(i,) for i in ids], "id string").select(X._packed(F.col("id"))).collect()]
+    assert len(set(packed)) == len(ids) and packed[-1] is None and len(packed[0]) == 12
+
+
 # ------------------------------------------------------------------ evaluation
 
 
